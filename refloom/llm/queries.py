@@ -13,6 +13,12 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media,)}
+def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op9_vector_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
