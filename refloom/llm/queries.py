@@ -13,12 +13,24 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refloom.llm.secrets import secret_digest
+
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refloom.llm.tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from refloom.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op9_vector_packing)}
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op3_secret_scan, op6_token_counts, op9_vector_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
