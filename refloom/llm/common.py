@@ -70,3 +70,31 @@ def sampled_rows(df: DataFrame, key: str, rows: int, columns: list[str]) -> list
     ids = keys.sparkSession.createDataFrame([(r[0],) for r in keys.collect()], "k long")
     got = df.join(F.broadcast(ids), F.col(key) == F.col("k"), "left_semi").select(*columns).limit(2 * rows).collect()
     return sorted(got, key=lambda r: tuple(str(x) for x in r))
+
+
+class WordTable:
+    """Rows of numbers for word forms, as a Python worker meets them: the first `keep` forms are kept, later
+    ones are worked out anew for each call. `rows_of` gives the rows of a list of words."""
+
+    def __init__(self, width: int, rows_of, keep: int):
+        import numpy as np
+
+        self.rows_of, self.keep = rows_of, keep
+        self.memo: dict[str, int] = {}
+        self.kept = np.zeros((keep, width), dtype=np.float32)
+
+    def look(self, words: list[str]):
+        import numpy as np
+
+        get = self.memo.get
+        at = np.array([get(w, -1) for w in words], dtype=np.int64)
+        out = self.kept[at]
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = {w: j for j, w in enumerate(dict.fromkeys(words[i] for i in missing))}
+            rows = self.rows_of(list(new))
+            out[missing] = rows[[new[words[i]] for i in missing]]
+            for w, j in list(new.items())[: self.keep - len(self.memo)]:
+                self.kept[len(self.memo)] = rows[j]
+                self.memo[w] = len(self.memo)
+        return out

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from refloom.llm.common import table
+from refloom.llm.common import table, train_fold
 
 
 def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,18 +20,38 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refloom.llm.langid import identify
+
+    out = identify(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", (~train_fold(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from refloom.llm.tokencount import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refloom.llm.chunkdedup import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refloom.llm.toxicity import toxicity
+
+    out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", (~train_fold(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from refloom.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op3_secret_scan, op6_token_counts, op9_vector_packing)}
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op3_secret_scan, op5_language_id, op6_token_counts, op7_chunk_dedup, op8_toxicity, op9_vector_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
