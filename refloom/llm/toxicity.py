@@ -1,6 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over overlapping windows.
 
-A word enters as its own embedding beside the mean embedding of its character trigrams (both hashed). Two
+A word enters as its own embedding beside the summed embeddings of its character trigrams and beginnings,
+over the root of their number (all hashed). Two
 gated recurrent passes read a window of WINDOW words, attention pools their states, and a linear layer
 gives the window's logit. All windows, HOP words apart, of the whole text are scored; the largest logit is
 the text's, calibrated with Platt's scaling on documents that the weights weren't fitted on. Inputs times
@@ -26,15 +27,17 @@ from refloom.llm.common import WordTable, sampled_rows, train_fold
 
 TRAIN_EACH = 500  #: labelled documents of either label used for fitting, at most
 WINDOW, HOP = 24, 12
-SLOTS, EMBED, HIDDEN = 8192, 8, 8
+SLOTS, EMBED, HIDDEN = 16384, 6, 8
 MEMO_WORDS = 250_000
 THRESHOLD = 0.7
+FEW = 3  #: documents that a hashed word or trigram must be in to have an embedding
 
 
 def slots(word: str) -> tuple[int, list[int]]:
     w = word.lower().strip(".,;:!?|()[]\"'").encode()
     p = b"^" + w + b"$"
-    return zlib.crc32(w, 1) % SLOTS, [zlib.crc32(p[i : i + 3], 2) % SLOTS for i in range(max(1, len(p) - 2))]
+    grams = [p[i : i + 3] for i in range(max(1, len(p) - 2))] + [p[:n] for n in (4, 5, 6, 7) if len(p) > n]
+    return zlib.crc32(w, 1) % SLOTS, [zlib.crc32(g, 2) % SLOTS for g in grams]
 
 
 def _sigmoid(x):
@@ -51,6 +54,7 @@ class BiGRU:
             "w1": n(d, 3 * h, scale=0.3), "u1": n(h, 3 * h, scale=0.3), "b1": np.zeros(3 * h),
             "a": n(2 * h, h, scale=0.3), "v": n(h, scale=0.3), "o": n(2 * h, scale=0.3), "c": np.zeros(1),
         }
+        self.seen: dict[str, np.ndarray] = {}
         self.scale, self.shift, self.constant = 1.0, 0.0, None
         self.table: WordTable | None = None
 
@@ -63,7 +67,7 @@ class BiGRU:
         got = [slots(w) for w in words]
         word, sizes = np.array([g[0] for g in got]), np.array([len(g[1]) for g in got])
         char = np.concatenate([g[1] for g in got]).astype(np.int64)
-        mean = np.add.reduceat(self.p["char"][char], np.r_[0, np.cumsum(sizes)[:-1]]) / sizes[:, None]
+        mean = np.add.reduceat(self.p["char"][char], np.r_[0, np.cumsum(sizes)[:-1]]) / np.sqrt(sizes)[:, None]
         return np.concatenate([self.p["word"][word], mean], axis=1), (word, char, sizes)
 
     def inputs(self, words: list[str]) -> np.ndarray:
@@ -146,6 +150,7 @@ class BiGRU:
                 own.append(d)
                 label.append(y)
         win, size, own, label = np.array(win), np.array(size), np.array(own), np.array(label, dtype=float)
+        self.seed(docs, at, word, char, begins, sizes)
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         step = 0
 
@@ -159,7 +164,7 @@ class BiGRU:
             step += 1
             ids, inv = np.unique(win[pick], return_inverse=True)
             spelt, first, n = chars(ids)
-            mean = np.add.reduceat(self.p["char"][spelt], first) / n[:, None]
+            mean = np.add.reduceat(self.p["char"][spelt], first) / np.sqrt(n)[:, None]
             x = np.concatenate([self.p["word"][word[ids]], mean], axis=1)[inv.reshape(len(pick), WINDOW)]
             xw = np.concatenate([x @ self.p["w0"] + self.p["b0"], x @ self.p["w1"] + self.p["b1"]], axis=2)
             y = label[pick]
@@ -169,8 +174,9 @@ class BiGRU:
             np.add.at(flat, inv.ravel(), (dx * (np.arange(WINDOW) < size[pick][:, None])[:, :, None]).reshape(-1, 2 * EMBED))
             g["word"], g["char"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["char"])
             np.add.at(g["word"], word[ids], flat[:, :EMBED])
-            np.add.at(g["char"], spelt, np.repeat(flat[:, EMBED:] / n[:, None], n, axis=0))
+            np.add.at(g["char"], spelt, np.repeat(flat[:, EMBED:] / np.sqrt(n)[:, None], n, axis=0))
             for k, v in g.items():
+                v = v * self.seen[k] if k in self.seen else v
                 m = moments[k]
                 m[0] = 0.9 * m[0] + 0.1 * v
                 m[1] = 0.999 * m[1] + 0.001 * v * v
@@ -186,12 +192,29 @@ class BiGRU:
                 top = order[np.r_[True, own[order][1:] != own[order][:-1]]]
                 more = r.permutation(np.flatnonzero(label == 0))[: len(top)]
                 pick = np.concatenate([top, more])
-            for _ in range(max(1, -(-40 // -(-len(pick) // 64)))):  # at least 40 steps, however few the rows
+            for _ in range(max(1, -(-20 // -(-len(pick) // 64)))):  # at least 20 steps, however few the rows
                 mixed = r.permutation(pick)
                 for i in range(0, len(mixed), 64):
                     update(mixed[i : i + 64])
         return self
 
+    def seed(self, docs, at, word, char, begins, sizes) -> None:
+        """Embeddings of slots that fewer than FEW training documents have are 0 and stay 0; the first
+        number of the others starts as the slot's z-score between the labels, over 4."""
+        y = np.array([y for _, y in docs], dtype=float)
+        n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
+        for name in ("word", "char"):
+            df = np.zeros((2, SLOTS))
+            for words, label in docs:
+                ids = np.unique([at[w] for w in words])
+                own = word[ids] if name == "word" else np.concatenate([char[begins[i] : begins[i] + sizes[i]] for i in ids])
+                df[label, np.unique(own)] += 1
+            share = df.sum(0) / (n0 + n1)
+            z = (df[1] / n1 - df[0] / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-6)
+            self.seen[name] = (df.sum(0) >= FEW).astype(np.float32)[:, None]
+            self.p[name] = self.p[name] * self.seen[name]
+            self.p[name][:, 0] = np.clip(z, -12, 12) / 4 * self.seen[name][:, 0]
+
     def logits_of(self, docs: list[tuple[list[str], int]]) -> np.ndarray:
         """Of all windows of the documents, in order."""
         self.table = None
