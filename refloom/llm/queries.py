@@ -20,6 +20,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refloom.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from refloom.llm.langid import identify
 
@@ -52,6 +58,6 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op3_secret_scan, op5_language_id, op6_token_counts, op7_chunk_dedup, op8_toxicity, op9_vector_packing)}
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op3_secret_scan, op4_near_duplicates, op5_language_id, op6_token_counts, op7_chunk_dedup, op8_toxicity, op9_vector_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
