@@ -11,8 +11,8 @@ there each member is compared with a member chosen by each tree, not with all.
 Candidates that pass the signature estimate and the size bound are confirmed on the full sets: a link
 needs 100 * intersection >= percent * union. Links make components, without the driver.
 
-Recall: a pair at similarity 0.85 misses one tree with probability 0.15 at the first level, all 12 with
-1e-10; deeper levels keep about one common path per tree. The estimate's margin drops such a pair with
+Recall: a pair at similarity 0.85 misses one tree with probability 0.15 at the first level, all 16 with
+1e-13; deeper levels keep about one common path per tree. The estimate's margin drops such a pair with
 probability 1e-6.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text of fewer than
@@ -32,7 +32,7 @@ from refloom.llm.components import components
 SHINGLE = 5
 PERCENT = 85
 POSITIONS = 64  #: minwise tokens of a signature
-TREES = 12
+TREES = 16
 LEAF = 64
 LEVELS = (1, 1, 1, 1, 2, 2, 4, 4, 8)  #: tokens that each level chooses
 MARGIN = 5.0  #: standard deviations below the threshold at which a signature still passes

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.llm.common import table, train_fold
+from refloom.llm.decontam import ORACLE as DECONTAMINATION_SQL
 
 
 def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +15,12 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refloom.llm.decontam import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from refloom.llm.secrets import secret_digest
 
@@ -58,6 +65,6 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op3_secret_scan, op4_near_duplicates, op5_language_id, op6_token_counts, op7_chunk_dedup, op8_toxicity, op9_vector_packing)}
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op2_decontamination, op3_secret_scan, op4_near_duplicates, op5_language_id, op6_token_counts, op7_chunk_dedup, op8_toxicity, op9_vector_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL}
