@@ -280,3 +280,23 @@ def identify(docs: DataFrame, text: str = "text", id_col: str = "doc_id", model:
         schema += "".join(f", `{c}` {kinds[c]}" for c in extra)
         cols += [F.col(f"`{c}`") for c in extra]
     return docs.select(*cols).mapInPandas(fill, schema)
+
+
+def keep_identified(docs: DataFrame, text: str = "text", least: float = 0.35, model: Field | None = None) -> DataFrame:
+    """The rows whose language is told with a score of at least `least`: all columns, unchanged. Rows of
+    null texts, or of texts without a letter, go; so do those whose words no language explains."""
+    model = model if model is not None else fit_from(docs)
+    sent, split = docs.sparkSession.sparkContext.broadcast(model), batches_of()
+    at = docs.columns.index(text)
+
+    def fill(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            good = []
+            for x, y in split(texts):
+                good += [lang != UND and score >= least for lang, score in sent.value.predict(texts[x:y])]
+            yield b.filter(pa.array(good, type=pa.bool_()))
+
+    return docs.mapInArrow(fill, docs.schema)

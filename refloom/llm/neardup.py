@@ -231,3 +231,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"),
         (F.col("doc_id") == F.coalesce("root", "doc_id")).alias("kept"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """One row of each group of near-duplicates, that of the smallest id: all columns, unchanged. Rows with
+    one id are one document and come once; rows without an id go."""
+    kept = near_duplicates(docs, text, id_col, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(materialize(kept, "kept"), F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])

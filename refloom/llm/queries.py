@@ -65,6 +65,12 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op2_decontamination, op3_secret_scan, op4_near_duplicates, op5_language_id, op6_token_counts, op7_chunk_dedup, op8_toxicity, op9_vector_packing)}
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refloom.llm.surrogates import replace_entities
+
+    return replace_entities(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op2_decontamination, op3_secret_scan, op4_near_duplicates, op5_language_id, op6_token_counts, op7_chunk_dedup, op8_toxicity, op9_vector_packing, op10_surrogates)}
 
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL}

@@ -248,3 +248,45 @@ def secret_digest(docs: DataFrame) -> DataFrame:
         "doc_id", one("assign").alias("n_assign"), one("access").alias("n_access"), one("hex").alias("n_hex"),
         F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("findings")).alias("spans"), one("model").alias("n_model"),
     )
+
+
+def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", mark: str = "[SECRET]", model: CharCNN | None = None) -> DataFrame:
+    """The same rows and columns, every finding of a text replaced by `mark`; overlapping findings become one.
+    The column of character counts, if there is one, follows the text."""
+    if model is None:
+        key = "doc_id" if "doc_id" in docs.columns else text
+        model = train([r[0] for r in sampled_rows(docs, key, TRAIN_DOCS, [text]) if r[0]])
+    at, schema = docs.columns.index(text), docs.schema
+    counted = docs.columns.index(n_chars) if n_chars in docs.columns else None
+
+    def fill(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            found, waiting = [], []
+            for k, t in enumerate(texts):
+                base, rest = scan(t) if t else ([], [])
+                found.append([(s, e) for s, _, e in base])
+                waiting += [(k, s, e) for s, e in rest]
+            for i in range(0, len(waiting), 20_000):
+                part = waiting[i : i + 20_000]
+                for (k, s, e), p in zip(part, score_candidates(model, [(texts[k], s, e) for k, s, e in part])):
+                    if p >= model.threshold:
+                        found[k].append((s, e))
+            for k, spans in enumerate(found):
+                if spans:
+                    out, end = [], 0
+                    for s, e in sorted(spans):
+                        if s >= end:
+                            out += [texts[k][end:s], mark]
+                        end = max(end, e)
+                    texts[k] = "".join([*out, texts[k][end:]])
+            cols = list(b.columns)
+            cols[at] = pa.array(texts, type=cols[at].type)
+            if counted is not None:
+                old = cols[counted].to_pylist()
+                cols[counted] = pa.array([len(t) if t is not None and f else o for t, f, o in zip(texts, found, old)], type=cols[counted].type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+
+    return docs.mapInArrow(fill, schema)
