@@ -1,6 +1,572 @@
-"""The registered queries over the fact tables, and their SQL."""
+"""The registered queries over the fact tables, each beside the SQL that DuckDB runs on the same tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from refloom.functions import text as X
+from refloom.operators import documents as D
+from refloom.operators import graph as G
+from refloom.operators import incremental as C
+from refloom.operators import lookup as L
+from refloom.operators import postings as P
+from refloom.operators import relations as M
+from refloom.sources.tables import SPLIT_DAY, Graph, Lexical, Relational, changes, table
+from refloom.streaming import gates as T
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+R = f"""
+WITH typ AS (SELECT p_type, dense_rank() OVER (ORDER BY p_type) - 1 AS kind FROM (SELECT DISTINCT p_type FROM part)),
+def AS (SELECT l_partkey, min(l_suppkey) AS pkg_hash FROM lineitem GROUP BY 1),
+sym AS (SELECT d.pkg_hash, p.p_partkey AS id_hash, p.p_name AS name, lower(p.p_name) AS name_lower, p.p_brand AS sig, t.kind AS kind, 'd' || p.p_partkey AS file,
+  CAST(p.p_size AS BIGINT) AS line, p.p_partkey % 50 + 1 AS col, p.p_partkey % 50 + 1 + strlen(p.p_name) AS end_col FROM part p JOIN def d ON p.p_partkey = d.l_partkey JOIN typ t USING (p_type)),
+post AS (SELECT s.pkg_hash AS target_pkg, s.id_hash AS target_id, l.l_suppkey AS src, 'o' || l.l_orderkey AS file, CAST(l.l_linenumber AS BIGINT) AS line, CAST(l.l_quantity AS BIGINT) AS col,
+  CAST(l.l_quantity AS BIGINT) + strlen(s.name) AS end_col, l.l_shipdate FROM lineitem l JOIN sym s ON s.id_hash = l.l_partkey),
+used AS (SELECT l.l_suppkey, l.l_orderkey, p.p_brand AS name, CAST(CASE WHEN p.p_size % 10 = 0 THEN 0 ELSE p.p_size END AS BIGINT) AS fp FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey),
+ent AS (SELECT DISTINCT name, l_suppkey AS type_id, fp FROM used),
+req AS (SELECT DISTINCT l_orderkey AS iface, name, fp FROM used WHERE l_orderkey % 50 = 0),
+ok AS (SELECT r.iface, t.type_id FROM (SELECT DISTINCT iface FROM req) r CROSS JOIN (SELECT DISTINCT type_id FROM ent) t
+  WHERE NOT EXISTS (SELECT 1 FROM req q WHERE q.iface = r.iface AND NOT EXISTS (SELECT 1 FROM ent e WHERE e.type_id = t.type_id AND e.name = q.name AND e.fp = q.fp AND e.fp <> 0))),
+emb AS (SELECT a.iface AS sup, b.iface AS sub FROM (SELECT iface, count(*) AS n FROM req GROUP BY 1 HAVING min(fp) <> 0) a
+  JOIN (SELECT x.iface AS s, y.iface, count(*) AS n FROM req x JOIN req y ON x.name = y.name AND x.fp = y.fp AND x.fp <> 0 GROUP BY 1, 2) b ON a.iface = b.s AND a.n = b.n WHERE a.iface <> b.iface),
+snap AS (SELECT DISTINCT l_suppkey AS unit, l_partkey AS file, l_shipdate >= TIMESTAMP '{SPLIT_DAY}' AS is_new FROM lineitem)
+"""
+LX = r"""
+WITH lines AS (SELECT doc_id, source AS unit, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
+cut AS (SELECT doc_id, unit, line, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS t, regexp_split_to_array(text, '[A-Za-z_][A-Za-z0-9_]*') AS g FROM lines),
+flat AS (SELECT doc_id, unit, line, unnest(t) AS token, unnest(list_transform(g[1:len(t)], lambda x: strlen(x))) AS gap, unnest(range(1, len(t) + 1)) AS k FROM cut WHERE len(t) > 0),
+tok AS (SELECT doc_id, unit, line, token, CAST(1 + sum(gap + strlen(token)) OVER w - strlen(token) AS BIGINT) AS col, CAST(1 + sum(gap + strlen(token)) OVER w AS BIGINT) AS end_col FROM flat WINDOW w AS (PARTITION BY doc_id, line ORDER BY k)),
+decl AS (SELECT token, f.doc_id AS d_doc, f.line AS d_line, f.col AS d_col FROM (SELECT token, min({'doc_id': doc_id, 'line': line, 'col': col}) AS f FROM tok GROUP BY token)),
+occ AS (SELECT tok.*, d_doc, d_line, d_col, (doc_id = d_doc AND line = d_line AND col = d_col) AS is_decl FROM tok JOIN decl USING (token)),
+pos AS (SELECT doc_id, line, 1 + (doc_id * 7 + line * 13) % 60 AS q_col FROM lines),
+refhit AS (SELECT * FROM (SELECT p.doc_id, p.line, p.q_col, arg_max({'token': r.token, 'col': r.col, 'end_col': r.end_col, 'd_doc': r.d_doc, 'd_line': r.d_line, 'd_col': r.d_col}, r.col) AS r
+  FROM pos p JOIN occ r ON p.doc_id = r.doc_id AND p.line = r.line AND r.col <= p.q_col AND NOT r.is_decl GROUP BY 1, 2, 3) WHERE q_col < r.end_col),
+declhit AS (SELECT p.doc_id, p.line, p.q_col, arg_min({'token': r.token, 'col': r.col}, r.col) AS d FROM pos p JOIN occ r ON p.doc_id = r.doc_id AND p.line = r.line AND r.col <= p.q_col AND p.q_col < r.end_col AND r.is_decl GROUP BY 1, 2, 3)
+"""
+GX = """
+WITH RECURSIVE node AS (SELECT p_partkey AS node, p_type <> 'SMALL' AS is_root FROM part),
+prod AS (SELECT DISTINCT * FROM (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 2) WHERE dst IN (SELECT node FROM node)),
+edge AS (SELECT src, dst, 'prod' AS kind FROM prod UNION ALL SELECT p_partkey, p_partkey + 1, 'test' FROM part WHERE p_partkey % 97 = 0 AND p_partkey + 1 IN (SELECT node FROM node)),
+both_kinds AS (SELECT DISTINCT src, dst FROM edge),
+walk(node, level) AS (SELECT node, 0 FROM node WHERE node NOT IN (SELECT src FROM prod) UNION SELECT p.src, w.level + 1 FROM walk w JOIN prod p ON p.dst = w.node),
+lev AS (SELECT node, CAST(max(level) AS BIGINT) AS level FROM walk GROUP BY node),
+clo(seed, node) AS (SELECT s, s FROM (VALUES (CAST(5 AS BIGINT)), (7), (97), (194)) AS v(s) UNION SELECT c.seed, e.src FROM clo c JOIN both_kinds e ON e.dst = c.node)
+"""
+SEEDS = (5, 7, 97, 194)  #: the closures that the registered queries ask for
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# symbols and names
+
+
+@query(R + "SELECT pkg_hash, id_hash, name, kind, file, line, col, end_col FROM sym WHERE (pkg_hash, id_hash) IN (SELECT target_pkg, target_id FROM post)")
+def symbol_lookup(spark, sf):
+    r = Relational(spark, sf)
+    asked = r.postings().select(F.col("target_pkg").alias("pkg_hash"), F.col("target_id").alias("id_hash")).distinct()
+    return L.symbol_by_id(asked, r.symbols()).select("pkg_hash", "id_hash", "name", "kind", "file", "line", "col", "end_col")
+
+
+@query(R + "SELECT substr(name_lower, 1, 2) AS prefix, name_lower, count(DISTINCT id_hash) AS n, min(id_hash) AS least FROM sym GROUP BY ALL")
+def name_prefix(spark, sf):
+    """Every two-letter prefix with the names that it finds."""
+    s = Relational(spark, sf).symbols()
+    p = s.select(F.substring("name_lower", 1, 2).alias("prefix")).distinct()
+    hit = s.join(F.broadcast(p.limit(10_000)), F.substring("name_lower", 1, 2) == F.col("prefix"))
+    return hit.groupBy("prefix", "name_lower").agg(F.count_distinct("id_hash").alias("n"), F.min("id_hash").alias("least"))
+
+
+@query(R + "SELECT name, id_hash, pkg_hash, kind FROM sym ORDER BY name_lower, id_hash LIMIT 100")
+def workspace_symbol(spark, sf):
+    return L.workspace_symbol(Relational(spark, sf).symbols(), "").select("name", "id_hash", "pkg_hash", "kind")
+
+
+@query(R + "SELECT pkg_hash, min(id_hash) AS id_hash FROM (SELECT * FROM sym WHERE starts_with(name_lower, (SELECT min(name_lower) FROM sym)) ORDER BY name_lower, id_hash LIMIT 100) WHERE name = (SELECT min(p_name) FROM part) AND kind IN (0, 1, 2) AND pkg_hash <> 1 GROUP BY pkg_hash")
+def import_candidates(spark, sf):
+    r = Relational(spark, sf)
+    name = r.part.agg(F.min("p_name")).first()[0]
+    return L.import_candidates(r.symbols(), name, F.lit(1), [0, 1, 2])
+
+
+@query("SELECT p_partkey AS id_hash, p_brand || '#' || p_name AS symbol_id, sha256(p_brand || '#' || p_name) AS key FROM part")
+def symbol_id(spark, sf):
+    s = F.concat("p_brand", F.lit("#"), "p_name")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id_hash"), s.alias("symbol_id"), F.sha2(s, 256).alias("key"))
+
+
+@query("SELECT p_partkey, (CASE WHEN starts_with(p_name, 'b') THEN '0' ELSE '1' END) || p_name AS sort_text FROM part WHERE starts_with(lower(p_name), 'b')")
+def rank_prefix(spark, sf):
+    labels = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("label"))
+    return L.rank_prefix(labels, "b").select("p_partkey", "sort_text")
+
+
+@query(R + "SELECT pkg_hash, id_hash, name || ' ' || sig || ' (' || file || ':' || line || ')' AS hover FROM sym")
+def hover(spark, sf):
+    return Relational(spark, sf).symbols().select("pkg_hash", "id_hash", F.concat("name", F.lit(" "), "sig", F.lit(" ("), "file", F.lit(":"), "line", F.lit(")")).alias("hover"))
+
+
+# postings
+
+
+@query(R + "SELECT target_pkg, target_id, src, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines, CAST(sum(col) AS BIGINT) AS cols FROM post GROUP BY ALL")
+def postings_build(spark, sf):
+    b = P.build(Relational(spark, sf).postings())
+    total = lambda f: F.aggregate("locations", F.lit(0).cast("long"), lambda a, x: a + x[f])
+    return b.select("target_pkg", "target_id", "src", F.size("locations").cast("long").alias("n"), total("line").alias("lines"), total("col").alias("cols"))
+
+
+@query(R + "SELECT target_pkg, target_id, count(DISTINCT src) AS records, count(*) AS places FROM post GROUP BY ALL")
+def postings_for(spark, sf):
+    return Relational(spark, sf).postings().groupBy("target_pkg", "target_id").agg(F.count_distinct("src").alias("records"), F.count("*").alias("places"))
+
+
+@query(R + "SELECT target_pkg, target_id, src, CAST(4 + sum(16 + strlen(file)) AS BIGINT) AS bytes FROM post GROUP BY ALL")
+def posting_bytes(spark, sf):
+    return Relational(spark, sf).postings().groupBy("target_pkg", "target_id", "src").agg(P.record_bytes(F.col("file")).alias("bytes"))
+
+
+@query(R + f"SELECT src, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM post WHERE src NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) OR l_shipdate >= TIMESTAMP '{SPLIT_DAY}' GROUP BY src")
+def postings_replace(spark, sf):
+    """Suppliers in debt write anew what the new snapshot has; the others' postings stay."""
+    r = Relational(spark, sf)
+    index, again = r.postings(), r.supplier.where("s_acctbal < 0").select(F.col("s_suppkey").alias("src"))
+    fresh = index.where(F.col("l_shipdate") >= F.lit(SPLIT_DAY).cast("timestamp_ntz"))
+    return P.replace(index, fresh, again).groupBy("src").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
+
+
+def _wanted(r: Relational) -> DataFrame:
+    return r.symbols().select(F.col("id_hash").alias("query_id"), F.col("pkg_hash").alias("target_pkg"), F.col("id_hash").alias("target_id"))
+
+
+@query(R + "SELECT DISTINCT target_id AS query_id, file, line, col, end_col FROM post")
+def references(spark, sf):
+    r = Relational(spark, sf)
+    return P.locations(_wanted(r), r.postings())
+
+
+@query(R + "SELECT DISTINCT target_id AS query_id, file, line, col, end_col FROM post UNION SELECT id_hash, file, line, col, end_col FROM sym")
+def references_with_decl(spark, sf):
+    r = Relational(spark, sf)
+    decl = r.symbols().select(F.col("id_hash").alias("query_id"), *P.LOCATION)
+    return P.dedupe(P.locations(_wanted(r), r.postings()).unionByName(decl), ["query_id"])
+
+
+@query(R + "SELECT DISTINCT file, line, col, end_col FROM post")
+def dedupe_locations(spark, sf):
+    return P.dedupe(Relational(spark, sf).postings().select(*P.LOCATION))
+
+
+@query(R + "SELECT target_id AS query_id, file, count(*) AS n, CAST(min(line) AS BIGINT) AS first_line, CAST(sum(end_col - col) AS BIGINT) AS replaced FROM (SELECT DISTINCT target_id, file, line, col, end_col FROM post UNION SELECT id_hash, file, line, col, end_col FROM sym) GROUP BY ALL")
+def rename_edits(spark, sf):
+    e = P.rename_edits(references_with_decl(spark, sf), F.lit("renamed"))
+    width = F.aggregate("edits", F.lit(0).cast("long"), lambda a, x: a + x["end_col"] - x["col"])
+    return e.select("query_id", "file", F.size("edits").cast("long").alias("n"), F.get("edits", F.lit(0))["line"].alias("first_line"), width.alias("replaced"))
+
+
+# method relations
+
+
+@query(R + "SELECT e.* FROM ent e WHERE type_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) AND name IN (SELECT name FROM req)")
+def method_entries(spark, sf):
+    r = Relational(spark, sf)
+    return M.entries(r.methods(), r.supplier.where("s_acctbal >= 0").select(F.col("s_suppkey").alias("type_id")), r.requirements().select("name"))
+
+
+@query(R + "SELECT iface, type_id FROM (SELECT DISTINCT iface, name FROM req) JOIN (SELECT DISTINCT type_id, name FROM ent) USING (name) JOIN (SELECT iface, count(DISTINCT name) AS n FROM req GROUP BY 1) USING (iface) GROUP BY iface, type_id, n HAVING count(*) = n")
+def candidates_all(spark, sf):
+    r = Relational(spark, sf)
+    return M.candidates_all(r.requirements(), r.methods())
+
+
+@query(R + "SELECT DISTINCT iface, type_id FROM req JOIN ent USING (name)")
+def candidates_any(spark, sf):
+    r = Relational(spark, sf)
+    return M.candidates_any(r.requirements(), r.methods())
+
+
+@query(R + "SELECT iface, type_id FROM ok")
+def implementers(spark, sf):
+    r = Relational(spark, sf)
+    return M.confirmed(r.requirements(), r.methods())
+
+
+@query(R + "SELECT type_id, count(*) AS n, min(iface) AS least, max(iface) AS most FROM ok GROUP BY type_id")
+def satisfied_interfaces(spark, sf):
+    return implementers(spark, sf).groupBy("type_id").agg(F.count("*").alias("n"), F.min("iface").alias("least"), F.max("iface").alias("most"))
+
+
+@query(R + "SELECT sub, sup FROM emb")
+def supertypes(spark, sf):
+    return M.embedding(Relational(spark, sf).requirements()).select("sub", "sup")
+
+
+@query(R + "SELECT iface AS sup, type_id AS sub, false AS is_interface FROM ok UNION ALL SELECT sup, sub, true FROM emb")
+def subtypes(spark, sf):
+    r = Relational(spark, sf)
+    return M.subtypes(r.requirements(), r.methods())
+
+
+@query(R + "SELECT sup, sub, is_interface, row_number() OVER (PARTITION BY sup ORDER BY is_interface, sub) AS place FROM (SELECT iface AS sup, type_id AS sub, false AS is_interface FROM ok UNION ALL SELECT sup, sub, true FROM emb)")
+def type_hierarchy_order(spark, sf):
+    w = Window.partitionBy("sup").orderBy("is_interface", "sub")
+    return subtypes(spark, sf).withColumn("place", F.row_number().over(w).cast("long"))
+
+
+@query(R + "SELECT o.iface, o.type_id, q.name, q.fp FROM ok o JOIN req q USING (iface)")
+def method_implementations(spark, sf):
+    r = Relational(spark, sf)
+    return M.method_pairs(r.requirements(), r.methods()).select("iface", "type_id", "name", "fp")
+
+
+# positions in documents
+
+
+def _refs(x: Lexical) -> DataFrame:
+    return x.occurrences().where("NOT is_decl").select("doc_id", "line", "col", "end_col", "token", "d_doc", "d_line", "d_col")
+
+
+def _decls(x: Lexical) -> DataFrame:
+    return x.occurrences().where("is_decl").select("doc_id", "line", "col", "end_col", "token")
+
+
+@query(LX + "SELECT doc_id, line, q_col, r.token AS token, r.col AS col FROM refhit")
+def ref_at_position(spark, sf):
+    x = Lexical(spark, sf)
+    return L.ref_at(x.positions(), _refs(x)).select("doc_id", "line", "q_col", "token", "col")
+
+
+@query(LX + "SELECT doc_id, line, q_col, d.token AS token, d.col AS col FROM declhit")
+def symbol_at_position(spark, sf):
+    x = Lexical(spark, sf)
+    return L.symbol_at(x.positions(), _decls(x))
+
+
+def _resolved(x: Lexical) -> DataFrame:
+    refs = L.ref_at(x.positions(), _refs(x)).select("doc_id", "line", "q_col", F.col("token").alias("r_token"), "d_doc", "d_line", "d_col")
+    decls = L.symbol_at(x.positions(), _decls(x)).select("doc_id", "line", "q_col", F.col("token").alias("s_token"), F.col("col").alias("s_col"))
+    both = x.positions().join(refs, ["doc_id", "line", "q_col"], "left").join(decls, ["doc_id", "line", "q_col"], "left")
+    by_ref = F.col("r_token").isNotNull()
+    return both.select("doc_id", "line", "q_col", F.coalesce("r_token", "s_token").alias("token"), F.when(by_ref, F.col("d_doc")).otherwise(F.when(F.col("s_token").isNotNull(), F.col("doc_id"))).alias("t_doc"),
+                       F.when(by_ref, F.col("d_line")).otherwise(F.when(F.col("s_token").isNotNull(), F.col("line"))).alias("t_line"), F.when(by_ref, F.col("d_col")).otherwise(F.col("s_col")).alias("t_col"))
+
+
+_RESOLVED = """, res AS (SELECT p.doc_id, p.line, p.q_col, coalesce(r.r.token, s.d.token) AS token, CASE WHEN r.r IS NOT NULL THEN r.r.d_doc WHEN s.d IS NOT NULL THEN p.doc_id END AS t_doc,
+ CASE WHEN r.r IS NOT NULL THEN r.r.d_line WHEN s.d IS NOT NULL THEN p.line END AS t_line, CASE WHEN r.r IS NOT NULL THEN r.r.d_col ELSE s.d.col END AS t_col
+ FROM pos p LEFT JOIN refhit r USING (doc_id, line, q_col) LEFT JOIN declhit s USING (doc_id, line, q_col)) """
+
+
+@query(LX + _RESOLVED + "SELECT doc_id, line, q_col, token FROM res WHERE token IS NOT NULL")
+def resolve_at(spark, sf):
+    return _resolved(Lexical(spark, sf)).where("token IS NOT NULL").select("doc_id", "line", "q_col", "token")
+
+
+@query(LX + _RESOLVED + "SELECT doc_id, line, q_col, t_doc, t_line, t_col FROM res WHERE token IS NOT NULL")
+def definition(spark, sf):
+    return _resolved(Lexical(spark, sf)).where("token IS NOT NULL").select("doc_id", "line", "q_col", "t_doc", "t_line", "t_col")
+
+
+@query(LX + _RESOLVED + """, firsts AS (SELECT doc_id, line, min(col) AS f_col FROM tok GROUP BY ALL)
+SELECT r.doc_id, r.line, r.q_col, coalesce(t_doc, r.doc_id) AS t_doc, coalesce(t_line, r.line) AS t_line, coalesce(t_col, f_col, 1) AS t_col,
+ CASE WHEN token IS NOT NULL THEN 'index' WHEN f_col IS NOT NULL THEN 'line' ELSE 'start' END AS tier FROM res r LEFT JOIN firsts f ON r.doc_id = f.doc_id AND r.line = f.line""")
+def definition_fallback(spark, sf):
+    """The index, else the first identifier of the line, else the line's start."""
+    x = Lexical(spark, sf)
+    firsts = x.tokens.groupBy("doc_id", "line").agg(F.min("col").alias("f_col"))
+    r = _resolved(x).join(firsts, ["doc_id", "line"], "left")
+    tier = F.when(F.col("token").isNotNull(), "index").when(F.col("f_col").isNotNull(), "line").otherwise("start")
+    return r.select("doc_id", "line", "q_col", F.coalesce("t_doc", "doc_id").alias("t_doc"), F.coalesce("t_line", "line").alias("t_line"), F.coalesce("t_col", "f_col", F.lit(1)).cast("long").alias("t_col"), tier.alias("tier"))
+
+
+@query(LX + "SELECT o.doc_id, o.line, o.col, o.token FROM occ o WHERE o.is_decl AND regexp_matches(o.token, '^[A-Z]')")
+def embedded_fields(spark, sf):
+    """Exported declarations that stand exactly where an occurrence of their name does."""
+    x = Lexical(spark, sf)
+    d = x.declared().select(F.col("d_doc").alias("doc_id"), F.col("d_line").alias("line"), F.col("d_col").alias("col"), "token")
+    return x.tokens.join(d, ["doc_id", "line", "col", "token"], "left_semi").where(F.col("token").rlike("^[A-Z]")).select("doc_id", "line", "col", "token")
+
+
+@query(LX + "SELECT token, doc_id, (line - 1) // 5 AS block, count(*) AS n_calls, min(line) AS first_line FROM occ WHERE NOT is_decl AND token <> '' GROUP BY ALL")
+def incoming_calls(spark, sf):
+    """Callers are blocks of five lines, the outermost spans; a line is the inner one."""
+    refs = Lexical(spark, sf).occurrences().where("NOT is_decl").withColumn("block", F.floor((F.col("line") - 1) / 5))
+    return refs.groupBy("token", "doc_id", "block").agg(F.count("*").alias("n_calls"), F.min("line").alias("first_line"))
+
+
+@query(LX + "SELECT doc_id, line // 5 AS caller, token, count(*) AS n_calls, min(col) AS first_col FROM (SELECT doc_id, line - 1 AS line, token, col FROM occ WHERE NOT is_decl) GROUP BY ALL")
+def outgoing_calls(spark, sf):
+    refs = Lexical(spark, sf).occurrences().where("NOT is_decl").withColumn("caller", F.floor((F.col("line") - 1) / 5))
+    f = D.fold_calls(refs, ["doc_id", "caller", "token"])
+    return f.select("doc_id", "caller", "token", "n_calls", F.array_min(F.transform("ranges", lambda r: r["col"])).alias("first_col"))
+
+
+@query(LX + "SELECT doc_id, token, count(*) AS n, CAST(sum(CASE WHEN is_decl THEN 1 ELSE 0 END) AS BIGINT) AS writes, min(line) AS first_line FROM occ GROUP BY ALL")
+def highlight(spark, sf):
+    o = Lexical(spark, sf).occurrences()
+    return o.groupBy("doc_id", "token").agg(F.count("*").alias("n"), F.sum(F.col("is_decl").cast("long")).alias("writes"), F.min("line").alias("first_line"))
+
+
+@query(LX + """SELECT doc_id, line, col, line - coalesce(pl, 1) AS d_line, CASE WHEN line = coalesce(pl, 1) THEN col - coalesce(pc, 1) ELSE col - 1 END AS d_col
+FROM (SELECT doc_id, line, col, lag(line) OVER w AS pl, lag(col) OVER w AS pc FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY line, col))""")
+def token_delta(spark, sf):
+    return D.token_deltas(Lexical(spark, sf).tokens.select("doc_id", "line", "col"))
+
+
+@query(LX + "SELECT unit, token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tok GROUP BY ALL")
+def ident_tokens(spark, sf):
+    return Lexical(spark, sf).tokens.groupBy("unit", "token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("SELECT doc_id, n FROM (SELECT doc_id, len(regexp_extract_all(text, '\\bthe\\b')) AS n FROM documents) WHERE n > 0")
+def word_occurrences(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", X.word_count(F.col("text"), "the").cast("long").alias("n"))
+    return d.where("n > 0")
+
+
+@query(LX + "SELECT doc_id, line, regexp_matches('//' || text, '^//line |^//[a-z0-9]+:[a-z0-9]') AS is_directive FROM lines")
+def directive_filter(spark, sf):
+    return Lexical(spark, sf).lines().select("doc_id", "line", X.is_directive(F.concat(F.lit("//"), "text")).alias("is_directive"))
+
+
+@query("""SELECT doc_id, CAST(i AS BIGINT) AS line, CAST(coalesce(list_sum(list_transform(s[1:i - 1], lambda x: strlen(x) + 1)), 0) AS BIGINT) AS start FROM (SELECT doc_id, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)""")
+def line_starts(spark, sf):
+    """Byte offsets at which lines begin."""
+    d = Lexical(spark, sf).lines()
+    w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    return d.select("doc_id", "line", F.coalesce(F.sum(F.octet_length("text") + 1).over(w), F.lit(0)).cast("long").alias("start"))
+
+
+@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS s, doc_id * 31 % greatest(strlen(text), 1) AS off FROM documents),
+l AS (SELECT doc_id, off, unnest(range(1, len(s) + 1)) AS line, unnest(list_transform(s, lambda x: strlen(x) + 1)) AS n FROM d),
+c AS (SELECT doc_id, off, line, sum(n) OVER (PARTITION BY doc_id ORDER BY line) - n AS start, n FROM l)
+SELECT doc_id, CAST(off AS BIGINT) AS byte_offset, CAST(line AS BIGINT) AS line, CAST(off - start + 1 AS BIGINT) AS col FROM c WHERE off >= start AND off < start + n""")
+def line_col(spark, sf):
+    """The line and byte column of one offset of each document."""
+    off = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") * 31 % F.greatest(F.octet_length("text"), F.lit(1))).alias("byte_offset"))
+    s = line_starts(spark, sf).join(off, "doc_id").where("start <= byte_offset")
+    return s.groupBy("doc_id", "byte_offset").agg(F.max("line").alias("line"), F.max("start").alias("start")).select("doc_id", "byte_offset", "line", (F.col("byte_offset") - F.col("start") + 1).alias("col"))
+
+
+@query(LX + "SELECT doc_id, line, CAST(strlen(text) AS BIGINT) AS bytes, CAST(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS BIGINT) AS units FROM lines")
+def utf16_columns(spark, sf):
+    return Lexical(spark, sf).lines().select("doc_id", "line", F.octet_length("text").cast("long").alias("bytes"), X.utf16_length(F.col("text")).alias("units"))
+
+
+@query("""SELECT doc_id, CAST(i AS BIGINT) AS line, CAST(CASE WHEN i <= 2 OR n < 2 THEN (CASE WHEN n < 2 AND i > n THEN i ELSE i END) ELSE i + 1 END AS BIGINT) AS mapped FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)""")
+def dirty_line_map(spark, sf):
+    """Lines of each document in a copy with a line put in behind the second."""
+    old = F.split("text", "\n")
+    d = table(spark, sf, "documents").select("doc_id", old.alias("old")).withColumn("new", F.concat(F.slice("old", 1, 2), F.array(F.lit("\u0001 inserted")), F.slice("old", F.lit(3), F.greatest(F.size("old") - 2, F.lit(0)))))
+    rows = d.select("doc_id", "old", "new", F.explode(F.sequence(F.lit(1), F.size("old"))).alias("line"))
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), X.dirty_line(F.col("old"), F.col("new"), F.col("line")).cast("long").alias("mapped"))
+
+
+@query("""SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages) GROUP BY ALL""")
+def document_links(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("link"))
+    return p.groupBy("page_id", "link").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k, true AS enabled FROM events")
+def json_settings(spark, sf):
+    """Settings of an event over the defaults."""
+    e = table(spark, sf, "events")
+    own = F.from_json("props", "map<string,long>")
+    merged = F.map_from_entries(F.concat(F.filter(F.array(F.struct(F.lit("k").alias("key"), F.lit(-1).cast("long").alias("value"))), lambda d: ~F.coalesce(F.map_contains_key(own, d["key"]), F.lit(False))), F.coalesce(F.map_entries(own), F.expr("array()"))))
+    return e.select("event_id", F.try_element_at(merged, F.lit("k")).alias("k"), F.lit(True).alias("enabled"))
+
+
+# graphs
+
+
+@query(GX + "SELECT dst AS node, count(*) AS n, CAST(min(src) AS BIGINT) AS least, CAST(max(src) AS BIGINT) AS most FROM both_kinds GROUP BY dst")
+def reverse_deps(spark, sf):
+    g = Graph(spark, sf)
+    return G.reverse_deps(g.edges, g.nodes).select("node", F.size("importers").cast("long").alias("n"), F.array_min("importers").alias("least"), F.array_max("importers").alias("most"))
+
+
+@query(GX + "SELECT src AS node, count(*) AS n FROM edge GROUP BY src")
+def in_degree(spark, sf):
+    return Graph(spark, sf).edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+
+
+@query(GX + "SELECT node, level FROM lev")
+def topo_level(spark, sf):
+    g = Graph(spark, sf)
+    return G.levels(g.nodes, g.prod)
+
+
+_POS = "level * 1000000000 + node"
+
+
+@query(GX + f", o AS (SELECT node, {_POS} AS pos FROM lev) SELECT e.src AS a, e.dst AS b, x.pos < y.pos AS is_before FROM both_kinds e JOIN o x ON x.node = e.src JOIN o y ON y.node = e.dst")
+def before(spark, sf):
+    g = Graph(spark, sf)
+    order = G.levels(g.nodes, g.prod).select("node", F.expr(_POS).alias("pos"))
+    return G.before(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), order)
+
+
+@query(GX + f", o AS (SELECT node, {_POS} AS pos FROM lev) SELECT e.src AS node, e.dst AS dep FROM both_kinds e JOIN node n ON n.node = e.dst AND n.is_root JOIN o x ON x.node = e.src JOIN o y ON y.node = e.dst WHERE y.pos < x.pos")
+def schedulable_deps(spark, sf):
+    g = Graph(spark, sf)
+    order = G.levels(g.nodes, g.prod).select("node", F.expr(_POS).alias("pos"))
+    return G.schedulable_deps(g.edges, g.nodes, order)
+
+
+@query(GX + "SELECT seed, node FROM clo")
+def closure(spark, sf):
+    seeds = spark.createDataFrame([(s,) for s in SEEDS], "seed long")
+    return G.closure(seeds, Graph(spark, sf).edges)
+
+
+@query(GX + f", o AS (SELECT node, {_POS} AS pos FROM lev) SELECT seed, node, row_number() OVER (PARTITION BY seed ORDER BY pos) AS place FROM clo JOIN o USING (node) WHERE seed <> node")
+def ordered_closure(spark, sf):
+    g = Graph(spark, sf)
+    order = G.levels(g.nodes, g.prod).select("node", F.expr(_POS).alias("pos"))
+    c = G.ordered_closure(spark.createDataFrame([(s,) for s in SEEDS], "seed long"), g.edges, order)
+    return c.select("seed", "node", F.row_number().over(Window.partitionBy("seed").orderBy("pos")).cast("long").alias("place"))
+
+
+@query(GX + "SELECT e.src AS node, sha256(string_agg(CAST(e.dst AS VARCHAR), ',' ORDER BY CAST(e.dst AS VARCHAR))) AS key FROM both_kinds e JOIN node n ON n.node = e.dst AND NOT n.is_root GROUP BY e.src")
+def deps_key(spark, sf):
+    """Identity of the part of a node's dependencies that isn't a root."""
+    g = Graph(spark, sf)
+    e = g.edges.select("src", "dst").distinct().join(g.nodes.where("NOT is_root").select(F.col("node").alias("dst")), "dst", "left_semi")
+    return e.groupBy(F.col("src").alias("node")).agg(C.joined_key(F.col("dst").cast("string")).alias("key"))
+
+
+# incremental maintenance
+
+_KEYS = """, ck AS (SELECT unit, is_new, sha256(string_agg(CAST(file AS VARCHAR), ',' ORDER BY CAST(file AS VARCHAR))) AS key FROM snap GROUP BY ALL) """
+_STALE = _KEYS + """, st AS (SELECT n.unit, CASE WHEN o.key IS NULL THEN 'missing' WHEN o.key <> n.key THEN 'key' WHEN b.s_suppkey IS NULL THEN 'blob' END AS stale FROM (SELECT * FROM ck WHERE is_new) n LEFT JOIN (SELECT * FROM ck WHERE NOT is_new) o USING (unit) LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) b ON b.s_suppkey = n.unit) """
+
+
+@query(R + _KEYS + "SELECT unit, key FROM ck WHERE is_new")
+def content_hash(spark, sf):
+    return C.content_keys(Relational(spark, sf).snapshot(True))
+
+
+@query(R + _KEYS + "SELECT unit, sha256('4|' || key || '|' || coalesce(deps, '')) AS key FROM ck LEFT JOIN (SELECT l_suppkey AS unit, string_agg(DISTINCT CAST(pkg_hash AS VARCHAR), ',' ORDER BY CAST(pkg_hash AS VARCHAR)) AS deps FROM lineitem JOIN def USING (l_partkey) WHERE pkg_hash < l_suppkey GROUP BY 1) USING (unit) WHERE is_new")
+def unit_key(spark, sf):
+    """Own content and the units before it that it depends on."""
+    r = Relational(spark, sf)
+    deps = r.postings().where("target_pkg < src").select(F.col("src").alias("unit"), F.col("target_pkg").cast("string").alias("d")).distinct()
+    deps = deps.groupBy("unit").agg(F.array_join(F.sort_array(F.collect_list("d")), ",").alias("deps"))
+    x = C.content_keys(r.snapshot(True)).join(deps, "unit", "left")
+    return x.select("unit", C.unit_key(4, F.col("key"), F.coalesce("deps", F.lit(""))).alias("key"))
+
+
+@query(R + """SELECT unit, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT unit, list(file ORDER BY file) FILTER (NOT is_new) AS o, list(file ORDER BY file) FILTER (is_new) AS n FROM snap GROUP BY unit) WHERE o IS DISTINCT FROM n""")
+def changed_export_set(spark, sf):
+    r = Relational(spark, sf)
+    return C.snapshot_diff(r.snapshot(False), r.snapshot(True))
+
+
+def _stale(spark, sf) -> DataFrame:
+    r = Relational(spark, sf)
+    stored, current = C.content_keys(r.snapshot(False)), C.content_keys(r.snapshot(True))
+    blobs = stored.join(r.supplier.where("s_acctbal >= 0").select(F.col("s_suppkey").alias("unit")), "unit", "left_semi").select("key")
+    return C.revalidate(current, stored, blobs)
+
+
+@query(R + _STALE + "SELECT unit, stale FROM st")
+def revalidate(spark, sf):
+    return _stale(spark, sf)
+
+
+@query(R + _STALE + "SELECT count(stale) AS n, CASE WHEN count(stale) = 0 THEN 'none' WHEN count(stale) <= 64 THEN 'repair' ELSE 'rebuild' END AS action FROM st")
+def revalidate_action(spark, sf):
+    return _stale(spark, sf).agg(F.count("stale").alias("n")).withColumn("action", C.action(F.col("n")))
+
+
+@query(R + _STALE + "SELECT count(*) AS units, CAST(sum(CASE WHEN stale = 'key' THEN 1 ELSE 0 END) AS BIGINT) AS by_key, CAST(sum(CASE WHEN stale = 'missing' THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN stale IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS skipped FROM st")
+def build_stats(spark, sf):
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    s = F.coalesce("stale", F.lit("none"))
+    return _stale(spark, sf).agg(F.count("*").alias("units"), n(s == "key").alias("by_key"), n(s == "missing").alias("missing"), n(s == "none").alias("skipped"))
+
+
+@query(GX + """, exp AS (SELECT p_partkey AS node FROM part WHERE p_size % 2 = 0), redo(node) AS (SELECT s FROM (VALUES (CAST(5 AS BIGINT)), (7), (97), (194)) AS v(s) UNION SELECT e.src FROM redo r JOIN both_kinds e ON e.dst = r.node WHERE r.node IN (SELECT node FROM exp))
+SELECT node, level FROM redo JOIN lev USING (node)""")
+def reindex_cutoff(spark, sf):
+    """Exports of parts of even size differ; the walk stops at the others."""
+    g = Graph(spark, sf)
+    exports = table(spark, sf, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("node"))
+    return C.cut_off(spark.createDataFrame([(s,) for s in SEEDS], "node long"), exports, g.edges, G.levels(g.nodes, g.prod))
+
+
+@query("SELECT o_orderkey AS key, o_orderstatus <> 'F' AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 48 HOURS AS swept FROM orders")
+def gc_sweep(spark, sf):
+    """Blobs are orders, finished ones are marked."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("mtime"), "o_orderstatus")
+    return C.sweep(o, o.where("o_orderstatus = 'F'"), F.lit("1998-01-01").cast("timestamp_ntz")).select("key", "swept")
+
+
+@query(R + """, per AS (SELECT unit, bool_or(is_new) AS complete, list(DISTINCT file) AS imports FROM snap GROUP BY unit) SELECT unit FROM per WHERE complete AND NOT list_has_any(imports, [5, 7, 97, 194]) AND unit NOT IN (5, 7, 97, 194)""")
+def cache_invalidate(spark, sf):
+    r = Relational(spark, sf)
+    both = r.snapshot(False).withColumn("n", F.lit(False)).unionAll(r.snapshot(True).withColumn("n", F.lit(True)))
+    cache = both.groupBy("unit").agg(F.bool_or("n").alias("complete"), F.collect_set("file").alias("imports"))
+    return C.survivors(cache, F.array(*[F.lit(s).cast("long") for s in SEEDS])).select("unit")
+
+
+@query("SELECT user_id, event_id, CAST(sum(CAST(floor(value) AS BIGINT)) OVER w AS BIGINT) AS running, sum(CAST(floor(value) AS BIGINT)) OVER w <= 1000 AS kept FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id ROWS UNBOUNDED PRECEDING)")
+def lru_budget(spark, sf):
+    """A cache of 1,000 for each user."""
+    e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("entry"), F.col("ts").alias("last_used"), F.floor("value").alias("size"))
+    return C.budget(e, ["user_id"], 1000).select("user_id", F.col("entry").alias("event_id"), "running", "kept")
+
+
+@query(R + "SELECT unit, file FROM snap WHERE NOT is_new EXCEPT SELECT unit, file FROM snap WHERE is_new")
+def cleared_files(spark, sf):
+    """Files that had findings before and have none now."""
+    r = Relational(spark, sf)
+    return r.snapshot(False).join(r.snapshot(True), ["unit", "file"], "left_anti")
+
+
+# change streams
+
+_E = "WITH e AS (SELECT event_id AS gen, user_id AS path, ts AS mtime, CAST(trunc(value) AS BIGINT) AS size, event_type = 'error' AS is_delete, event_type = 'signup' AS is_module, event_type FROM events)"
+
+
+@query(_E + """, f AS (SELECT *, CASE WHEN lag(mtime) OVER w IS NULL OR mtime - lag(mtime) OVER w >= INTERVAL 4 HOURS THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY path ORDER BY mtime, gen)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY mtime, gen ROWS UNBOUNDED PRECEDING) AS session FROM f) SELECT path, CAST(session AS BIGINT) AS session, min(mtime) AS first, max(mtime) AS last, count(*) AS n, bool_or(is_module) AS reload FROM s GROUP BY path, session""")
+def debounce_sessions(spark, sf):
+    return T.sessions(changes(spark, sf), 4 * 3600, ["path"])
+
+
+@query(_E + "SELECT gen, path FROM (SELECT *, coalesce(lag(size) OVER w = size AND lag(mtime) OVER w = mtime AND NOT lag(is_delete) OVER w, false) AS same FROM e WINDOW w AS (PARTITION BY path ORDER BY mtime, gen)) WHERE is_delete OR NOT same")
+def watch_dedup(spark, sf):
+    return T.changed_only(changes(spark, sf)).select("gen", "path")
+
+
+@query(_E + "SELECT path, max(gen) AS gen, arg_max(size, gen) AS size, arg_max(event_type, gen) AS event_type FROM e GROUP BY path")
+def latest_generation(spark, sf):
+    return T.latest(changes(spark, sf)).select("path", "gen", "size", "event_type")
+
+
+@query(_E + "SELECT gen, CASE WHEN is_module THEN 'reload' WHEN is_delete OR path NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) THEN 'graph' ELSE 'dirty' END AS routed FROM e")
+def event_routing(spark, sf):
+    known = table(spark, sf, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("path"), F.lit(True).alias("known"))
+    e = changes(spark, sf).join(known, "path", "left")
+    return e.select("gen", T.route(F.col("is_delete"), F.col("is_module"), F.coalesce("known", F.lit(False))).alias("routed"))
+
+
+@query()
+def line_diff(spark, sf):
+    """Edits that turn each text into the one of the next document of its source; applied, they give it."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("before"))
+    w = Window.partitionBy("source").orderBy("id")
+    return D.diff_lines(d.withColumn("after", F.lead("before").over(w)).where("after IS NOT NULL"))
