@@ -8,6 +8,8 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refloom.sources.scratch import root
+
 #: Largest number of rows of a side that may be broadcast; it is counted before the hint is given.
 BROADCAST_ROWS = 200_000
 
@@ -16,22 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where the setting is absent (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="refloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def materialize(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost
     executor costs a reread instead of a recomputation."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/refloom/{name}-{uuid.uuid4().hex}"
+    path = f"{root(spark)}/refloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -62,11 +53,15 @@ def fold_of(doc_id) -> int:
     return zlib.crc32(str(doc_id).encode()) % 3
 
 
-def sampled_rows(df: DataFrame, key: str, rows: int, columns: list[str]) -> list:
+def sampled_rows(df: DataFrame, key: str, rows: int, columns: list[str], among: DataFrame | None = None) -> list:
     """The rows of at most `rows` keys, chosen by a hash of the key, on the driver: the same ones however
     the table is laid out. Only keys are ordered; texts are then read for those keys alone. Repeated
-    keys count once each, so at most twice as many rows come back."""
-    keys = df.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct().orderBy(F.xxhash64("k"), "k").limit(rows)
+    keys count once each, so at most twice as many rows come back. `among` is a table of the keys that may
+    be chosen."""
+    keys = df.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct()
+    if among is not None:
+        keys = keys.join(among.select(F.col(key).alias("k")), "k", "left_semi")
+    keys = keys.orderBy(F.xxhash64("k"), "k").limit(rows)
     ids = keys.sparkSession.createDataFrame([(r[0],) for r in keys.collect()], "k long")
     got = df.join(F.broadcast(ids), F.col(key) == F.col("k"), "left_semi").select(*columns).limit(2 * rows).collect()
     return sorted(got, key=lambda r: tuple(str(x) for x in r))

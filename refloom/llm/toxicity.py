@@ -292,7 +292,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> BiGR
     rows = []
     for y in (0, 1):
         ids = marks.where(F.col("toxic") == y).select("doc_id")
-        rows += [(r[1], y) for r in sampled_rows(may.join(ids, "doc_id", "left_semi"), "doc_id", each, ["doc_id", "text"])]
+        rows += [(r[1], y) for r in sampled_rows(may, "doc_id", each, ["doc_id", "text"], ids)]
     rows.sort(key=lambda r: (zlib.crc32(r[0].encode()), r[1]))
     return train(rows)
 
