@@ -98,10 +98,12 @@ def repeated_chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     return all_chunks.join(shared.hint("merge"), "digest")
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: int = SPAN) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: int = SPAN, later: bool = False) -> DataFrame:
     """(doc_id, start, length, n_chunks, first_doc): runs of neighbouring repeated chunks of `least` bytes or
-    more, in bytes of the text; a document is `first` where no smaller id has any chunk of the run."""
+    more, in bytes of the text. A chunk's first document is the smallest id that has it; first_doc is the
+    largest one of the run's chunks. With `later`, runs hold only chunks that a smaller id has."""
     found = repeated_chunks(docs, text, id_col)
+    found = found.where("first_doc < doc_id") if later else found
     runs = found.groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.struct("start", "length", "first_doc"))).alias("c"))
 
     def fill(batches):
@@ -109,10 +111,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             rows = []
             for i, c in zip(b["doc_id"].tolist(), b["c"]):
                 start = stop = n = 0
-                first = i
+                first = 0
                 for x in c:
                     if n and x["start"] == stop:
-                        stop, n, first = stop + x["length"], n + 1, min(first, x["first_doc"])
+                        stop, n, first = stop + x["length"], n + 1, max(first, x["first_doc"])
                         continue
                     if n and stop - start >= least:
                         rows.append((i, start, stop - start, n, first))
@@ -125,8 +127,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def dedup_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: int = SPAN) -> DataFrame:
-    """(doc_id, text): every text without the repeated spans that a smaller id has first; null stays null."""
-    spans = repeated_spans(docs, text, id_col, least).where("first_doc < doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("cut"))
+    """(doc_id, text): every text without the spans that smaller ids have; null stays null."""
+    spans = repeated_spans(docs, text, id_col, least, later=True).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("cut"))
 
     def fill(batches):
         for b in batches:

@@ -4,7 +4,8 @@ The codec is plain Python over bytes objects; the columns are filled by `mapInPa
 time, so a task holds one Arrow batch and one file. Nothing is shuffled.
 
 Edge cases: a null text is an empty text, an empty text is stored as 64 zero bytes; a page whose
-checksum is wrong is skipped and counted, the packets that it interrupts are dropped and counted;
+checksum is wrong is skipped and counted, as are the gaps in a stream's page numbers; packets that a gap
+interrupts are dropped and counted;
 bytes between pages are skipped until the next capture pattern; an empty file has no pages.
 """
 
@@ -60,6 +61,7 @@ class OggFile:
     pages: int = 0
     bad_pages: int = 0
     skipped_bytes: int = 0
+    lost_pages: int = 0
     lost_packets: int = 0
     streams: dict[int, Stream] = field(default_factory=dict)
 
@@ -134,8 +136,9 @@ def decode(data: bytes) -> OggFile:
         s = out.streams.setdefault(serial, Stream(serial))
         s.begun |= bool(flags & 2)
         s.ended |= bool(flags & 4)
-        if s.next_page is not None and number != s.next_page and s.partial is not None:
-            out.lost_packets += 1
+        if number != (s.next_page or 0):
+            out.lost_pages += max(1, number - (s.next_page or 0))
+            out.lost_packets += s.partial is not None
             s.partial = None
         s.next_page = number + 1
         if not flags & 1 and s.partial is not None:
@@ -176,7 +179,7 @@ def payload_of(f: OggFile) -> bytes:
         _, stream, streams, _, block, want = IDENT.unpack_from(s.packets[0].data)
         blocks += [((round(p.start_s * s.rate) // block) * streams + stream, p.data) for p in s.packets[1:]]
     out = b"".join(d for _, d in sorted(blocks, key=lambda x: x[0]))
-    if len(out) != want or f.bad_pages or f.lost_packets:
+    if len(out) != want or f.bad_pages or f.lost_pages or f.lost_packets:
         raise ValueError(f"{len(out)} of {want} payload bytes, {f.bad_pages} bad pages, {f.lost_packets} lost packets")
     return out
 
