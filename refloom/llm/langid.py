@@ -260,19 +260,17 @@ def batches_of(size: int = 2_000_000) -> Callable:
 def identify(docs: DataFrame, text: str = "text", id_col: str = "doc_id", model: Field | None = None, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text. With `keep`, those columns come too."""
     model = model if model is not None else fit_from(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # HASH x labels numbers
     split = batches_of()
     extra = [c for c in keep or []]
     schema = "doc_id long, lang_pred string, score double"
     cols = [F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text}`").alias("_t")]
 
     def fill(batches):
-        field = sent.value
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["_t"]]
             got = []
             for x, y in split(texts):
-                got += field.predict(texts[x:y])
+                got += model.predict(texts[x:y])
             yield pd.DataFrame({"doc_id": b["_i"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]} | {c: b[c] for c in extra})
 
     if extra:
@@ -286,7 +284,7 @@ def keep_identified(docs: DataFrame, text: str = "text", least: float = 0.35, mo
     """The rows whose language is told with a score of at least `least`: all columns, unchanged. Rows of
     null texts, or of texts without a letter, go; so do those whose words no language explains."""
     model = model if model is not None else fit_from(docs)
-    sent, split = docs.sparkSession.sparkContext.broadcast(model), batches_of()
+    split = batches_of()
     at = docs.columns.index(text)
 
     def fill(batches):
@@ -296,7 +294,7 @@ def keep_identified(docs: DataFrame, text: str = "text", least: float = 0.35, mo
             texts = [t or "" for t in b.column(at).to_pylist()]
             good = []
             for x, y in split(texts):
-                good += [lang != UND and score >= least for lang, score in sent.value.predict(texts[x:y])]
+                good += [lang != UND and score >= least for lang, score in model.predict(texts[x:y])]
             yield b.filter(pa.array(good, type=pa.bool_()))
 
     return docs.mapInArrow(fill, docs.schema)

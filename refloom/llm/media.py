@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 BLOCK = 4096  #: samples of a data packet
 RATE = 8000  #: samples a second in a written file
 STREAMS = 2  #: logical streams that a payload is dealt to
-HEADER = struct.Struct("<4sBBqIIIB")  # capture, version, flags, granule, serial, page number, checksum, segments
-IDENT = struct.Struct("<8sBBIIQ")  # magic, stream, streams, rate, block, payload bytes
+HEADER = "<4sBBqIIIB"  # capture, version, flags, granule, serial, page number, checksum, segments
+IDENT = "<8sBBIIQ"  # magic, stream, streams, rate, block, payload bytes
 MAGIC = b"PCM8\x00\x01\x00\x00"
 _REV8 = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
@@ -67,7 +67,7 @@ class OggFile:
 
 
 def _page(serial: int, number: int, flags: int, granule: int, lacing: bytes, body: bytes) -> bytes:
-    head = HEADER.pack(b"OggS", 0, flags, granule, serial, number, 0, len(lacing))
+    head = struct.pack(HEADER, b"OggS", 0, flags, granule, serial, number, 0, len(lacing))
     crc = page_crc(head + lacing + body)
     return head[:22] + struct.pack("<I", crc) + head[26:] + lacing + body
 
@@ -99,7 +99,7 @@ def encode(payload: bytes) -> bytes:
     """The payload's bytes as unsigned 8-bit samples, dealt by blocks to STREAMS multiplexed streams."""
     streams = []
     for s in range(STREAMS):
-        packets, total = [(IDENT.pack(MAGIC, s, STREAMS, RATE, BLOCK, len(payload)), 0)], 0
+        packets, total = [(struct.pack(IDENT, MAGIC, s, STREAMS, RATE, BLOCK, len(payload)), 0)], 0
         for at in range(s * BLOCK, len(payload), STREAMS * BLOCK):
             block = payload[at : at + BLOCK]
             total += len(block)
@@ -124,7 +124,7 @@ def decode(data: bytes) -> OggFile:
         if at + 27 > size:
             out.bad_pages += 1
             break
-        _, version, flags, granule, serial, number, crc, count = HEADER.unpack_from(data, at)
+        _, version, flags, granule, serial, number, crc, count = struct.unpack_from(HEADER, data, at)
         lacing = data[at + 27 : at + 27 + count]
         end = at + 27 + count + sum(lacing)
         if len(lacing) < count or end > size or version or page_crc(data[at : at + 22] + b"\0\0\0\0" + data[at + 26 : end]) != crc:
@@ -160,8 +160,8 @@ def decode(data: bytes) -> OggFile:
         first = len(s.packets)
         for k, w in enumerate(whole):
             s.packets.append(Packet(serial, first + k, w, -1))
-            if first + k == 0 and w[:8] == MAGIC and len(w) >= IDENT.size:
-                s.rate = IDENT.unpack_from(w)[3] or RATE
+            if first + k == 0 and w[:8] == MAGIC and len(w) >= struct.calcsize(IDENT):
+                s.rate = struct.unpack_from(IDENT, w)[3] or RATE
         if whole and granule >= 0:  # the page's granule is that of its last whole packet; go back from there
             for p in reversed(s.packets[first:]):
                 n = 0 if p.index == 0 else len(p.data)
@@ -176,7 +176,7 @@ def payload_of(f: OggFile) -> bytes:
     """Data packets of all streams in order of presentation: by start time, then by stream."""
     blocks, want = [], 0
     for s in f.streams.values():
-        _, stream, streams, _, block, want = IDENT.unpack_from(s.packets[0].data)
+        _, stream, streams, _, block, want = struct.unpack_from(IDENT, s.packets[0].data)
         blocks += [((round(p.start_s * s.rate) // block) * streams + stream, p.data) for p in s.packets[1:]]
     out = b"".join(d for _, d in sorted(blocks, key=lambda x: x[0]))
     if len(out) != want or f.bad_pages or f.lost_pages or f.lost_packets:

@@ -300,17 +300,14 @@ def fit_from(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> BiGR
 def toxicity(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", id_col: str = "doc_id", model: BiGRU | None = None) -> DataFrame:
     """(doc_id, score, predicted) of every whole text."""
     model = model if model is not None else fit_from(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-
     def fill(batches):
-        net = sent.value
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["t"]]
             score, at, total = np.zeros(len(texts)), 0, 0
             for i, t in enumerate(texts):
                 total += len(t)
                 if total > 1_500_000 or i + 1 == len(texts):
-                    score[at : i + 1] = net.scores(texts[at : i + 1])
+                    score[at : i + 1] = model.scores(texts[at : i + 1])
                     at, total = i + 1, 0
             yield pd.DataFrame({"doc_id": b["i"], "score": score, "predicted": (score >= THRESHOLD).astype("int32")})
 
