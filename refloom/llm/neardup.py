@@ -9,10 +9,11 @@ further down. What is still larger at the last level are families whose members
 there each member is compared with a member chosen by each tree, not with all.
 
 Candidates that pass the signature estimate and the size bound are confirmed on the full sets: a link
-needs 100 * intersection >= percent * union. Links make components, without the driver.
+needs 100 * intersection >= percent * union. Each leaf's spanning forest of best estimates comes first, then
+every candidate between classes that are still apart. Links make components, without the driver.
 
 Recall: a pair at similarity 0.85 misses one tree with probability 0.15 at the first level, all 16 with
-1e-13; deeper levels keep about one common path per tree. The estimate's margin drops such a pair with
+1e-13; deeper levels, which only nodes of more than LEAF sets reach, keep about one common path per tree. The estimate's margin drops such a pair with
 probability 1e-6.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text of fewer than
@@ -33,7 +34,7 @@ SHINGLE = 5
 PERCENT = 85
 POSITIONS = 64  #: minwise tokens of a signature
 TREES = 16
-LEAF = 64
+LEAF = 256
 LEVELS = (1, 1, 1, 1, 2, 2, 4, 4, 8)  #: tokens that each level chooses
 MARGIN = 5.0  #: standard deviations below the threshold at which a signature still passes
 _R = np.random.default_rng(85)
@@ -122,18 +123,42 @@ def _branches(rows: DataFrame, level: int) -> DataFrame:
     return rows.mapInPandas(fill, "tree int, key long, id long")
 
 
-def _compare_leaves(leaves: DataFrame, percent: int) -> DataFrame:
-    """leaves (key, id, n, sig), whole nodes -> candidate pairs (a, b), a < b."""
+def _forest(agree: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of largest agreement; 0 means no edge. Prim's algorithm on the matrix."""
+    out, n = [], len(agree)
+    left = np.ones(n, dtype=bool)
+    best, of = np.zeros(n, dtype=agree.dtype), np.zeros(n, dtype=np.int64)
+    for _ in range(n):
+        i = int(np.where(left, best, -1).argmax())
+        if best[i]:
+            out.append((int(of[i]), i))
+        left[i] = False
+        better = left & (agree[i] > best)
+        best[better], of[better] = agree[i][better], i
+    return out
+
+
+def _compare_leaves(leaves: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """leaves (key, id, n, sig, class), whole nodes -> candidate pairs (a, b), a < b: with `forest` a spanning
+    forest of each node's candidates, else all of them whose classes differ."""
     j = percent / 100
     least = POSITIONS * j - MARGIN * (POSITIONS * j * (1 - j)) ** 0.5
 
-    def pairs(ids, n, sig):
+    def pairs(ids, n, sig, cls):
         s = np.frombuffer(b"".join(sig), dtype="<u2").reshape(len(ids), POSITIONS)
-        x, y = np.triu_indices(len(ids), 1)
-        near = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
-        x, y = x[near], y[near]
-        ok = (s[x] == s[y]).sum(1) >= least
-        return ids[x[ok]], ids[y[ok]]
+        if len(ids) > 2:
+            agree = np.zeros((len(ids), len(ids)), dtype=np.int16)
+            for k in range(POSITIONS):
+                agree += s[:, k, None] == s[None, :, k]
+        else:
+            agree = (s[:, None, :] == s[None, :, :]).sum(2).astype(np.int16)
+        near = np.minimum.outer(n, n) * 100 >= np.maximum.outer(n, n) * percent
+        ok = near & (agree >= least) & (ids[:, None] != ids)
+        if forest:
+            found = _forest(np.where(ok, agree, 0))
+            return (ids[[x for x, _ in found]], ids[[y for _, y in found]]) if found else (ids[:0], ids[:0])
+        x, y = np.nonzero(np.triu(ok & (cls[:, None] != cls)))
+        return ids[x], ids[y]
 
     def fill(batches):
         rest = None
@@ -147,27 +172,27 @@ def _compare_leaves(leaves: DataFrame, percent: int) -> DataFrame:
             yield nodes(rest)
 
     def nodes(b):
-        out_a, out_b = [], []
-        key, ids, n, sig = b["key"].to_numpy(), b["id"].to_numpy(), b["n"].to_numpy(), b["sig"].tolist()
+        out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        key, ids, n, sig, cls = b["key"].to_numpy(), b["id"].to_numpy(), b["n"].to_numpy(), b["sig"].tolist(), b["class"].to_numpy()
         edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)] if len(key) else [0]
         for s, e in zip(edges[:-1], edges[1:]):
-            if e - s > 1:
-                a, z = pairs(ids[s:e], n[s:e], sig[s:e])
+            if e - s > 1 and (forest or (cls[s:e] != cls[s]).any()):
+                a, z = pairs(ids[s:e], n[s:e], sig[s:e], cls[s:e])
                 out_a.append(np.minimum(a, z))
                 out_b.append(np.maximum(a, z))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}) if out_a else pd.DataFrame({"a": np.zeros(0, dtype="int64"), "b": np.zeros(0, dtype="int64")})
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
-    return leaves.repartition("key").sortWithinPartitions("key", "id").mapInPandas(fill, "a long, b long").where("a != b")
+    return leaves.repartition("key").sortWithinPartitions("key", "id").mapInPandas(fill, "a long, b long").distinct()
 
 
-def candidates(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """reps (id, n, sig) -> distinct pairs (a, b) whose signatures allow the threshold."""
-    found, rows = [], materialize(_branches(reps.select("id", "sig"), 0), "level0")
+def grow(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """reps (id, n, sig) -> (key, id) of all leaves with two sets or more, and pairs (a, b) of what the last
+    level leaves."""
+    leaves, stars, rows = [], None, materialize(_branches(reps.select("id", "sig"), 0), "level0")
     for level in range(len(LEVELS)):
         counts = materialize(rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("pivot")).where("size > 1"), f"count{level}")
         nodes = rows.join(counts.hint("merge"), "key")
-        leaf = nodes.where(F.col("size") <= LEAF).select("key", "id").join(reps, "id")
-        found.append(materialize(_compare_leaves(leaf, percent).distinct(), f"pairs{level}"))
+        leaves.append(materialize(nodes.where(F.col("size") <= LEAF).select("key", "id"), f"leaves{level}"))
         large = counts.where(F.col("size") > LEAF)
         more = bool(large.limit(1).count())
         if more and level + 1 < len(LEVELS):
@@ -175,15 +200,30 @@ def candidates(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
             deeper = materialize(_branches(rest, level + 1), f"level{level + 1}")
         elif more:  # families that the last level leaves: each member beside its node's chosen one
             star = nodes.where(F.col("size") > LEAF).where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-            found.append(materialize(star.distinct(), "stars"))
+            stars = materialize(star.distinct(), "stars")
         discard(rows, counts)
         if not more or level + 1 == len(LEVELS):
             break
         rows = deeper
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionAll(f)
-    return out.distinct()
+    out = leaves[0]
+    for x in leaves[1:]:
+        out = out.unionAll(x)
+    return out, stars if stars is not None else reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+
+
+def linked(reps: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """Confirmed links (a, b) that make the same components as all links do. First a spanning forest of each
+    leaf's candidates is confirmed; of the other candidates only those are left to confirm that would join
+    two classes, so a family of many alike isn't compared pair by pair."""
+    leaves, stars = grow(reps)
+    first = _compare_leaves(leaves.join(reps, "id").withColumn("class", F.col("id")), percent, True)
+    first = materialize(first.unionAll(stars).distinct(), "forest")
+    one = materialize(confirmed(first, docs, percent, size).select("a", "b").distinct(), "links1")
+    classes = materialize(components(one.select(F.col("a").alias("u"), F.col("b").alias("v"))), "classes")
+    known = materialize(reps.join(classes, "id", "left").select("id", "n", "sig", F.coalesce("root", "id").alias("class")), "known")
+    rest = _compare_leaves(leaves.join(known, "id"), percent, False).join(first, ["a", "b"], "left_anti")
+    two = confirmed(materialize(rest, "rest"), docs, percent, size).select("a", "b")
+    return materialize(one.unionAll(two).distinct(), "links")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -213,24 +253,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: i
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_links): one row for each input row. n_links counts the
-    links of the row's set to different sets."""
+    """(doc_id, n_shingles, component_id, kept): one row for each input row."""
     d = docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS text")
     sk = materialize(sketches(d, "text", "id", size), "sketches")
     firsts = materialize(sk.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "firsts")
     own = sk.where("digest IS NOT NULL").join(firsts.hint("merge"), (sk["doc_id"] == firsts["rep"]) & (sk["digest"] == firsts["digest"]), "left_semi")
     reps = materialize(own.select(F.col("doc_id").alias("id"), "n", "sig").dropDuplicates(["id", "sig"]), "reps")
-    pairs = materialize(candidates(reps, percent), "candidates")
-    links = materialize(confirmed(pairs, d.join(reps.select("id").distinct(), "id", "left_semi"), percent, size).select("a", "b").distinct(), "links")
-    roots = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-    degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
-    state = firsts.join(roots, firsts["rep"] == roots["id"], "left").join(degree.withColumnRenamed("id", "d"), F.col("rep") == F.col("d"), "left")
-    state = materialize(state.select("digest", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "state")
+    links = linked(reps, d.join(reps.select("id").distinct(), "id", "left_semi"), percent, size)
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    state = materialize(firsts.join(roots, firsts["rep"] == roots["id"], "left").select("digest", F.coalesce("root", "rep").alias("root")), "state")
     out = sk.select("doc_id", "n", "digest").join(state.hint("merge"), "digest", "left")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"),
-        (F.col("doc_id") == F.coalesce("root", "doc_id")).alias("kept"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    root = F.coalesce("root", "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), (F.col("doc_id") == root).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
