@@ -92,3 +92,17 @@ def affected(changed: DataFrame, old_edges: DataFrame, new_edges: DataFrame) ->
 
 def ordered_closure(seeds: DataFrame, edges: DataFrame, order: DataFrame) -> DataFrame:
     return closure(seeds, edges).where("seed != node").join(order, "node").orderBy("seed", "pos")
+
+
+def load(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """packages (pkg_path, seq, imports, test_imports, for_test) -> (nodes, edges). Ordinary packages come
+    first, the first of a path wins; an in-package test variant only adds imports to its package; an external
+    one is a node of its own."""
+    own = F.col("for_test").isNull() | (F.col("for_test") != F.col("pkg_path"))
+    first = packages.where(own).groupBy("pkg_path").agg(F.min(F.struct(F.col("for_test").isNotNull().alias("late"), "seq", "imports", "test_imports")).alias("p"))
+    extra = packages.where(~own).select("pkg_path", F.explode_outer(F.concat(F.coalesce("imports", F.array()), F.coalesce("test_imports", F.array()))).alias("dst"))
+    prod = first.select(F.col("pkg_path").alias("src"), F.explode_outer("p.imports").alias("dst"))
+    test = first.select(F.col("pkg_path").alias("src"), F.explode_outer("p.test_imports").alias("dst")).unionAll(extra.withColumnRenamed("pkg_path", "src"))
+    prod = prod.where("dst IS NOT NULL").distinct()
+    test = test.where("dst IS NOT NULL AND dst != src").distinct().join(prod, ["src", "dst"], "left_anti")
+    return first.select(F.col("pkg_path").alias("node")), prod.withColumn("kind", F.lit("prod")).unionByName(test.withColumn("kind", F.lit("test")))

@@ -84,8 +84,7 @@ def symbol_lookup(spark, sf):
 def name_prefix(spark, sf):
     """Every two-letter prefix with the names that it finds."""
     s = Relational(spark, sf).symbols()
-    p = s.select(F.substring("name_lower", 1, 2).alias("prefix")).distinct()
-    hit = s.join(F.broadcast(p.limit(10_000)), F.substring("name_lower", 1, 2) == F.col("prefix"))
+    hit = s.withColumn("prefix", F.substring("name_lower", 1, 2))
     return hit.groupBy("prefix", "name_lower").agg(F.count_distinct("id_hash").alias("n"), F.min("id_hash").alias("least"))
 
 
@@ -570,3 +569,142 @@ def line_diff(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("before"))
     after = d.select((F.col("id") - 1).alias("id"), F.col("before").alias("after"))
     return D.diff_lines(d.join(after, "id"))
+
+
+# smaller operators of the inventory
+
+
+@query(R + "SELECT target_pkg, count(*) AS records, CAST(sum(n) AS BIGINT) AS places, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT target_pkg, target_id, src, count(*) AS n, 4 + sum(16 + strlen(file)) AS bytes FROM post GROUP BY ALL) GROUP BY target_pkg")
+def scan_statistics(spark, sf):
+    """Records, locations and bytes that a scan of a unit's postings visits."""
+    r = Relational(spark, sf).postings().groupBy("target_pkg", "target_id", "src").agg(F.count("*").alias("n"), P.record_bytes(F.col("file")).alias("bytes"))
+    return r.groupBy("target_pkg").agg(F.count("*").alias("records"), F.sum("n").alias("places"), F.sum("bytes").alias("bytes"))
+
+
+@query("SELECT p_name AS name, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS packages FROM part GROUP BY p_name")
+def package_name_index(spark, sf):
+    """Name to packages."""
+    p = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.sort_array(F.collect_list("p_partkey")).alias("k"))
+    return p.select("name", F.size("k").cast("long").alias("n"), F.array_join(F.transform("k", lambda x: x.cast("string")), ",").alias("packages"))
+
+
+@query("SELECT user_id AS file, count(*) AS n, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, min(ts) AS first FROM events WHERE event_type <> 'view' GROUP BY user_id")
+def diagnostics_by_file(spark, sf):
+    """Messages by file; those of the gated kind are held back."""
+    e = table(spark, sf, "events").where("event_type != 'view'")
+    return e.groupBy(F.col("user_id").alias("file")).agg(F.count("*").alias("n"), F.sum((F.col("event_type") == "error").cast("long")).alias("errors"), F.min("ts").alias("first"))
+
+
+@query("SELECT swept, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS bytes FROM (SELECT *, o_orderstatus <> 'F' AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 48 HOURS AS swept FROM orders) GROUP BY swept")
+def gc_totals(spark, sf):
+    return gc_sweep(spark, sf).groupBy("swept").agg(F.count("*").alias("n"), F.sum("key").alias("bytes"))
+
+
+@query("SELECT user_id, arg_max(event_type, total) AS phase FROM (SELECT user_id, event_type, max(event_id) AS total FROM events GROUP BY ALL) GROUP BY user_id")
+def dominant_phase(spark, sf):
+    """The phase with the largest measure of each user; event ids serve as measures, so there are no ties."""
+    e = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("total"))
+    return e.groupBy("user_id").agg(F.max_by("event_type", "total").alias("phase"))
+
+
+@query("SELECT user_id, CAST(floor(value) AS BIGINT) AS hash, min(event_id) AS leader, count(*) AS callers FROM events GROUP BY ALL")
+def single_flight(spark, sf):
+    """Equal requests share one execution: one leader for a unit and content hash."""
+    e = table(spark, sf, "events")
+    return e.groupBy("user_id", F.floor("value").alias("hash")).agg(F.min("event_id").alias("leader"), F.count("*").alias("callers"))
+
+
+@query(_E + "SELECT DISTINCT path FROM e WHERE NOT is_module AND NOT is_delete")
+def dirty_units(spark, sf):
+    """What a drain of the dirty set takes."""
+    return changes(spark, sf).where("NOT is_module AND NOT is_delete").select("path").distinct()
+
+
+@query("SELECT event_id, CAST(regexp_extract(line, '^PROGRESS ([0-9]+) ([0-9]+)$', 1) AS BIGINT) AS done, CAST(floor(CAST(regexp_extract(line, '^PROGRESS ([0-9]+) ([0-9]+)$', 1) AS DOUBLE) * 100 / 150000) AS BIGINT) AS percent FROM (SELECT event_id, 'PROGRESS ' || event_id || ' 150000' AS line FROM events)")
+def progress_lines(spark, sf):
+    """The line protocol of a build's progress."""
+    pattern = r"^PROGRESS ([0-9]+) ([0-9]+)$"
+    e = table(spark, sf, "events").select("event_id", F.concat(F.lit("PROGRESS "), "event_id", F.lit(" 150000")).alias("line"))
+    done, total = (F.regexp_extract("line", pattern, n).cast("long") for n in (1, 2))
+    return e.select("event_id", done.alias("done"), X.percent(done, total).cast("long").alias("percent"))
+
+
+@query("SELECT user_id AS uri, arg_max(event_type, event_id) AS text, max(event_id) AS version FROM events GROUP BY user_id")
+def overlay_current(spark, sf):
+    """The newest version of each document."""
+    e = table(spark, sf, "events")
+    return e.groupBy(F.col("user_id").alias("uri")).agg(F.max_by("event_type", "event_id").alias("text"), F.max("event_id").alias("version"))
+
+
+@query("SELECT s_suppkey AS pkg, n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE starts_with(n_name, (SELECT substr(min(n_name), 1, 1) FROM nation)) AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_partkey = 5) AND s_suppkey <> 1 ORDER BY name, pkg LIMIT 5")
+def unimported_packages(spark, sf):
+    """The first five packages whose name has a prefix and that aren't imported."""
+    n = table(spark, sf, "nation")
+    prefix = n.agg(F.substring(F.min("n_name"), 1, 1)).first()[0]
+    packages = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("pkg_path"), F.col("n_name").alias("name"))
+    imported = table(spark, sf, "lineitem").where("l_partkey = 5").select(F.col("l_suppkey").alias("pkg_path")).distinct()
+    return L.unimported(packages, imported, 1, prefix).select(F.col("pkg_path").alias("pkg"), "name")
+
+
+@query("SELECT c_custkey AS file, coalesce(s.s_suppkey, d.unit) AS unit FROM customer LEFT JOIN supplier s ON s.s_suppkey = c_custkey LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS unit FROM supplier GROUP BY 1) d ON d.s_nationkey = c_nationkey")
+def file_to_unit(spark, sf):
+    """A file's unit: its own entry, else that of its directory."""
+    c = table(spark, sf, "customer").select(F.concat(F.lit("/"), "c_nationkey", F.lit("/"), "c_custkey").alias("file"), F.col("c_custkey").alias("k"))
+    s = table(spark, sf, "supplier")
+    own = c.join(s.select(F.col("s_suppkey").alias("k"), F.col("s_suppkey").alias("unit")), "k").select("file", "unit")
+    dirs = s.groupBy(F.concat(F.lit("/"), "s_nationkey").alias("dir")).agg(F.min("s_suppkey").alias("unit"))
+    return L.file_units(c.select("file"), own, dirs).select(F.substring_index("file", "/", -1).cast("long").alias("file"), "unit")
+
+
+@query(R + ", o AS (SELECT unit, list(file ORDER BY file) AS f FROM snap WHERE NOT is_new GROUP BY unit), n AS (SELECT unit, list(file ORDER BY file) AS f FROM snap WHERE is_new GROUP BY unit) SELECT coalesce(o.unit, n.unit) AS unit, coalesce(o.f = n.f, false) AS same FROM o FULL JOIN n ON o.unit = n.unit")
+def stat_equality(spark, sf):
+    """Whether a unit's stored stats equal the current ones: as many files, each equal."""
+    from refloom.sources.files import same_stats
+
+    r = Relational(spark, sf)
+    stat = lambda new: r.snapshot(new).select("unit", F.col("file").alias("path"), F.lit(0).alias("size"), F.lit(0).alias("mtime"))
+    return same_stats(stat(False), stat(True))
+
+
+@query("SELECT p_partkey, p_type AS kind, (p_type = 'SMALL' OR starts_with(p_type, 'SMALL.') OR p_type = 'PROMO') AS requested FROM part")
+def action_kinds(spark, sf):
+    only = F.array(F.lit("SMALL"), F.lit("PROMO"))
+    return table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("kind"), X.kind_requested(only, F.col("p_type")).alias("requested"))
+
+
+@query("SELECT p_partkey, p_brand || ' • ' || list_last(string_split(p_name, ' ')) AS detail, CASE p_type WHEN 'STANDARD' THEN 5 WHEN 'ECONOMY' THEN 6 WHEN 'MEDIUM' THEN 8 ELSE 12 END AS protocol_kind FROM part")
+def protocol_details(spark, sf):
+    """Detail strings and kinds of the protocol."""
+    kinds = F.create_map(*[F.lit(x) for p in {"STANDARD": 5, "ECONOMY": 6, "MEDIUM": 8}.items() for x in p])
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", F.concat_ws(" • ", "p_brand", F.element_at(F.split("p_name", " "), -1)).alias("detail"), F.coalesce(F.try_element_at(kinds, F.col("p_type")), F.lit(12)).alias("protocol_kind"))
+
+
+@query("SELECT l_partkey AS mark FROM lineitem UNION SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def marks_union(spark, sf):
+    """The set of marks over several indexes."""
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("mark")).union(table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey")).distinct()
+
+
+@query(R + "SELECT q.iface, q.name, e.type_id FROM req q JOIN ent e ON e.name = q.name AND e.fp = q.fp AND q.fp <> 0 JOIN ok o ON o.iface = q.iface AND o.type_id = e.type_id WHERE q.name = (SELECT min(name) FROM req)")
+def method_interfaces(spark, sf):
+    """Interface methods of one name that a type's method satisfies: candidates by that name alone, then division."""
+    r = Relational(spark, sf)
+    req, own = r.requirements(), r.methods()
+    name = req.agg(F.min("name")).first()[0]
+    near = req.where((F.col("name") == name) & (F.col("fp") != 0)).join(own, ["name", "fp"]).select("iface", "name", "type_id")
+    return near.join(M.confirmed(req.join(near.select("iface").distinct(), "iface", "left_semi"), own), ["iface", "type_id"], "left_semi").select("iface", "name", "type_id")
+
+
+@query(LX + "SELECT doc_id, line, count(*) AS n, CAST(sum(end_col - col) AS BIGINT) AS width, CAST(sum(CASE WHEN is_decl THEN 1 ELSE 0 END) AS BIGINT) AS decls FROM occ GROUP BY ALL")
+def semantic_tokens(spark, sf):
+    """Tokens of each line with their kinds counted."""
+    o = Lexical(spark, sf).occurrences()
+    return o.groupBy("doc_id", "line").agg(F.count("*").alias("n"), F.sum(F.col("end_col") - F.col("col")).alias("width"), F.sum(F.col("is_decl").cast("long")).alias("decls"))
+
+
+@query(LX + "SELECT doc_id, count(*) AS blocks, CAST(sum(stop_line - start_line) AS BIGINT) AS folded FROM (SELECT doc_id, (line - 1) // 5 AS block, min(line) AS start_line, max(line) AS stop_line FROM lines GROUP BY ALL) WHERE stop_line > start_line GROUP BY doc_id")
+def folding_ranges(spark, sf):
+    """Blocks of five lines that span more than one."""
+    x = Lexical(spark, sf).lines().groupBy(F.col("doc_id").alias("file"), F.floor((F.col("line") - 1) / 5).alias("block")).agg(F.min("line").alias("start_line"), F.max("line").alias("stop_line"))
+    return x.where("stop_line > start_line").groupBy(F.col("file").alias("doc_id")).agg(F.count("*").alias("blocks"), F.sum(F.col("stop_line") - F.col("start_line")).alias("folded"))

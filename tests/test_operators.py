@@ -163,3 +163,11 @@ def test_document_transforms(spark):
 def test_budget_keeps_the_most_recent(spark):
     c = spark.createDataFrame([("u", 1, 3, 60), ("u", 2, 2, 50), ("u", 3, 1, 10)], "who string, entry int, last_used int, size int")
     assert {r.entry: r.kept for r in C.budget(c, ["who"], 100).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_graph_load_takes_ordinary_packages_first(spark):
+    rows_ = [("a", 1, ["x"], None, None), ("a", 2, ["y"], None, None), ("a", 3, ["x", "t"], ["u"], "a"), ("a_test", 4, ["a"], None, "a")]
+    p = spark.createDataFrame(rows_, "pkg_path string, seq int, imports array<string>, test_imports array<string>, for_test string")
+    nodes, e = G.load(p)
+    assert rows(nodes) == [("a",), ("a_test",)]
+    assert rows(e, "src", "dst", "kind") == [("a", "t", "test"), ("a", "u", "test"), ("a", "x", "prod"), ("a_test", "a", "prod")]
