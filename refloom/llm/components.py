@@ -12,24 +12,27 @@ from pyspark.sql import functions as F
 from refloom.llm.common import discard, materialize
 
 
+ROWS = 200_000  #: links of a task
+
+
 def _minima(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    both = materialize(e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
-    low = materialize(_minima(both).select("u", F.least("u", "m").alias("m")), "low")
-    out = materialize(both.join(low.hint("merge"), "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-    discard(both, low)
+def _large_star(e: DataFrame, tasks: int) -> DataFrame:
+    both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = materialize(_minima(both).select("u", F.least("u", "m").alias("m")).coalesce(tasks), "low")
+    out = materialize(both.join(low.hint("merge"), "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks), "large")
+    discard(low)
     return out
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    down = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "down")
-    low = materialize(_minima(down), "low")
-    linked = down.join(low.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    out = materialize(linked.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "small")
-    discard(down, low)
+def _small_star(e: DataFrame, tasks: int) -> DataFrame:
+    """e has u > v throughout."""
+    low = materialize(_minima(e).coalesce(tasks), "low")
+    linked = e.join(low.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = materialize(linked.unionAll(low.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks), "small")
+    discard(low)
     return out
 
 
@@ -44,8 +47,9 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     for _ in range(most):
         if not mark[0]:
             break
-        a = _large_star(e)
-        b = _small_star(a)
+        tasks = max(1, -(-mark[0] // ROWS))
+        a = _large_star(e, tasks)
+        b = _small_star(a, tasks)
         discard(e, a)
         e, before = b, mark
         mark = _mark(e)

@@ -35,6 +35,7 @@ PERCENT = 85
 POSITIONS = 64  #: minwise tokens of a signature
 TREES = 16
 LEAF = 256
+ROWS = 50_000  #: rows of a task on the levels below the first
 LEVELS = (1, 1, 1, 1, 2, 2, 4, 4, 8)  #: tokens that each level chooses
 MARGIN = 5.0  #: standard deviations below the threshold at which a signature still passes
 _R = np.random.default_rng(85)
@@ -194,10 +195,10 @@ def grow(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         nodes = rows.join(counts.hint("merge"), "key")
         leaves.append(materialize(nodes.where(F.col("size") <= LEAF).select("key", "id"), f"leaves{level}"))
         large = counts.where(F.col("size") > LEAF)
-        more = bool(large.limit(1).count())
+        more = large.agg(F.sum("size")).first()[0] or 0  # rows that go on
         if more and level + 1 < len(LEVELS):
             rest = rows.join(large.select("key").hint("merge"), "key").select("tree", "key", "id").join(reps.select("id", "sig"), "id")
-            deeper = materialize(_branches(rest, level + 1), f"level{level + 1}")
+            deeper = materialize(_branches(rest.coalesce(max(1, -(-more // ROWS))), level + 1), f"level{level + 1}")
         elif more:  # families that the last level leaves: each member beside its node's chosen one
             star = nodes.where(F.col("size") > LEAF).where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
             stars = materialize(star.distinct(), "stars")
