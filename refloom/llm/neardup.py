@@ -5,8 +5,8 @@ are one vertex whatever their number. The sets' representatives then walk TREES
 each level a tree chooses one minwise position (now and then two, so that a pair at the threshold keeps
 about one common path) and a set follows the branch of its token there. A node of at most LEAF sets is
 compared exhaustively on MinHash signatures; larger nodes are branched again, several levels at once
-further down. What is still larger at the last level are families whose members share nearly all tokens:
-there each member is compared with a member chosen by each tree, not with all.
+further down. A large node that hardly shrinks, or is still large at the last level, is a family whose
+members share nearly all tokens: there each member is compared with a member chosen by each tree, not with all.
 
 Candidates that pass the signature estimate and the size bound are confirmed on the full sets: a link
 needs 100 * intersection >= percent * union. Each leaf's spanning forest of best estimates comes first, then
@@ -35,6 +35,7 @@ PERCENT = 85
 POSITIONS = 64  #: minwise tokens of a signature
 TREES = 16
 LEAF = 256
+FAMILY = 0.95  #: a large node that keeps this share of the node above, for each token chosen, isn't branched again
 ROWS = 50_000  #: rows of a task on the levels below the first
 LEVELS = (1, 1, 1, 1, 2, 2, 4, 4, 8)  #: tokens that each level chooses
 MARGIN = 5.0  #: standard deviations below the threshold at which a signature still passes
@@ -93,16 +94,19 @@ def sketches(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size:
 
 
 def _positions(tree: int, level: int) -> list[tuple[int, ...]]:
-    """The branches that a tree offers at a level: each a choice of as many positions as the level takes."""
-    r = np.random.default_rng((tree, level))
-    width = LEVELS[level]
+    """The branches that a tree offers at a level: each a choice of as many positions as the level takes, none
+    of which the first branches of other levels take."""
+    order = np.random.default_rng(tree).permutation(POSITIONS).tolist()
+    width, used = LEVELS[level], sum(LEVELS[:level])
     mean = (100 / PERCENT) ** width if level else 1.0
-    several = int(mean) + int(r.random() < mean - int(mean))
-    return [tuple(r.choice(POSITIONS, width, replace=False).tolist()) for _ in range(several)]
+    several = int(mean) + int(np.random.default_rng((tree, level)).random() < mean - int(mean))
+    spare = order[sum(LEVELS) :]
+    return [tuple(order[used : used + width])] + [tuple(spare[(used + 9 * n + k) % len(spare)] for k in range(width)) for n in range(1, several)]
 
 
 def _branches(rows: DataFrame, level: int) -> DataFrame:
-    """rows (id, sig) at the root, else (tree, key, id, sig) -> (tree, key, id) of the next level."""
+    """rows (id, sig) at the root, else (tree, key, up, id, sig) -> (tree, key, up, id) of the next level; up is
+    the size of the node above, 0 at the root."""
     plan = {t: [np.array(p) for p in _positions(t, level)] for t in range(TREES)}
 
     def fill(batches):
@@ -110,18 +114,19 @@ def _branches(rows: DataFrame, level: int) -> DataFrame:
 
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            trees, keys, ids = [], [], []
-            before = zip(b["tree"].tolist(), b["key"].tolist()) if level else None
+            trees, keys, ups, ids = [], [], [], []
+            before = zip(b["tree"].tolist(), b["key"].tolist(), b["up"].tolist()) if level else None
             for i, s in zip(b["id"].tolist(), b["sig"]):
                 sig = np.frombuffer(s, dtype="<u2")
-                for t, k in [next(before)] if level else [(t, 0) for t in range(TREES)]:
+                for t, k, up in [next(before)] if level else [(t, 0, 0) for t in range(TREES)]:
                     for n, p in enumerate(plan[t]):
                         trees.append(t)
                         keys.append(digest(sig[p].tobytes() + bytes([t, level, n]), k & 0xFFFFFFFFFFFFFFFF))
+                        ups.append(up)
                         ids.append(i)
-            yield pd.DataFrame({"tree": np.array(trees, dtype="int32"), "key": np.array(keys, dtype="uint64").view("int64"), "id": np.array(ids, dtype="int64")})
+            yield pd.DataFrame({"tree": np.array(trees, dtype="int32"), "key": np.array(keys, dtype="uint64").view("int64"), "up": np.array(ups, dtype="int64"), "id": np.array(ids, dtype="int64")})
 
-    return rows.mapInPandas(fill, "tree int, key long, id long")
+    return rows.mapInPandas(fill, "tree int, key long, up long, id long")
 
 
 def _forest(agree: np.ndarray) -> list[tuple[int, int]]:
@@ -189,27 +194,34 @@ def _compare_leaves(leaves: DataFrame, percent: int, forest: bool) -> DataFrame:
 def grow(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """reps (id, n, sig) -> (key, id) of all leaves with two sets or more, and pairs (a, b) of what the last
     level leaves."""
-    leaves, stars, rows = [], None, materialize(_branches(reps.select("id", "sig"), 0), "level0")
+    leaves, stars, rows = [], [], materialize(_branches(reps.select("id", "sig"), 0), "level0")
     for level in range(len(LEVELS)):
-        counts = materialize(rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("pivot")).where("size > 1"), f"count{level}")
+        last = level + 1 == len(LEVELS)
+        pivot = F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("pivot")
+        counts = rows.groupBy("key").agg(F.count("*").alias("size"), pivot, F.max("up").alias("up")).where("size > 1")
+        family = F.lit(last) | ((F.col("up") > 0) & (F.col("size") >= F.col("up") * FAMILY ** LEVELS[level]))
+        counts = materialize(counts.withColumn("family", (F.col("size") > LEAF) & family).drop("up"), f"count{level}")
         nodes = rows.join(counts.hint("merge"), "key")
         leaves.append(materialize(nodes.where(F.col("size") <= LEAF).select("key", "id"), f"leaves{level}"))
-        large = counts.where(F.col("size") > LEAF)
-        more = large.agg(F.sum("size")).first()[0] or 0  # rows that go on
-        if more and level + 1 < len(LEVELS):
-            rest = rows.join(large.select("key").hint("merge"), "key").select("tree", "key", "id").join(reps.select("id", "sig"), "id")
-            deeper = materialize(_branches(rest.coalesce(max(1, -(-more // ROWS))), level + 1), f"level{level + 1}")
-        elif more:  # families that the last level leaves: each member beside its node's chosen one
-            star = nodes.where(F.col("size") > LEAF).where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-            stars = materialize(star.distinct(), "stars")
+        on, alike = counts.where(F.col("size") > LEAF).agg(F.sum(F.when(~F.col("family"), F.col("size"))), F.sum(F.when(F.col("family"), F.col("size")))).first()
+        if alike:  # members share nearly all tokens: each stands beside its node's chosen one
+            star = nodes.where("family AND id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+            stars.append(materialize(star.distinct(), "stars"))
+        if on:
+            large = counts.where((F.col("size") > LEAF) & ~F.col("family")).select("key", F.col("size").alias("up"))
+            rest = rows.drop("up").join(large.hint("merge"), "key").select("tree", "key", "up", "id").join(reps.select("id", "sig"), "id")
+            deeper = materialize(_branches(rest.coalesce(max(1, -(-on // ROWS))), level + 1), f"level{level + 1}")
         discard(rows, counts)
-        if not more or level + 1 == len(LEVELS):
+        if not on:
             break
         rows = deeper
     out = leaves[0]
     for x in leaves[1:]:
         out = out.unionAll(x)
-    return out, stars if stars is not None else reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    pairs = reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    for x in stars:
+        pairs = pairs.unionAll(x)
+    return out, pairs
 
 
 def linked(reps: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:

@@ -224,6 +224,26 @@ def test_near_duplicates_equal_brute_force(spark, texts):
     assert near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_large_families_are_branched_and_linked(spark, monkeypatch):
+    from refloom.llm import neardup as N
+
+    monkeypatch.setattr(N, "LEAF", 16)
+    r = random.Random(12)
+    base, texts = [r.choice(WORDS) for _ in range(400)], []
+    for k in range(120):  # nearly equal
+        texts.append(" ".join([*base, f"end{k}"]))
+    other = [r.choice(WORDS) for _ in range(400)]
+    for k in range(80):  # less so
+        w = list(other)
+        for _ in range(r.randint(1, 4)):
+            w[r.randrange(400)] = f"y{k}x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts.append(" ".join(other))
+    sets = {i: five(t) for i, t in enumerate(texts)}
+    want = classes(sets)
+    assert {x.doc_id: x.component_id for x in N.near_duplicates(docs_of(spark, texts)).collect()} == want
+
+
 def test_components(spark):
     from refloom.llm.components import components
 
