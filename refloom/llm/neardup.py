@@ -6,11 +6,13 @@ each level a tree chooses one minwise position (now and then two, so that a pair
 about one common path) and a set follows the branch of its token there. A node of at most LEAF sets is
 compared exhaustively on MinHash signatures; larger nodes are branched again, several levels at once
 further down. A large node that hardly shrinks, or is still large at the last level, is a family whose
-members share nearly all tokens: there each member is compared with a member chosen by each tree, not with all.
+members share nearly all tokens: there each member is first compared with a member chosen by each tree.
 
 Candidates that pass the signature estimate and the size bound are confirmed on the full sets: a link
-needs 100 * intersection >= percent * union. Each leaf's spanning forest of best estimates comes first, then
-every candidate between classes that are still apart. Links make components, without the driver.
+needs 100 * intersection >= percent * union. Each leaf's spanning forest of best estimates and the families'
+chosen members come first. Then all members of families, and all sets of leaves with a candidate in another
+class, go through an exact prefix-filter join: two sets that meet the threshold share one of their rarest
+tokens, so every link between classes that are still apart is found. Links make components, without the driver.
 
 Recall: a pair at similarity 0.85 misses one tree with probability 0.15 at the first level, all 16 with
 1e-13; deeper levels, which only nodes of more than LEAF sets reach, keep about one common path per tree. The estimate's margin drops such a pair with
@@ -37,6 +39,8 @@ TREES = 16
 LEAF = 256
 FAMILY = 0.95  #: a large node that keeps this share of the node above, for each token chosen, isn't branched again
 ROWS = 50_000  #: rows of a task on the levels below the first
+CELLS = 1 << 18  #: counters of tokens, by hash, that give the order of tokens in the prefix-filter join
+BLOCK = 1 << 12  #: counters in a row
 LEVELS = (1, 1, 1, 1, 2, 2, 4, 4, 8)  #: tokens that each level chooses
 MARGIN = 5.0  #: standard deviations below the threshold at which a signature still passes
 _R = np.random.default_rng(85)
@@ -105,8 +109,8 @@ def _positions(tree: int, level: int) -> list[tuple[int, ...]]:
 
 
 def _branches(rows: DataFrame, level: int) -> DataFrame:
-    """rows (id, sig) at the root, else (tree, key, up, id, sig) -> (tree, key, up, id) of the next level; up is
-    the size of the node above, 0 at the root."""
+    """rows (id, n, sig) at the root, else (tree, key, up, id, n, sig) -> (tree, key, up, id, n) of the next level;
+    up is the size of the node above, 0 at the root."""
     plan = {t: [np.array(p) for p in _positions(t, level)] for t in range(TREES)}
 
     def fill(batches):
@@ -114,9 +118,9 @@ def _branches(rows: DataFrame, level: int) -> DataFrame:
 
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            trees, keys, ups, ids = [], [], [], []
+            trees, keys, ups, ids, sizes = [], [], [], [], []
             before = zip(b["tree"].tolist(), b["key"].tolist(), b["up"].tolist()) if level else None
-            for i, s in zip(b["id"].tolist(), b["sig"]):
+            for i, size, s in zip(b["id"].tolist(), b["n"].tolist(), b["sig"]):
                 sig = np.frombuffer(s, dtype="<u2")
                 for t, k, up in [next(before)] if level else [(t, 0, 0) for t in range(TREES)]:
                     for n, p in enumerate(plan[t]):
@@ -124,9 +128,10 @@ def _branches(rows: DataFrame, level: int) -> DataFrame:
                         keys.append(digest(sig[p].tobytes() + bytes([t, level, n]), k & 0xFFFFFFFFFFFFFFFF))
                         ups.append(up)
                         ids.append(i)
-            yield pd.DataFrame({"tree": np.array(trees, dtype="int32"), "key": np.array(keys, dtype="uint64").view("int64"), "up": np.array(ups, dtype="int64"), "id": np.array(ids, dtype="int64")})
+                        sizes.append(size)
+            yield pd.DataFrame({"tree": np.array(trees, dtype="int32"), "key": np.array(keys, dtype="uint64").view("int64"), "up": np.array(ups, dtype="int64"), "id": np.array(ids, dtype="int64"), "n": np.array(sizes, dtype="int64")})
 
-    return rows.mapInPandas(fill, "tree int, key long, up long, id long")
+    return rows.mapInPandas(fill, "tree int, key long, up long, id long, n long")
 
 
 def _forest(agree: np.ndarray) -> list[tuple[int, int]]:
@@ -145,8 +150,8 @@ def _forest(agree: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compare_leaves(leaves: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """leaves (key, id, n, sig, class), whole nodes -> candidate pairs (a, b), a < b: with `forest` a spanning
-    forest of each node's candidates, else all of them whose classes differ."""
+    """leaves (key, id, n, sig, class), whole nodes -> with `forest` pairs (a, b), a < b, a spanning forest of each
+    node's candidates; else (id), the sets with a candidate in another class."""
     j = percent / 100
     least = POSITIONS * j - MARGIN * (POSITIONS * j * (1 - j)) ** 0.5
 
@@ -163,8 +168,8 @@ def _compare_leaves(leaves: DataFrame, percent: int, forest: bool) -> DataFrame:
         if forest:
             found = _forest(np.where(ok, agree, 0))
             return (ids[[x for x, _ in found]], ids[[y for _, y in found]]) if found else (ids[:0], ids[:0])
-        x, y = np.nonzero(np.triu(ok & (cls[:, None] != cls)))
-        return ids[x], ids[y]
+        apart = ids[(ok & (cls[:, None] != cls)).any(1)]
+        return apart, apart
 
     def fill(batches):
         rest = None
@@ -186,18 +191,79 @@ def _compare_leaves(leaves: DataFrame, percent: int, forest: bool) -> DataFrame:
                 a, z = pairs(ids[s:e], n[s:e], sig[s:e], cls[s:e])
                 out_a.append(np.minimum(a, z))
                 out_b.append(np.maximum(a, z))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)} if forest else {"id": np.concatenate(out_a)})
 
-    return leaves.repartition("key").sortWithinPartitions("key", "id").mapInPandas(fill, "a long, b long").distinct()
+    return leaves.repartition("key").sortWithinPartitions("key", "id").mapInPandas(fill, "a long, b long" if forest else "id long").distinct()
 
 
-def grow(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """reps (id, n, sig) -> (key, id) of all leaves with two sets or more, and pairs (a, b) of what the last
-    level leaves."""
-    leaves, stars, rows = [], [], materialize(_branches(reps.select("id", "sig"), 0), "level0")
+def _counters(sets: DataFrame) -> np.ndarray:
+    """How often tokens of each of CELLS hash classes occur in sets (id, class, s): of fixed size, whatever the table."""
+
+    def fill(batches):
+        total = np.zeros(CELLS, dtype=np.int64)
+        for b in batches:
+            for s in b["s"]:
+                np.add.at(total, (np.frombuffer(s, dtype=np.uint64) % np.uint64(CELLS)).astype(np.int64), 1)
+        blocks = [k for k in range(0, CELLS, BLOCK) if total[k : k + BLOCK].any()]
+        yield pd.DataFrame({"block": blocks, "counts": [total[k : k + BLOCK].tobytes() for k in blocks]}).astype({"block": "int64"})
+
+    def add(key, b):
+        return pd.DataFrame({"block": [key[0]], "counts": [sum(np.frombuffer(c, dtype=np.int64) for c in b["counts"]).tobytes()]})
+
+    out = np.zeros(CELLS, dtype=np.int64)
+    kind = "block long, counts binary"
+    for k, c in sets.select("s").mapInPandas(fill, kind).groupBy("block").applyInPandas(add, kind).collect():
+        out[k : k + BLOCK] = np.frombuffer(c, dtype=np.int64)
+    return out
+
+
+def apart(members: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """members (id, class), of docs (id, text) -> pairs (a, b), a < b, of different classes, among them all whose
+    sets meet the threshold.
+
+    Tokens are ordered by how often they occur, rare ones first (any fixed order gives the same links). Two sets
+    that meet the threshold have their first common token among the first n - ceil(percent * n / 100) + 1 of either,
+    and no fewer tokens from there on than the threshold asks them to share."""
+
+    def fill(batches):
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "class": b["class"], "s": [shingle_set(t, size).tobytes() for t in b["text"]]})
+
+    sets = materialize(docs.join(members.hint("merge"), "id").select("id", "class", "text").mapInPandas(fill, "id long, class long, s binary").where("length(s) > 0"), "members")
+    counts = _counters(sets)
+
+    def prefixes(batches):
+        for b in batches:
+            ids, classes, sizes, tokens, left = [], [], [], [], []
+            for i, c, s in zip(b["id"].tolist(), b["class"].tolist(), b["s"]):
+                s = np.frombuffer(s, dtype=np.uint64)
+                n = len(s)
+                first = n + (-percent * n // 100) + 1
+                order = np.lexsort((s, counts[(s % np.uint64(CELLS)).astype(np.int64)]))[:first]
+                ids.append(np.full(first, i, dtype=np.int64))
+                classes.append(np.full(first, c, dtype=np.int64))
+                sizes.append(np.full(first, n, dtype=np.int32))
+                tokens.append(s[order].view(np.int64))
+                left.append(np.arange(n, n - first, -1, dtype=np.int32))
+            if ids:
+                yield pd.DataFrame({"token": np.concatenate(tokens), "id": np.concatenate(ids), "class": np.concatenate(classes), "n": np.concatenate(sizes), "left": np.concatenate(left)})
+
+    rows = materialize(sets.mapInPandas(prefixes, "token long, id long, class long, n int, left int"), "prefixes")
+    shared = rows.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("token")
+    rows = materialize(rows.join(shared.hint("merge"), "token"), "shared")
+    x = rows.where(f"left * {100 + percent}L >= 2L * {percent} * n").selectExpr("token", "id AS a", "class AS ca", "n AS na", "left AS la")
+    y = rows.selectExpr("token AS other", "id AS b", "class AS cb", "n AS nb", "left AS lb")
+    near = f"token = other AND ca != cb AND (na < nb OR na = nb AND a < b) AND least(la, lb) * {100 + percent}L >= {percent}L * (na + nb)"
+    return x.join(y.hint("merge"), F.expr(near)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def grow(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """reps (id, n, sig) -> (key, id) of all leaves with two sets or more; of the families, pairs (a, b) of each
+    member and the chosen one (the smallest set in every other tree), and all members (id)."""
+    leaves, stars, families, rows = [], [], [], materialize(_branches(reps.select("id", "n", "sig"), 0), "level0")
     for level in range(len(LEVELS)):
         last = level + 1 == len(LEVELS)
-        pivot = F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("pivot")
+        pivot = F.min(F.struct(F.expr("if(tree % 2 = 0, n, 0)"), F.xxhash64("id", "key"), "id"))["id"].alias("pivot")
         counts = rows.groupBy("key").agg(F.count("*").alias("size"), pivot, F.max("up").alias("up")).where("size > 1")
         family = F.lit(last) | ((F.col("up") > 0) & (F.col("size") >= F.col("up") * FAMILY ** LEVELS[level]))
         counts = materialize(counts.withColumn("family", (F.col("size") > LEAF) & family).drop("up"), f"count{level}")
@@ -207,9 +273,10 @@ def grow(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         if alike:  # members share nearly all tokens: each stands beside its node's chosen one
             star = nodes.where("family AND id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
             stars.append(materialize(star.distinct(), "stars"))
+            families.append(materialize(nodes.where("family").select("id").distinct(), "families"))
         if on:
             large = counts.where((F.col("size") > LEAF) & ~F.col("family")).select("key", F.col("size").alias("up"))
-            rest = rows.drop("up").join(large.hint("merge"), "key").select("tree", "key", "up", "id").join(reps.select("id", "sig"), "id")
+            rest = rows.drop("up").join(large.hint("merge"), "key").select("tree", "key", "up", "id", "n").join(reps.select("id", "n", "sig"), ["id", "n"])
             deeper = materialize(_branches(rest.coalesce(max(1, -(-on // ROWS))), level + 1), f"level{level + 1}")
         discard(rows, counts)
         if not on:
@@ -221,20 +288,25 @@ def grow(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     for x in stars:
         pairs = pairs.unionAll(x)
-    return out, pairs
+    members = reps.select("id").limit(0)
+    for x in families:
+        members = members.unionAll(x)
+    return out, pairs, members
 
 
 def linked(reps: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """Confirmed links (a, b) that make the same components as all links do. First a spanning forest of each
-    leaf's candidates is confirmed; of the other candidates only those are left to confirm that would join
-    two classes, so a family of many alike isn't compared pair by pair."""
-    leaves, stars = grow(reps)
+    leaf's candidates is confirmed, and each family's star; then an exact join finds what would join two
+    classes, so a family of many alike isn't compared pair by pair."""
+    leaves, stars, families = grow(reps)
     first = _compare_leaves(leaves.join(reps, "id").withColumn("class", F.col("id")), percent, True)
     first = materialize(first.unionAll(stars).distinct(), "forest")
     one = materialize(confirmed(first, docs, percent, size).select("a", "b").distinct(), "links1")
     classes = materialize(components(one.select(F.col("a").alias("u"), F.col("b").alias("v"))), "classes")
     known = materialize(reps.join(classes, "id", "left").select("id", "n", "sig", F.coalesce("root", "id").alias("class")), "known")
-    rest = _compare_leaves(leaves.join(known, "id"), percent, False).join(first, ["a", "b"], "left_anti")
+    members = materialize(_compare_leaves(leaves.join(known, "id"), percent, False).unionAll(families).distinct(), "open")
+    members = members.join(known.select("id", "class").distinct(), "id")
+    rest = apart(members, docs, percent, size).join(first, ["a", "b"], "left_anti")
     two = confirmed(materialize(rest, "rest"), docs, percent, size).select("a", "b")
     return materialize(one.unionAll(two).distinct(), "links")
 

@@ -244,6 +244,29 @@ def test_large_families_are_branched_and_linked(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in N.near_duplicates(docs_of(spark, texts)).collect()} == want
 
 
+def test_true_pairs_inside_a_template_family_are_linked(spark, monkeypatch):
+    from refloom.llm import neardup as N
+
+    monkeypatch.setattr(N, "LEAF", 16)
+    r = random.Random(31)
+    template, texts = [r.choice(WORDS) + str(r.randrange(10**4)) for _ in range(240)], []
+    own = lambda n: [f"o{r.randrange(10**9)}" for _ in range(n)]
+    for _ in range(3000):  # 0.8 to each other, below the threshold
+        texts.append(template + own(29))
+    for k in range(0, 120, 3):  # pairs at 0.85 to 0.9 inside
+        w = texts[k]
+        texts.append(w[: len(w) - r.randint(12, 21)])
+        texts[-1] = texts[-1] + own(len(w) - len(texts[-1]))
+    texts = [" ".join(w) for w in texts]
+    sets = {i: five(t) for i, t in enumerate(texts)}
+    up = {i: i for i in range(3000)} | {3000 + k: 3 * k for k in range(40)}
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    planted = [jaccard(sets[a], sets[b]) for a, b in up.items() if a != b]
+    assert jaccard(sets[1], sets[2]) < 0.82 and 0.85 <= min(planted) and max(planted) < 0.92
+    got = {x.doc_id: x.component_id for x in N.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == up
+
+
 def test_components(spark):
     from refloom.llm.components import components
 
