@@ -10,8 +10,8 @@ Plan: chunks (one pass of numpy) are written once; digests are counted with map-
 and joined back by digest, both sides being plain shuffles so that a digest in a third of all documents
 is split by the skew join; a document's repeated chunks meet by document. Nothing goes to the driver.
 
-Edge cases: null and empty texts have no chunks and no spans; rows with the same id are one document, a
-chunk repeated only within it isn't a repeated one; equal documents repeat each other whole.
+Edge cases: null and empty texts have no chunks and no spans; rows with the same id are one document
+and equal ones count once, a chunk repeated only within it isn't a repeated one; equal documents repeat each other whole.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     largest one of the run's chunks. With `later`, runs hold only chunks that a smaller id has."""
     found = repeated_chunks(docs, text, id_col)
     found = found.where("first_doc < doc_id") if later else found
-    runs = found.groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.struct("start", "length", "first_doc"))).alias("c"))
+    runs = found.groupBy("doc_id", "part").agg(F.array_sort(F.collect_set(F.struct("start", "length", "first_doc"))).alias("c"))
 
     def fill(batches):
         for b in batches:

@@ -358,6 +358,20 @@ def test_repeated_passages_are_found(spark):
     assert out[22] is None and repeated_spans(docs_of(spark, [])).count() == 0
 
 
+def test_repeated_rows_keep_their_spans(spark):
+    from refloom.llm.chunkdedup import dedup_texts, repeated_spans
+
+    r = random.Random(9)
+    text = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
+    passage = text(90)
+    d = docs_of(spark, [f"{text(60)} {passage} {text(40)}" for _ in range(2)])
+    want = sorted(repeated_spans(d).collect())
+    assert {s.doc_id for s in want} == {0, 1} and sum(s.length for s in want if s.doc_id) > 300
+    twice = d.unionAll(d)
+    assert sorted(repeated_spans(twice).collect()) == want
+    assert {x.text for x in dedup_texts(twice).collect()} == {x.text for x in dedup_texts(d).collect()}
+
+
 # 8 toxicity
 
 
