@@ -7,8 +7,9 @@ in classes (equal token and loss counts), so a choice costs one product over the
 
 `pack_documents` tokenizes whole texts, gives each full sequence of `limit` ids a bin of its own, packs
 what remains and closes the gap that is left in a bin with a cut from the largest remaining example.
-Every task packs its own scan partition in batches of bounded size: nothing is shuffled, a repeated
-task gives the same rows, and the last bin of a partition is cut to powers of two, which aren't padded.
+Every task packs its own scan partition in batches of bounded size: nothing is shuffled and a repeated
+task gives the same rows. Where too few ids are left, or examples too small for `segments` of them to fill
+a sequence, sequences are powers of two, which aren't padded.
 
 Edge cases: a null or empty text is the single end id; repeated rows are packed as often as they occur;
 an example beyond a limit on its own is refused by `pack` (ValueError) and cut by `pack_documents`.
@@ -85,6 +86,17 @@ class Pool:
             self._refresh()
         return self.keys[-1] if self.keys else None
 
+    def reach(self, segments: int, enough: int) -> int:
+        """Tokens of the largest examples, `segments` at most; it stops at `enough`."""
+        self.largest()
+        total = 0
+        for k in reversed(self.keys):
+            n = min(segments, len(self.by[k]))
+            total, segments = total + n * k[0], segments - n
+            if total >= enough or not segments:
+                break
+        return total
+
     def __len__(self) -> int:
         return sum(map(len, self.by.values()))
 
@@ -206,39 +218,35 @@ class Cutter:
         self.held -= k[0]
         return self.pool.take(k)
 
+    def size(self) -> int:
+        """Ids of the next bin: a whole one if the largest examples that `segments` allows fill it, else the
+        largest power of two that they fill."""
+        n = self.limits
+        reach = self.pool.reach(n.segments, n.tokens)
+        return n.tokens if reach >= n.tokens else 1 << (reach.bit_length() - 1)
+
+    def bin(self, size: int) -> None:
+        free, segments = size, self.limits.segments
+        while free and (k := self.pool.best(free, segments - 1, free)):
+            self.put(self.drop(k), size - free)
+            free, segments = free - k[0], segments - 1
+        if free:  # nothing fits, or one segment is left: the largest example is as large as the gap or larger, and is cut
+            k = self.pool.largest()
+            doc, start, ids, total = piece = self.drop(k)
+            if k[0] > free:
+                self.keep((doc, start + free, ids[4 * free :], total))
+                piece = (doc, start, ids[: 4 * free], total)
+            self.put(piece, size - free)
+        self.sequence += 1
+
     def fill(self, until: int) -> None:
         """Fills bins until at most `until` ids are held."""
-        n = self.limits
-        while self.held > until and self.held >= n.tokens:
-            free, segments = n.tokens, n.segments
-            while free and (k := self.pool.best(free, segments - 1, free)):
-                self.put(self.drop(k), n.tokens - free)
-                free, segments = free - k[0], segments - 1
-            while free:  # one segment is left: a cut from the largest example closes the gap
-                k = self.pool.largest()
-                doc, start, ids, total = piece = self.drop(k)
-                if k[0] > free:
-                    self.keep((doc, start + free, ids[4 * free :], total))
-                    piece = (doc, start, ids[: 4 * free], total)
-                self.put(piece, n.tokens - free)
-                free -= len(piece[2]) // 4
-            self.sequence += 1
+        while self.held > until and self.held >= self.limits.tokens:
+            self.bin(self.size())
 
     def end(self) -> None:
-        self.fill(0)
-        size, at = 0, 0
-        while self.held:  # under one bin is left: sequences of powers of two
-            if at == size:
-                size, at = 1 << (self.held.bit_length() - 1), 0
-            k = self.pool.largest()
-            doc, start, ids, total = piece = self.drop(k)
-            if k[0] > size - at:
-                cut = size - at
-                self.keep((doc, start + cut, ids[4 * cut :], total))
-                piece = (doc, start, ids[: 4 * cut], total)
-            self.put(piece, at)
-            at += len(piece[2]) // 4
-            self.sequence += at == size
+        while self.held:
+            self.bin(self.size())
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -440,6 +440,24 @@ def test_pieces_cover_every_id_once(spark, documents, texts):
         assert len(s) <= K.SEGMENTS and (at == K.LIMIT or at & (at - 1) == 0)
 
 
+def test_tiny_documents_keep_the_segment_limit(spark):
+    from refloom.llm import packing as K
+
+    r = random.Random(11)
+    texts = [r.choice([None, "", "a", "word"]) for _ in range(6000)] + [" ".join(r.choices(WORDS, k=r.randint(1, 900))) for _ in range(12)]
+    d = docs_of(spark, texts).coalesce(1)
+    seq, ids = defaultdict(list), defaultdict(int)
+    for p in K.pack_documents(d).collect():
+        seq[p.sequence_id].append(p)
+        ids[p.doc_id] += p.length
+        assert p.doc_tokens >= 1
+    assert set(ids) == set(range(len(texts))) and all(ids[p.doc_id] == p.doc_tokens for s in seq.values() for p in s)
+    for s in seq.values():
+        n = sum(p.length for p in s)
+        assert len(s) <= K.SEGMENTS and (n == K.LIMIT or n & (n - 1) == 0)
+        assert sorted(p.offset for p in s) == np.cumsum([0] + [p.length for p in sorted(s, key=lambda p: p.offset)])[:-1].tolist()
+
+
 def test_bins_keep_their_limits(spark):
     from refloom.llm.packing import Limits, pack, pack_examples
 
