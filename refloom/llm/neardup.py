@@ -97,21 +97,21 @@ def sketches(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size:
     return docs.selectExpr(f"`{id_col}` AS i", f"`{text}` AS t").mapInPandas(fill, "doc_id long, n long, digest string, sig binary")
 
 
-def _positions(tree: int, level: int) -> list[tuple[int, ...]]:
+def _positions(tree: int, level: int, percent: int = PERCENT) -> list[tuple[int, ...]]:
     """The branches that a tree offers at a level: each a choice of as many positions as the level takes, none
     of which the first branches of other levels take."""
     order = np.random.default_rng(tree).permutation(POSITIONS).tolist()
     width, used = LEVELS[level], sum(LEVELS[:level])
-    mean = (100 / PERCENT) ** width if level else 1.0
+    mean = (100 / percent) ** width if level else 1.0
     several = int(mean) + int(np.random.default_rng((tree, level)).random() < mean - int(mean))
     spare = order[sum(LEVELS) :]
     return [tuple(order[used : used + width])] + [tuple(spare[(used + 9 * n + k) % len(spare)] for k in range(width)) for n in range(1, several)]
 
 
-def _branches(rows: DataFrame, level: int) -> DataFrame:
+def _branches(rows: DataFrame, level: int, percent: int) -> DataFrame:
     """rows (id, n, sig) at the root, else (tree, key, up, id, n, sig) -> (tree, key, up, id, n) of the next level;
     up is the size of the node above, 0 at the root."""
-    plan = {t: [np.array(p) for p in _positions(t, level)] for t in range(TREES)}
+    plan = {t: [np.array(p) for p in _positions(t, level, percent)] for t in range(TREES)}
 
     def fill(batches):
         import xxhash
@@ -257,10 +257,10 @@ def apart(members: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
     return x.join(y.hint("merge"), F.expr(near)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def grow(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def grow(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """reps (id, n, sig) -> (key, id) of all leaves with two sets or more; of the families, pairs (a, b) of each
     member and the chosen one (the smallest set in every other tree), and all members (id)."""
-    leaves, stars, families, rows = [], [], [], materialize(_branches(reps.select("id", "n", "sig"), 0), "level0")
+    leaves, stars, families, rows = [], [], [], materialize(_branches(reps.select("id", "n", "sig"), 0, percent), "level0")
     for level in range(len(LEVELS)):
         last = level + 1 == len(LEVELS)
         pivot = F.min(F.struct(F.expr("if(tree % 2 = 0, n, 0)"), F.xxhash64("id", "key"), "id"))["id"].alias("pivot")
@@ -277,7 +277,7 @@ def grow(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         if on:
             large = counts.where((F.col("size") > LEAF) & ~F.col("family")).select("key", F.col("size").alias("up"))
             rest = rows.drop("up").join(large.hint("merge"), "key").select("tree", "key", "up", "id", "n").join(reps.select("id", "n", "sig"), ["id", "n"])
-            deeper = materialize(_branches(rest.coalesce(max(1, -(-on // ROWS))), level + 1), f"level{level + 1}")
+            deeper = materialize(_branches(rest.coalesce(max(1, -(-on // ROWS))), level + 1, percent), f"level{level + 1}")
         discard(rows, counts)
         if not on:
             break
@@ -298,7 +298,7 @@ def linked(reps: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int =
     """Confirmed links (a, b) that make the same components as all links do. First a spanning forest of each
     leaf's candidates is confirmed, and each family's star; then an exact join finds what would join two
     classes, so a family of many alike isn't compared pair by pair."""
-    leaves, stars, families = grow(reps)
+    leaves, stars, families = grow(reps, percent)
     first = _compare_leaves(leaves.join(reps, "id").withColumn("class", F.col("id")), percent, True)
     first = materialize(first.unionAll(stars).distinct(), "forest")
     one = materialize(confirmed(first, docs, percent, size).select("a", "b").distinct(), "links1")
@@ -353,7 +353,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest id: all columns, unchanged. Rows with
-    one id are one document and come once; rows without an id go."""
-    kept = near_duplicates(docs, text, id_col, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(materialize(kept, "kept"), F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    """One row of each group of near-duplicates, that of the smallest id: all columns, unchanged. Equal rows (id
+    and text) are one document and come once; different texts under one id are several. A row without an id
+    stays unless its text is a near-duplicate of another that stays; without words, too, it always stays."""
+    own = docs.withColumn("_v", F.xxhash64(id_col, text))
+    groups = near_duplicates(own, text, "_v", percent).select("doc_id", "n_shingles", "component_id").distinct()
+    ids = own.select(F.col("_v").alias("doc_id"), F.col(id_col).alias("_id")).distinct()
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "doc_id"))["doc_id"].alias("_kept")
+    kept = groups.join(ids, "doc_id").groupBy("component_id").agg(first, F.max("n_shingles").alias("_n"))
+    rows = own.join(materialize(kept.select("_kept", "_n"), "kept"), F.col("_v") == F.col("_kept"))
+    loose = F.col(id_col).isNull() & (F.col("_n") == 0)
+    return rows.where(loose).unionAll(rows.where(~loose).dropDuplicates(["_v"])).select(docs.columns)

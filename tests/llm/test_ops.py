@@ -522,6 +522,25 @@ def test_permutations_are_one_to_one_and_collisions_move(spark):
 # pipeline
 
 
+def test_pipeline_dedup_keeps_clean_rows(spark, sf):
+    import corpus_pipeline
+    from refloom.llm.neardup import _positions, without_near_duplicates
+
+    r = random.Random(14)
+    words = lambda n: [f"q{r.randrange(10**8)}" for _ in range(n)]
+    a, b = words(200), words(150)
+    near = " ".join([*a[:-20], *words(20)])  # 176 of 216 shingles: 0.815
+    rows = [(5, " ".join(a)), (9, near), (7, " ".join(b)), (7, " ".join(b)), (7, " ".join(words(90))), (None, " ".join(words(80))), (None, " ".join(b)), (None, ""), (None, ""), (8, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, d, sf)
+    assert got.columns == d.columns
+    key = lambda x: (str(x[0]), str(x[1]))
+    kept = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=key)
+    assert kept(got) == sorted((rows[k] for k in (0, 1, 2, 4, 5, 7, 8, 9)), key=key)
+    assert kept(without_near_duplicates(d, percent=80)) == sorted((rows[k] for k in (0, 2, 4, 5, 7, 8, 9)), key=key)
+    assert {len(_positions(t, 8, 80)) for t in range(16)} == {5, 6} and {len(_positions(t, 8)) for t in range(16)} == {3, 4}
+
+
 def test_pipeline_stages(spark, sf, documents, texts):
     import corpus_pipeline as P
     from refloom.llm.common import materialize
