@@ -708,3 +708,64 @@ def folding_ranges(spark, sf):
     """Blocks of five lines that span more than one."""
     x = Lexical(spark, sf).lines().groupBy(F.col("doc_id").alias("file"), F.floor((F.col("line") - 1) / 5).alias("block")).agg(F.min("line").alias("start_line"), F.max("line").alias("stop_line"))
     return x.where("stop_line > start_line").groupBy(F.col("file").alias("doc_id")).agg(F.count("*").alias("blocks"), F.sum(F.col("stop_line") - F.col("start_line")).alias("folded"))
+
+
+# method relations of all orders; no SQL, the tests hold them against brute force
+
+
+@query()
+def whole_method_entries(spark, sf):
+    r = Relational(spark, sf, whole=True)
+    return M.entries(r.methods(), r.supplier.where("s_acctbal >= 0").select(F.col("s_suppkey").alias("type_id")), r.requirements().select("name"))
+
+
+@query()
+def whole_candidates_all(spark, sf):
+    r = Relational(spark, sf, whole=True)
+    return M.candidates_all(r.requirements(), r.methods())
+
+
+@query()
+def whole_candidates_any(spark, sf):
+    r = Relational(spark, sf, whole=True)
+    return M.candidates_any(r.requirements(), r.methods())
+
+
+@query()
+def whole_implementers(spark, sf):
+    r = Relational(spark, sf, whole=True)
+    return M.confirmed(r.requirements(), r.methods())
+
+
+@query()
+def whole_satisfied_interfaces(spark, sf):
+    return whole_implementers(spark, sf).groupBy("type_id").agg(F.count("*").alias("n"), F.min("iface").alias("least"), F.max("iface").alias("most"))
+
+
+@query()
+def whole_supertypes(spark, sf):
+    return M.embedding(Relational(spark, sf, whole=True).requirements()).select("sub", "sup")
+
+
+@query()
+def whole_subtypes(spark, sf):
+    r = Relational(spark, sf, whole=True)
+    return M.subtypes(r.requirements(), r.methods())
+
+
+@query()
+def whole_type_hierarchy_order(spark, sf):
+    w = Window.partitionBy("sup").orderBy("is_interface", "sub")
+    return whole_subtypes(spark, sf).withColumn("place", F.row_number().over(w).cast("long"))
+
+
+@query()
+def whole_method_implementations(spark, sf):
+    r = Relational(spark, sf, whole=True)
+    return M.method_pairs(r.requirements(), r.methods()).select("iface", "type_id", "name", "fp")
+
+
+@query()
+def whole_method_interfaces(spark, sf):
+    """Interface methods of every name that a type's method satisfies."""
+    return whole_method_implementations(spark, sf).select("iface", "name", "type_id").distinct()

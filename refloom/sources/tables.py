@@ -34,11 +34,13 @@ def fingerprint(size: Column) -> Column:
 
 
 class Relational:
-    """Units are suppliers, symbols are parts, postings are order lines, interfaces are every fiftieth order."""
+    """Units are suppliers, symbols are parts, postings are order lines, interfaces are every fiftieth order, or with
+    `whole` all orders."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
         self.line, self.part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
         self.supplier, self.orders = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "orders")
+        self.whole = whole
 
     def symbols(self) -> DataFrame:
         kinds = self.part.select("p_type").distinct().select("p_type", (F.dense_rank().over(Window.orderBy("p_type")) - 1).cast("long").alias("kind"))
@@ -64,7 +66,8 @@ class Relational:
         return self._used().select("name", F.col("l_suppkey").alias("type_id"), "fp").distinct()
 
     def requirements(self) -> DataFrame:
-        return self._used().where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("iface"), "name", "fp").distinct()
+        used = self._used() if self.whole else self._used().where("l_orderkey % 50 = 0")
+        return used.select(F.col("l_orderkey").alias("iface"), "name", "fp").distinct()
 
     def snapshot(self, new: bool) -> DataFrame:
         """(unit, file): files of a supplier's unit in the old or the new snapshot."""

@@ -37,3 +37,35 @@ def test_line_diff_applied_gives_the_other_text(spark, sf):
             out += [*lines[at:start], new]
             at = stop
         assert "".join([*out, *lines[at:]]) == b
+
+
+def test_method_relations_of_all_orders_equal_brute_force(spark, sf, duck):
+    used = duck.sql("SELECT l_orderkey, l_suppkey, p_brand, CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size END FROM lineitem JOIN part ON p_partkey = l_partkey").fetchall()
+    req, own = {}, {}
+    for o, s, name, fp in used:
+        req.setdefault(o, set()).add((name, fp))
+        own.setdefault(s, set()).add((name, fp))
+    names = {o: {n for n, _ in q} for o, q in req.items()}
+    has = {s: {n for n, _ in e} for s, e in own.items()}
+    sound = {o: q for o, q in req.items() if all(fp for _, fp in q)}
+    ok = {(o, s) for o, q in sound.items() for s, e in own.items() if q <= e}
+    emb = {(b, a) for a, q in sound.items() for b, p in req.items() if a != b and q <= p}
+    good = {s for (s,) in duck.sql("SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0").fetchall()}
+    sub = {(o, s, False) for o, s in ok} | {(a, b, True) for b, a in emb}
+    got = lambda name, *cols: sorted(tuple(r) for r in QUERIES[f"whole_{name}"](spark, sf).select(*cols).collect())
+    assert any(o % 50 for o, _ in ok)
+    assert got("method_entries", "type_id", "name", "fp") == sorted((s, n, f) for s in good & set(own) for n, f in own[s])
+    assert got("candidates_all", "iface", "type_id") == sorted((o, s) for o in req for s in own if names[o] <= has[s])
+    assert got("candidates_any", "iface", "type_id") == sorted((o, s) for o in req for s in own if names[o] & has[s])
+    assert got("implementers", "iface", "type_id") == sorted(ok)
+    assert got("supertypes", "sub", "sup") == sorted(emb)
+    assert got("subtypes", "sup", "sub", "is_interface") == sorted(sub)
+    place, want = {}, []
+    for sup, b, is_interface in sorted(sub, key=lambda x: (x[0], x[2], x[1])):
+        place[sup] = place.get(sup, 0) + 1
+        want.append((sup, b, is_interface, place[sup]))
+    assert got("type_hierarchy_order", "sup", "sub", "is_interface", "place") == sorted(want)
+    per = {s: [o for o, t in ok if t == s] for _, s in ok}
+    assert got("satisfied_interfaces", "type_id", "n", "least", "most") == sorted((s, len(x), min(x), max(x)) for s, x in per.items())
+    assert got("method_implementations", "iface", "type_id", "name", "fp") == sorted((o, s, n, f) for o, s in ok for n, f in req[o])
+    assert got("method_interfaces", "iface", "name", "type_id") == sorted({(o, n, s) for o, s in ok for n, _ in req[o]})
