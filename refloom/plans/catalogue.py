@@ -769,3 +769,43 @@ def whole_method_implementations(spark, sf):
 def whole_method_interfaces(spark, sf):
     """Interface methods of every name that a type's method satisfies."""
     return whole_method_implementations(spark, sf).select("iface", "name", "type_id").distinct()
+
+
+# closures of all nodes, cut-off and invalidation for all changed units; no SQL either
+
+
+def _changed(spark, sf) -> DataFrame:
+    return changed_export_set(spark, sf).select("unit")
+
+
+@query()
+def whole_closure(spark, sf):
+    g = Graph(spark, sf)
+    return G.closure(g.nodes.select(F.col("node").alias("seed")), g.edges)
+
+
+@query()
+def whole_ordered_closure(spark, sf):
+    g = Graph(spark, sf)
+    order = G.levels(g.nodes, g.prod).select("node", F.expr(_POS).alias("pos"))
+    c = G.ordered_closure(g.nodes.select(F.col("node").alias("seed")), g.edges, order)
+    return c.select("seed", "node", F.row_number().over(Window.partitionBy("seed").orderBy("pos")).cast("long").alias("place"))
+
+
+@query()
+def whole_reindex_cutoff(spark, sf):
+    """The nodes named like a changed unit are processed again, and what follows from them."""
+    g = Graph(spark, sf)
+    exports = table(spark, sf, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("node"))
+    changed = _changed(spark, sf).select(F.col("unit").alias("node")).join(g.nodes.select("node"), "node", "left_semi")
+    return C.cut_off(changed, exports, g.edges, G.levels(g.nodes, g.prod))
+
+
+@query()
+def whole_cache_invalidate(spark, sf):
+    """Units that survive when all units of the snapshot diff have changed."""
+    r = Relational(spark, sf)
+    both = r.snapshot(False).withColumn("n", F.lit(False)).unionAll(r.snapshot(True).withColumn("n", F.lit(True)))
+    changed = _changed(spark, sf)
+    hit = both.join(changed.select(F.col("unit").alias("file")), "file", "left_semi").select("unit")
+    return both.groupBy("unit").agg(F.bool_or("n").alias("complete")).where("complete").join(hit.unionAll(changed), "unit", "left_anti").select("unit")

@@ -69,3 +69,35 @@ def test_method_relations_of_all_orders_equal_brute_force(spark, sf, duck):
     assert got("satisfied_interfaces", "type_id", "n", "least", "most") == sorted((s, len(x), min(x), max(x)) for s, x in per.items())
     assert got("method_implementations", "iface", "type_id", "name", "fp") == sorted((o, s, n, f) for o, s in ok for n, f in req[o])
     assert got("method_interfaces", "iface", "name", "type_id") == sorted({(o, n, s) for o, s in ok for n, _ in req[o]})
+
+
+def test_closures_and_changes_of_the_whole_table_equal_brute_force(spark, sf, duck):
+    from refloom.sources.tables import SPLIT_DAY
+
+    parts = dict(duck.sql("SELECT p_partkey, p_size FROM part").fetchall())
+    prod = {(p, d) for p in parts for d in (p // 2, p // 3) if d and d in parts}
+    every = prod | {(p, p + 1) for p in parts if p % 97 == 0 and p + 1 in parts}
+    users, level = {p: [s for s, d in every if d == p] for p in parts}, {}
+    for p in sorted(parts):
+        level[p] = max((level[d] + 1 for s, d in prod if s == p), default=0)
+
+    def reach(seeds, through):
+        seen, todo = set(seeds), list(seeds)
+        while todo:
+            n = todo.pop()
+            new = [u for u in users[n] if u not in seen] if n in through else []
+            seen |= set(new)
+            todo += new
+        return seen
+
+    got = lambda name, *cols: sorted(tuple(r) for r in QUERIES[f"whole_{name}"](spark, sf).select(*cols).collect())
+    closure = {p: reach([p], parts) for p in parts}
+    assert got("closure", "seed", "node") == sorted((p, n) for p, c in closure.items() for n in c)
+    order = {p: sorted(c - {p}, key=lambda n: (level[n], n)) for p, c in closure.items()}
+    assert got("ordered_closure", "seed", "node", "place") == sorted((p, n, k) for p, c in order.items() for k, n in enumerate(c, 1))
+    old, new = {}, {}
+    for u, f, late in duck.sql(f"SELECT DISTINCT l_suppkey, l_partkey, l_shipdate >= TIMESTAMP '{SPLIT_DAY}' FROM lineitem").fetchall():
+        (new if late else old).setdefault(u, set()).add(f)
+    changed = {u for u in old.keys() | new.keys() if old.get(u) != new.get(u)}
+    assert got("reindex_cutoff", "node", "level") == sorted((n, level[n]) for n in reach(changed & set(parts), {p for p in parts if parts[p] % 2 == 0}))
+    assert got("cache_invalidate", "unit") == sorted((u,) for u in new if u not in changed and not (old.get(u, set()) | new[u]) & changed)
