@@ -22,9 +22,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates stays: similarity 0.85 or more on
+    """The document with the smallest id of each group of near-duplicates stays: similarity 0.8 or more on
     shingles of five words. Rows without an id and different texts under one id count as documents."""
-    return without_near_duplicates(docs)
+    return without_near_duplicates(docs, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
