@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from refloom.sources.scratch import root
 
-#: Largest number of rows of a side that may be broadcast; it is counted before the hint is given.
-BROADCAST_ROWS = 200_000
+#: Largest number of rows, and of bytes as JSON, of a side that may be broadcast; they are measured before the hint is given.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +39,51 @@ def discard(*dfs: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows at most `limit` rows, else df as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most `limit` rows and `most` bytes, else df as it is."""
+    rows, size = df.limit(limit + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if rows <= limit and (size or 0) <= most else df
+
+
+def tidy() -> None:
+    """At a task's end a Python worker, which serves other tasks later, gives back the memory that it has freed."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def arrow_types(spark: SparkSession, columns: str) -> list:
+    """The Arrow types of columns given as DDL."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(spark.createDataFrame([], columns).schema).types
+
+
+def mapped_texts(docs: DataFrame, work, columns: str, text: str = "text", id_col: str = "doc_id", key: str = "doc_id") -> DataFrame:
+    """(doc_id long, columns): one row for each row. `work` takes the texts of a batch, null as None, and returns a
+    list for each column. Ids, null ones and those beyond 2^53 too, don't pass through Python."""
+    types = arrow_types(docs.sparkSession, columns)
+    names = [key, *docs.sparkSession.createDataFrame([], columns).columns]
+
+    def fill(batches):
+        import pyarrow as pa
+
+        try:
+            for b in batches:
+                got = work(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, type=k) for c, k in zip(got, types)]], names=names)
+        finally:
+            tidy()
+
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).mapInArrow(fill, f"{key} long, {columns}")
 
 
 def train_fold(doc_id: Column) -> Column:
@@ -62,7 +104,7 @@ def sampled_rows(df: DataFrame, key: str, rows: int, columns: list[str], among:
     if among is not None:
         keys = keys.join(among.select(F.col(key).alias("k")), "k", "left_semi")
     keys = keys.orderBy(F.xxhash64("k"), "k").limit(rows)
-    ids = keys.sparkSession.createDataFrame([(r[0],) for r in keys.collect()], "k long")
+    ids = keys.sparkSession.createDataFrame([(r[0],) for r in keys.collect()], keys.schema)
     got = df.join(F.broadcast(ids), F.col(key) == F.col("k"), "left_semi").select(*columns).limit(2 * rows).collect()
     return sorted(got, key=lambda r: tuple(str(x) for x in r))
 

@@ -1,47 +1,49 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 A document's set holds its distinct shingles of SHINGLE words. Equal sets meet by digest first, so copies
-are one vertex whatever their number. The sets' representatives then walk TREES independent trees: at
-each level a tree chooses one minwise position (now and then two, so that a pair at the threshold keeps
-about one common path) and a set follows the branch of its token there. A node of at most LEAF sets is
-compared exhaustively on MinHash signatures; larger nodes are branched again, several levels at once
-further down. A large node that hardly shrinks, or is still large at the last level, is a family whose
-members share nearly all tokens: there each member is first compared with a member chosen by each tree.
-
-Candidates that pass the signature estimate and the size bound are confirmed on the full sets: a link
-needs 100 * intersection >= percent * union. Each leaf's spanning forest of best estimates and the families'
-chosen members come first. Then all members of families, and all sets of leaves with a candidate in another
-class, go through an exact prefix-filter join: two sets that meet the threshold share one of their rarest
-tokens, so every link between classes that are still apart is found. Links make components, without the driver.
-
-Recall: a pair at similarity 0.85 misses one tree with probability 0.15 at the first level, all 16 with
-1e-13; deeper levels, which only nodes of more than LEAF sets reach, keep about one common path per tree. The estimate's margin drops such a pair with
-probability 1e-6.
+are one vertex whatever their number. The sets' representatives walk TREES independent trees: each tree has
+DEPTH minwise tokens of its own (32 bits each), and a set follows the branch of its token at each level. A
+node of at most LEAF sets is compared exhaustively on MinHash signatures. Of a larger node the members'
+commonest token at each position is found (a majority vote that partial results merge), the member that
+agrees with it most stands for the node, and each member is compared with that one: a text and its variants
+become one class however many there are. Larger nodes that still hold two classes or more are branched
+again, a level for each further token, now and then to two children, so that a pair at the threshold keeps
+about one common path.
+
+Candidates that pass the signature estimate and the size bound are confirmed on the full sets: a link needs
+100 * intersection >= percent * union. A spanning forest of best estimates of each leaf and the large nodes'
+chosen members come first. Then all sets of leaves with a candidate in another class, and all members of
+nodes that are still large and of several classes at the last level, go through an exact prefix-filter join:
+two sets that meet the threshold share one of their rarest tokens, so every link between classes that are
+still apart is found. Links make components, without the driver.
+
+Recall: a pair at similarity s misses all trees at the first level with probability (1 - s) ** TREES, 1e-10
+at 0.85 and 4e-9 at 0.8. The estimate's margin drops such a pair with probability 1e-6. Pairs that meet in large nodes
+alone pass the deeper levels in each tree on its own, and the last level has an exact way.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text of fewer than
-SHINGLE words is one shingle; rows with one id are one vertex; extra columns are ignored.
+SHINGLE words is one shingle; rows with one id are one vertex; a row without an id takes part in no link of
+its own, its component is that of an equal set with an id, else null; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import discard, materialize
+from refloom.llm.common import discard, mapped_texts, materialize, tidy
 from refloom.llm.components import components
 
 SHINGLE = 5
 PERCENT = 85
-POSITIONS = 64  #: minwise tokens of a signature
-TREES = 16
+TREES = 12
+DEPTH = 5  #: levels of a tree, each with a minwise token of its own
+POSITIONS = TREES * DEPTH  #: minwise tokens of a signature
 LEAF = 256
-FAMILY = 0.95  #: a large node that keeps this share of the node above, for each token chosen, isn't branched again
-ROWS = 50_000  #: rows of a task on the levels below the first
 CELLS = 1 << 18  #: counters of tokens, by hash, that give the order of tokens in the prefix-filter join
 BLOCK = 1 << 12  #: counters in a row
-LEVELS = (1, 1, 1, 1, 2, 2, 4, 4, 8)  #: tokens that each level chooses
 MARGIN = 5.0  #: standard deviations below the threshold at which a signature still passes
 _R = np.random.default_rng(85)
 _MULT = _R.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,66 +74,120 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """16 bits of the smallest token under each of POSITIONS orders."""
+    """32 bits of the smallest token under each of POSITIONS orders."""
     low = np.full(POSITIONS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(s), 4096):
         low = np.minimum(low, (s[at : at + 4096, None] * _MULT).min(0))
-    return (_mix(low) >> np.uint64(48)).astype("<u2")
+    return (_mix(low) >> np.uint64(32)).astype("<u4").view("<i4")
 
 
 def sketches(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n long, digest string, sig binary); digest and sig are null for an empty set."""
+    """(doc_id, n long, digest string, sig array<int>); digest and sig are null for an empty set."""
 
-    def fill(batches):
+    def fill(texts):
         import xxhash
 
-        for b in batches:
-            n, d, s = [], [], []
-            for t in b["t"]:
-                x = shingle_set(t, size)
-                n.append(len(x))
-                d.append(xxhash.xxh3_128_hexdigest(x.tobytes()) if len(x) else None)
-                s.append(signature(x).tobytes() if len(x) else None)
-            yield pd.DataFrame({"doc_id": b["i"], "n": np.array(n, dtype="int64"), "digest": d, "sig": s})
+        n, d, s = [], [], []
+        for t in texts:
+            x = shingle_set(t, size)
+            n.append(len(x))
+            d.append(xxhash.xxh3_128_hexdigest(x.tobytes()) if len(x) else None)
+            s.append(signature(x) if len(x) else None)
+        return n, d, s
 
-    return docs.selectExpr(f"`{id_col}` AS i", f"`{text}` AS t").mapInPandas(fill, "doc_id long, n long, digest string, sig binary")
+    return mapped_texts(docs, fill, "n long, digest string, sig array<int>", text, id_col)
 
 
-def _positions(tree: int, level: int, percent: int = PERCENT) -> list[tuple[int, ...]]:
-    """The branches that a tree offers at a level: each a choice of as many positions as the level takes, none
-    of which the first branches of other levels take."""
-    order = np.random.default_rng(tree).permutation(POSITIONS).tolist()
-    width, used = LEVELS[level], sum(LEVELS[:level])
-    mean = (100 / percent) ** width if level else 1.0
-    several = int(mean) + int(np.random.default_rng((tree, level)).random() < mean - int(mean))
-    spare = order[sum(LEVELS) :]
-    return [tuple(order[used : used + width])] + [tuple(spare[(used + 9 * n + k) % len(spare)] for k in range(width)) for n in range(1, several)]
+def _estimate(percent: int) -> float:
+    """Positions that two signatures have in common at least, to be candidates."""
+    j = percent / 100
+    return POSITIONS * j - MARGIN * (POSITIONS * j * (1 - j)) ** 0.5
 
 
-def _branches(rows: DataFrame, level: int, percent: int) -> DataFrame:
-    """rows (id, n, sig) at the root, else (tree, key, up, id, n, sig) -> (tree, key, up, id, n) of the next level;
-    up is the size of the node above, 0 at the root."""
-    plan = {t: [np.array(p) for p in _positions(t, level, percent)] for t in range(TREES)}
+def _token(tree: Column, level: int, turn: Column = F.lit(0)) -> Column:
+    """The token by which a tree branches at a level; later turns take those of the trees behind it."""
+    return F.get("sig", ((tree + turn) % TREES * DEPTH + level).cast("int"))
 
-    def fill(batches):
-        import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
+def _roots(reps: DataFrame) -> DataFrame:
+    """reps (id, sig) -> (tree, key, id): the nodes of the first level."""
+    keys = F.array(*[F.xxhash64(F.lit(t), _token(F.lit(t), 0)) for t in range(TREES)])
+    return reps.select("id", F.posexplode(keys).alias("tree", "key")).select("tree", "key", "id")
+
+
+def branch_count(key: Column, percent: int) -> Column:
+    """Children of a node: 100 / percent on average, chosen by the node's key."""
+    return F.least(F.lit(TREES), F.floor(F.lit(100 / percent) + F.pmod(F.xxhash64(key, F.lit("turn")), F.lit(1 << 20)) / (1 << 20)).cast("int"))
+
+
+def _branches(rows: DataFrame, level: int, percent: int) -> DataFrame:
+    """rows (tree, key, id, sig) -> (tree, key, id) of the next level's nodes."""
+    turns = F.sequence(F.lit(0), branch_count(F.col("key"), percent) - 1)
+    child = lambda n: F.xxhash64("key", F.lit(level), n, _token(F.col("tree"), level, n))
+    return rows.select("tree", "id", F.explode(F.transform(turns, child)).alias("key")).select("tree", "key", "id")
+
+
+def whole_groups(batches, key: str):
+    """Frames of batches sorted by key, cut where the key changes."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        cut = int(b[key].searchsorted(b[key].iloc[-1])) if len(b) else 0
+        rest = b.iloc[cut:]
+        yield b.iloc[:cut]
+    if rest is not None:
+        yield rest
+
+
+def runs(key: np.ndarray):
+    """(start, end) of the runs of equal keys."""
+    edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)] if len(key) else np.zeros(1, dtype=int)
+    return zip(edges[:-1], edges[1:])
+
+
+def _commonest(sig: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest value of each column, by weight, and by how much it leads: what a majority vote keeps."""
+    order = np.argsort(sig, axis=0, kind="stable")
+    values = np.take_along_axis(sig, order, 0)
+    w = np.ones(sig.shape, dtype=np.int64) if weight is None else np.take_along_axis(weight, order, 0)
+    best, lead = np.zeros(sig.shape[1], dtype=np.int32), np.zeros(sig.shape[1], dtype=np.int64)
+    for k in range(sig.shape[1]):
+        at = np.r_[0, np.flatnonzero(values[1:, k] != values[:-1, k]) + 1]
+        sums = np.add.reduceat(w[:, k], at)
+        j = int(sums.argmax())
+        best[k], lead[k] = values[at[j], k], max(0, 2 * sums[j] - sums.sum())
+    return best, lead
+
+
+def _stars(large: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """large (tree, key, id) -> pairs (a, b), a < b: each member of a node beside the member nearest to the
+    node's majority, if size and estimate let them be linked."""
+    rows = materialize(large.select("key", "id").join(reps.hint("merge"), "id").sortWithinPartitions("key").select("key", "id", "n", "sig"), "large")
+
+    def vote(batches):
         for b in batches:
-            trees, keys, ups, ids, sizes = [], [], [], [], []
-            before = zip(b["tree"].tolist(), b["key"].tolist(), b["up"].tolist()) if level else None
-            for i, size, s in zip(b["id"].tolist(), b["n"].tolist(), b["sig"]):
-                sig = np.frombuffer(s, dtype="<u2")
-                for t, k, up in [next(before)] if level else [(t, 0, 0) for t in range(TREES)]:
-                    for n, p in enumerate(plan[t]):
-                        trees.append(t)
-                        keys.append(digest(sig[p].tobytes() + bytes([t, level, n]), k & 0xFFFFFFFFFFFFFFFF))
-                        ups.append(up)
-                        ids.append(i)
-                        sizes.append(size)
-            yield pd.DataFrame({"tree": np.array(trees, dtype="int32"), "key": np.array(keys, dtype="uint64").view("int64"), "up": np.array(ups, dtype="int64"), "id": np.array(ids, dtype="int64"), "n": np.array(sizes, dtype="int64")})
-
-    return rows.mapInPandas(fill, "tree int, key long, up long, id long, n long")
+            order = np.argsort(b["key"].to_numpy(), kind="stable")
+            key, sig = b["key"].to_numpy()[order], np.stack(b["sig"].to_list())[order] if len(b) else np.zeros((0, POSITIONS), dtype=np.int32)
+            got = [(key[s], *_commonest(sig[s:e])) for s, e in runs(key)]
+            yield pd.DataFrame({"key": [g[0] for g in got], "token": [g[1] for g in got], "lead": [g[2] for g in got]})
+
+    def count(batches):
+        for b in whole_groups(batches, "key"):
+            key = b["key"].to_numpy()
+            got = [(key[s], _commonest(np.stack(b["token"].iloc[s:e].to_list()), np.stack(b["lead"].iloc[s:e].to_list()))[0]) for s, e in runs(key)]
+            yield pd.DataFrame({"key": [g[0] for g in got], "token": [g[1] for g in got]})
+
+    votes = rows.select("key", "sig").mapInPandas(vote, "key long, token array<int>, lead array<long>")
+    most = materialize(votes.repartition("key").sortWithinPartitions("key").mapInPandas(count, "key long, token array<int>"), "majority")
+    agree = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same))
+    near = rows.join(most.hint("merge"), "key").select("key", "id", agree("sig", "token").alias("agree"))
+    chosen = near.groupBy("key").agg(F.max(F.struct("agree", "id"))["id"].alias("pivot"))
+    chosen = materialize(chosen.join(reps.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("sig").alias("own")).hint("merge"), "pivot"), "pivots")
+    sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    met = rows.join(chosen.hint("merge"), "key").where((F.col("id") != F.col("pivot")) & sized & (agree("sig", "own") >= _estimate(percent)))
+    out = materialize(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "stars")
+    discard(rows, most, chosen)
+    return out
 
 
 def _forest(agree: np.ndarray) -> list[tuple[int, int]]:
@@ -152,11 +208,10 @@ def _forest(agree: np.ndarray) -> list[tuple[int, int]]:
 def _compare_leaves(leaves: DataFrame, percent: int, forest: bool) -> DataFrame:
     """leaves (key, id, n, sig, class), whole nodes -> with `forest` pairs (a, b), a < b, a spanning forest of each
     node's candidates; else (id), the sets with a candidate in another class."""
-    j = percent / 100
-    least = POSITIONS * j - MARGIN * (POSITIONS * j * (1 - j)) ** 0.5
+    least = _estimate(percent)
 
     def pairs(ids, n, sig, cls):
-        s = np.frombuffer(b"".join(sig), dtype="<u2").reshape(len(ids), POSITIONS)
+        s = np.stack(sig)
         if len(ids) > 2:
             agree = np.zeros((len(ids), len(ids)), dtype=np.int16)
             for k in range(POSITIONS):
@@ -172,26 +227,16 @@ def _compare_leaves(leaves: DataFrame, percent: int, forest: bool) -> DataFrame:
         return apart, apart
 
     def fill(batches):
-        rest = None
-        for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            last = b["key"].iloc[-1] if len(b) else None
-            cut = int(b["key"].searchsorted(last)) if len(b) else 0
-            rest = b.iloc[cut:]
-            yield nodes(b.iloc[:cut])
-        if rest is not None:
-            yield nodes(rest)
-
-    def nodes(b):
-        out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        key, ids, n, sig, cls = b["key"].to_numpy(), b["id"].to_numpy(), b["n"].to_numpy(), b["sig"].tolist(), b["class"].to_numpy()
-        edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)] if len(key) else [0]
-        for s, e in zip(edges[:-1], edges[1:]):
-            if e - s > 1 and (forest or (cls[s:e] != cls[s]).any()):
-                a, z = pairs(ids[s:e], n[s:e], sig[s:e], cls[s:e])
-                out_a.append(np.minimum(a, z))
-                out_b.append(np.maximum(a, z))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)} if forest else {"id": np.concatenate(out_a)})
+        for b in whole_groups(batches, "key"):
+            out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            key, ids, n, sig, cls = b["key"].to_numpy(), b["id"].to_numpy(), b["n"].to_numpy(), b["sig"].tolist(), b["class"].to_numpy()
+            for s, e in runs(key):
+                if e - s > 1 and (forest or (cls[s:e] != cls[s]).any()):
+                    a, z = pairs(ids[s:e], n[s:e], sig[s:e], cls[s:e])
+                    out_a.append(np.minimum(a, z))
+                    out_b.append(np.maximum(a, z))
+            yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)} if forest else {"id": np.concatenate(out_a)})
+        tidy()
 
     return leaves.repartition("key").sortWithinPartitions("key", "id").mapInPandas(fill, "a long, b long" if forest else "id long").distinct()
 
@@ -228,6 +273,7 @@ def apart(members: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
     def fill(batches):
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "class": b["class"], "s": [shingle_set(t, size).tobytes() for t in b["text"]]})
+        tidy()
 
     sets = materialize(docs.join(members.hint("merge"), "id").select("id", "class", "text").mapInPandas(fill, "id long, class long, s binary").where("length(s) > 0"), "members")
     counts = _counters(sets)
@@ -249,66 +295,64 @@ def apart(members: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
                 yield pd.DataFrame({"token": np.concatenate(tokens), "id": np.concatenate(ids), "class": np.concatenate(classes), "n": np.concatenate(sizes), "left": np.concatenate(left)})
 
     rows = materialize(sets.mapInPandas(prefixes, "token long, id long, class long, n int, left int"), "prefixes")
-    shared = rows.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("token")
+    # of a token's rows, those outside its largest class meet all others: pairs within that class aren't formed
+    by_class = rows.groupBy("token", "class").agg(F.count("*").alias("rows"))
+    shared = by_class.groupBy("token").agg(F.max(F.struct("rows", "class"))["class"].alias("major"), F.count("*").alias("classes")).where("classes > 1").select("token", "major")
     rows = materialize(rows.join(shared.hint("merge"), "token"), "shared")
-    x = rows.where(f"left * {100 + percent}L >= 2L * {percent} * n").selectExpr("token", "id AS a", "class AS ca", "n AS na", "left AS la")
+    x = rows.where("class != major").selectExpr("token", "id AS a", "class AS ca", "n AS na", "left AS la")
     y = rows.selectExpr("token AS other", "id AS b", "class AS cb", "n AS nb", "left AS lb")
-    near = f"token = other AND ca != cb AND (na < nb OR na = nb AND a < b) AND least(la, lb) * {100 + percent}L >= {percent}L * (na + nb)"
+    near = f"token = other AND ca != cb AND least(na, nb) * 100L >= greatest(na, nb) * {percent}L AND least(la, lb) * {100 + percent}L >= {percent}L * (na + nb)"
     return x.join(y.hint("merge"), F.expr(near)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def grow(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """reps (id, n, sig) -> (key, id) of all leaves with two sets or more; of the families, pairs (a, b) of each
-    member and the chosen one (the smallest set in every other tree), and all members (id)."""
-    leaves, stars, families, rows = [], [], [], materialize(_branches(reps.select("id", "n", "sig"), 0, percent), "level0")
-    for level in range(len(LEVELS)):
-        last = level + 1 == len(LEVELS)
-        pivot = F.min(F.struct(F.expr("if(tree % 2 = 0, n, 0)"), F.xxhash64("id", "key"), "id"))["id"].alias("pivot")
-        counts = rows.groupBy("key").agg(F.count("*").alias("size"), pivot, F.max("up").alias("up")).where("size > 1")
-        family = F.lit(last) | ((F.col("up") > 0) & (F.col("size") >= F.col("up") * FAMILY ** LEVELS[level]))
-        counts = materialize(counts.withColumn("family", (F.col("size") > LEAF) & family).drop("up"), f"count{level}")
-        nodes = rows.join(counts.hint("merge"), "key")
-        leaves.append(materialize(nodes.where(F.col("size") <= LEAF).select("key", "id"), f"leaves{level}"))
-        on, alike = counts.where(F.col("size") > LEAF).agg(F.sum(F.when(~F.col("family"), F.col("size"))), F.sum(F.when(F.col("family"), F.col("size")))).first()
-        if alike:  # members share nearly all tokens: each stands beside its node's chosen one
-            star = nodes.where("family AND id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-            stars.append(materialize(star.distinct(), "stars"))
-            families.append(materialize(nodes.where("family").select("id").distinct(), "families"))
-        if on:
-            large = counts.where((F.col("size") > LEAF) & ~F.col("family")).select("key", F.col("size").alias("up"))
-            rest = rows.drop("up").join(large.hint("merge"), "key").select("tree", "key", "up", "id", "n").join(reps.select("id", "n", "sig"), ["id", "n"])
-            deeper = materialize(_branches(rest.coalesce(max(1, -(-on // ROWS))), level + 1, percent), f"level{level + 1}")
-        discard(rows, counts)
-        if not on:
+def descend(large: DataFrame, known: DataFrame, percent: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """large (tree, key, id), members of nodes of more than LEAF sets; known (id, n, sig, class) -> the leaves (key, id)
+    below those of several classes, by level, and the members (id) of those that are large at the last level."""
+    leaves, members = [], []
+    for level in range(1, DEPTH + 1):
+        rows = large.join(known.select("id", "class").hint("merge"), "id")
+        nodes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key", "size")
+        open_rows = materialize(rows.join(nodes.hint("merge"), "key").select("tree", "key", "id", "size"), f"open{level}")
+        if level > 1:
+            leaves.append(materialize(open_rows.where(F.col("size") <= LEAF).select("key", "id"), f"leaves{level}"))
+        rest = open_rows.where(F.col("size") > LEAF)
+        if not rest.limit(1).count():
             break
-        rows = deeper
-    out = leaves[0]
-    for x in leaves[1:]:
-        out = out.unionAll(x)
-    pairs = reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    for x in stars:
-        pairs = pairs.unionAll(x)
-    members = reps.select("id").limit(0)
-    for x in families:
-        members = members.unionAll(x)
-    return out, pairs, members
+        if level == DEPTH:
+            members.append(materialize(rest.select("id").distinct(), "last"))
+            break
+        deeper = materialize(_branches(rest.join(known.select("id", "sig").hint("merge"), "id"), level, percent), f"level{level}")
+        discard(large, open_rows)
+        large = deeper
+    return leaves, members
 
 
 def linked(reps: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """Confirmed links (a, b) that make the same components as all links do. First a spanning forest of each
-    leaf's candidates is confirmed, and each family's star; then an exact join finds what would join two
+    leaf's candidates is confirmed, and each large node's star; then an exact join finds what would join two
     classes, so a family of many alike isn't compared pair by pair."""
-    leaves, stars, families = grow(reps, percent)
+    rows = materialize(_roots(reps), "roots")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    nodes = materialize(rows.join(sizes.hint("merge"), "key"), "nodes")
+    leaves, large = nodes.where(F.col("size") <= LEAF).select("key", "id"), nodes.where(F.col("size") > LEAF).select("tree", "key", "id")
     first = _compare_leaves(leaves.join(reps, "id").withColumn("class", F.col("id")), percent, True)
-    first = materialize(first.unionAll(stars).distinct(), "forest")
+    any_large = large.limit(1).count() > 0
+    first = materialize(first.unionAll(_stars(large, reps, percent)).distinct() if any_large else first, "forest")
     one = materialize(confirmed(first, docs, percent, size).select("a", "b").distinct(), "links1")
-    classes = materialize(components(one.select(F.col("a").alias("u"), F.col("b").alias("v"))), "classes")
-    known = materialize(reps.join(classes, "id", "left").select("id", "n", "sig", F.coalesce("root", "id").alias("class")), "known")
-    members = materialize(_compare_leaves(leaves.join(known, "id"), percent, False).unionAll(families).distinct(), "open")
-    members = members.join(known.select("id", "class").distinct(), "id")
-    rest = apart(members, docs, percent, size).join(first, ["a", "b"], "left_anti")
-    two = confirmed(materialize(rest, "rest"), docs, percent, size).select("a", "b")
-    return materialize(one.unionAll(two).distinct(), "links")
+    classes = components(one.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    known = materialize(reps.join(classes.hint("merge"), "id", "left").select("id", "n", "sig", F.coalesce("root", "id").alias("class")), "known")
+    deeper, last = descend(large, known, percent) if any_large else ([], [])
+    for x in deeper:
+        leaves = leaves.unionAll(x)
+    members = _compare_leaves(leaves.join(known, "id"), percent, False)
+    for x in last:
+        members = members.unionAll(x)
+    members = materialize(members.distinct(), "open").join(known.select("id", "class").distinct(), "id")
+    rest = materialize(apart(members, docs, percent, size).join(first, ["a", "b"], "left_anti"), "rest")
+    two = confirmed(rest, docs, percent, size).select("a", "b")
+    out = materialize(one.unionAll(two).distinct(), "links")
+    discard(rows, nodes, first, one, known, rest, *deeper, *last)
+    return out
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -318,6 +362,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: i
     def sets(batches):
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "s": [shingle_set(t, size).tobytes() for t in b["text"]]})
+        tidy()
 
     s = materialize(docs.join(ids, "id", "left_semi").mapInPandas(sets, "id long, s binary"), "sets", "none")
     left = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("x")).hint("merge"), "a")

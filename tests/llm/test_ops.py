@@ -267,6 +267,33 @@ def test_true_pairs_inside_a_template_family_are_linked(spark, monkeypatch):
     assert got == up
 
 
+def test_hub_family_is_one_component(spark):
+    from refloom.llm import neardup as N
+
+    r = random.Random(5)
+    hub, texts = [f"h{r.randrange(10**6)}" for _ in range(400)], []
+    for k in range(2500):  # at about 0.86 to the hub, 0.76 to each other
+        w = list(hub)
+        for at in r.sample(range(5, 395, 6), 6):
+            w[at] = f"v{k}x{at}"
+        texts.append(" ".join(w))
+    texts.insert(1700, " ".join(hub))
+    sets = [five(t) for t in (texts[0], texts[1], " ".join(hub))]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    assert jaccard(sets[0], sets[1]) < 0.8 and 0.85 <= jaccard(sets[0], sets[2]) < 0.87
+    rows = N.near_duplicates(docs_of(spark, texts)).collect()
+    assert {x.component_id for x in rows} == {0} and [x.doc_id for x in rows if x.kept] == [0]
+
+
+def test_ids_keep_their_values(spark):
+    from refloom.llm.neardup import near_duplicates
+
+    big = 1152921504606846977
+    d = spark.createDataFrame([(big, "a b c d e f"), (None, "a b c d e f"), (big + 2, "x"), (None, None)], "doc_id long, text string")
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in near_duplicates(d).collect()), key=str)
+    assert got == sorted([(big, 2, big, True), (None, 2, big, None), (big + 2, 1, big + 2, True), (None, 0, None, None)], key=str)
+
+
 def test_components(spark):
     from refloom.llm.components import components
 
@@ -524,7 +551,7 @@ def test_permutations_are_one_to_one_and_collisions_move(spark):
 
 def test_pipeline_dedup_keeps_clean_rows(spark, sf):
     import corpus_pipeline
-    from refloom.llm.neardup import _positions, without_near_duplicates
+    from refloom.llm.neardup import branch_count, without_near_duplicates
 
     r = random.Random(14)
     words = lambda n: [f"q{r.randrange(10**8)}" for _ in range(n)]
@@ -536,9 +563,11 @@ def test_pipeline_dedup_keeps_clean_rows(spark, sf):
     assert got.columns == d.columns
     key = lambda x: (str(x[0]), str(x[1]))
     kept = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=key)
-    assert kept(got) == sorted((rows[k] for k in (0, 1, 2, 4, 5, 7, 8, 9)), key=key)
-    assert kept(without_near_duplicates(d, percent=80)) == sorted((rows[k] for k in (0, 2, 4, 5, 7, 8, 9)), key=key)
-    assert {len(_positions(t, 8, 80)) for t in range(16)} == {5, 6} and {len(_positions(t, 8)) for t in range(16)} == {3, 4}
+    assert kept(without_near_duplicates(d, percent=85)) == sorted((rows[k] for k in (0, 1, 2, 4, 5, 7, 8, 9)), key=key)
+    assert kept(got) == sorted((rows[k] for k in (0, 2, 4, 5, 7, 8, 9)), key=key)
+    for percent in (80, 85):
+        n = [r[0] for r in spark.range(4000).select(branch_count(F.col("id"), percent)).collect()]
+        assert set(n) == {1, 2} and abs(np.mean(n) - 100 / percent) < 0.03
 
 
 def test_pipeline_stages(spark, sf, documents, texts):
@@ -554,7 +583,7 @@ def test_pipeline_stages(spark, sf, documents, texts):
     assert set(before) - set(one) == {10**6, 10**6 + 1, 10**6 + 2}
     two_df = materialize(P.STAGES[1][1](spark, got, sf))
     two = {r.doc_id for r in two_df.collect()}
-    cls = classes({i: five(t) for i, t in one.items()})
+    cls = classes({i: five(t) for i, t in one.items()}, 80)
     assert two == {i for i in one if cls[i] == i}
     three_df = materialize(P.STAGES[2][1](spark, two_df, sf))
     three = {r.doc_id: r.text for r in three_df.collect()}
