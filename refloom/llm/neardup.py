@@ -169,13 +169,15 @@ def _stars(large: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             order = np.argsort(b["key"].to_numpy(), kind="stable")
             key, sig = b["key"].to_numpy()[order], np.stack(b["sig"].to_list())[order] if len(b) else np.zeros((0, POSITIONS), dtype=np.int32)
             got = [(key[s], *_commonest(sig[s:e])) for s, e in runs(key)]
-            yield pd.DataFrame({"key": [g[0] for g in got], "token": [g[1] for g in got], "lead": [g[2] for g in got]})
+            if got:  # an empty column of lists has no type
+                yield pd.DataFrame({"key": [g[0] for g in got], "token": [g[1] for g in got], "lead": [g[2] for g in got]})
 
     def count(batches):
         for b in whole_groups(batches, "key"):
             key = b["key"].to_numpy()
             got = [(key[s], _commonest(np.stack(b["token"].iloc[s:e].to_list()), np.stack(b["lead"].iloc[s:e].to_list()))[0]) for s, e in runs(key)]
-            yield pd.DataFrame({"key": [g[0] for g in got], "token": [g[1] for g in got]})
+            if got:
+                yield pd.DataFrame({"key": [g[0] for g in got], "token": [g[1] for g in got]})
 
     votes = rows.select("key", "sig").mapInPandas(vote, "key long, token array<int>, lead array<long>")
     most = materialize(votes.repartition("key").sortWithinPartitions("key").mapInPandas(count, "key long, token array<int>"), "majority")
