@@ -60,6 +60,18 @@ def tidy() -> None:
         pass
 
 
+def once(key: str, make):
+    """An object that a Python worker makes once and keeps for its later tasks, until another key is asked for."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("refloom_worker", types.ModuleType("refloom_worker")).__dict__
+    if held.get("key") != key:
+        held.pop("made", None)
+        held["made"], held["key"] = make(), key
+    return held["made"]
+
+
 def arrow_types(spark: SparkSession, columns: str) -> list:
     """The Arrow types of columns given as DDL."""
     from pyspark.sql.pandas.types import to_arrow_schema

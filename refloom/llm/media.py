@@ -1,9 +1,8 @@
 """Ogg columns: page checksums, packet reassembly, demultiplexing and granule timestamps.
 
-The codec is plain Python over bytes objects; the columns are filled by `mapInPandas`, one row at a
-time, so a task holds one Arrow batch and one file. Nothing is shuffled.
+The codec is plain Python over bytes objects; the columns are filled one row at a time. Nothing is shuffled.
 
-Edge cases: a null text is an empty text, an empty text is stored as 64 zero bytes; a page whose
+Edge cases: ids are passed through, null ones too; a null text is an empty text, an empty text is stored as 64 zero bytes; a page whose
 checksum is wrong is skipped and counted, as are the gaps in a stream's page numbers; packets that a gap
 interrupts are dropped and counted;
 bytes between pages are skipped until the next capture pattern; an empty file has no pages.
@@ -17,8 +16,10 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from refloom.llm.common import arrow_types, mapped_texts, tidy
 
 BLOCK = 4096  #: samples of a data packet
 RATE = 8000  #: samples a second in a written file
@@ -179,48 +180,70 @@ def payload_of(f: OggFile) -> bytes:
         _, stream, streams, _, block, want = struct.unpack_from(IDENT, s.packets[0].data)
         blocks += [((round(p.start_s * s.rate) // block) * streams + stream, p.data) for p in s.packets[1:]]
     out = b"".join(d for _, d in sorted(blocks, key=lambda x: x[0]))
-    if len(out) != want or f.bad_pages or f.lost_pages or f.lost_packets:
+    if not f.streams or len(out) != want or f.bad_pages or f.lost_pages or f.lost_packets:
         raise ValueError(f"{len(out)} of {want} payload bytes, {f.bad_pages} bad pages, {f.lost_packets} lost packets")
     return out
 
 
-def with_media(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_bytes, media): every whole text as an Ogg file."""
+def payload(text: str | None) -> bytes:
+    """UTF-8 of a text, null as empty, with bytes 0 up to a positive multiple of 64."""
+    raw = (text or "").encode()
+    return raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
 
-    def fill(batches):
-        for b in batches:
-            raw = [(t if isinstance(t, str) else "").encode() for t in b["t"]]
-            yield pd.DataFrame({"doc_id": b["i"], "n_bytes": [len(r) for r in raw], "media": [encode(r.ljust(max(64, -(-len(r) // 64) * 64), b"\0")) for r in raw]})
 
-    return docs.selectExpr(f"`{id_col}` AS i", f"`{text}` AS t").mapInPandas(fill, "doc_id long, n_bytes long, media binary")
+def with_media(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_bytes, media): every whole text as an Ogg file."""
+    return mapped_texts(docs, lambda texts: ([len((t or "").encode()) for t in texts], [encode(payload(t)) for t in texts]), "n_bytes long, media binary", text, id_col)
 
 
 def packets(files: DataFrame, media: str = "media", id_col: str = "doc_id") -> DataFrame:
     """One row for each packet of each file: serial, index, granule, start and end in seconds, data. A
     null file has no packets."""
+    columns = "serial long, packet long, granule long, start_s double, end_s double, data binary"
+    types = arrow_types(files.sparkSession, f"doc_id long, {columns}")
 
     def fill(batches):
+        import pyarrow as pa
+
+        names = ["doc_id", *[c.split()[0] for c in columns.split(", ")]]
         for b in batches:
-            rows = [(i, p.serial, p.index, p.granule, p.start_s, p.end_s, p.data) for i, m in zip(b["i"], b["m"]) if m is not None for s in decode(bytes(m)).streams.values() for p in s.packets]
-            yield pd.DataFrame(rows, columns=["doc_id", "serial", "packet", "granule", "start_s", "end_s", "data"])
+            for i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = [(i, p.serial, p.index, p.granule, p.start_s, p.end_s, p.data) for s in decode(m).streams.values() for p in s.packets] if m is not None else []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), types)], names=names)
+        tidy()
+
+    return files.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{media}`").alias("m")).mapInArrow(fill, f"doc_id long, {columns}")
 
-    return files.selectExpr(f"`{id_col}` AS i", f"`{media}` AS m").mapInPandas(fill, "doc_id long, serial long, packet long, granule long, start_s double, end_s double, data binary")
+
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def digest(media: bytes) -> tuple:
+    """The columns FEATURES of a file. One that doesn't give its payload back whole has only media columns and a
+    feature that begins with "damaged"."""
     f = decode(media)
-    back = payload_of(f)
+    found = f"pages={f.pages};streams={len(f.streams)};packets={sum(len(s.packets) for s in f.streams.values())};bad={f.bad_pages}"
+    stored = (len(media), hashlib.sha256(media).hexdigest())
+    try:
+        back = payload_of(f)
+    except (ValueError, IndexError, ZeroDivisionError, struct.error):
+        return (None, None, None, *stored, f"damaged;{found};lost={f.lost_pages},{f.lost_packets};skipped={f.skipped_bytes}")
     ends = ",".join(f"{s.packets[-1].end_s:.6f}" for s in f.streams.values())
-    feature = f"pages={f.pages};streams={len(f.streams)};packets={sum(len(s.packets) for s in f.streams.values())};bad={f.bad_pages};ends={ends};eos={sum(s.ended for s in f.streams.values())}"
-    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), *stored, f"{found};ends={ends};eos={sum(s.ended for s in f.streams.values())}"
+
+
+def describe(files: DataFrame, media: str = "media", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, FEATURES) of stored files; a null file is an empty one, which is damaged."""
+    return mapped_texts(files, lambda got: [*zip(*[digest(m or b"") for m in got])] or [()] * 6, FEATURES, media, id_col)
 
 
 def media_features(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Stores every whole text with `with_media`, reads the stored bytes back and describes them."""
+    """(doc_id, n_bytes, FEATURES): every whole text is stored as an Ogg file, whose bytes are read back and described.
+    A task holds one Arrow batch of texts and one file at a time."""
 
-    def fill(batches):
-        for b in batches:
-            rows = [(i, n, *digest(bytes(m))) for i, n, m in zip(b["doc_id"], b["n_bytes"], b["media"])]
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    def fill(texts):
+        rows = [(len((t or "").encode()), *digest(encode(payload(t)))) for t in texts]
+        return [*zip(*rows)] or [()] * 7
 
-    return with_media(docs, text, id_col).mapInPandas(fill, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return mapped_texts(docs, fill, f"n_bytes long, {FEATURES}", text, id_col)
