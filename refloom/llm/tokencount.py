@@ -3,20 +3,21 @@
 The tokenizer is a unigram model over a public vocabulary file's pieces and scores: spaces become a
 mark that also begins the text, each mark begins a word, and words are segmented on their own. An
 Aho-Corasick automaton lists the pieces that end at each character; dynamic programming carries the best
-score and its piece count, nothing else. Ties follow the tokenizer: a later candidate replaces an
+score, its piece count and the open unknown run, and no way back. Ties follow the tokenizer: a later candidate replaces an
 earlier one only if its score is greater, and candidates come in order of their start, so the longest
 piece wins. A character without a piece costs the lowest score less 10; neighbouring ones fuse into one
 unknown piece, which counts as its UTF-8 bytes if the vocabulary has all byte pieces, else as one.
 
-Edge cases: a null or empty text has 0 tokens; repeated rows count each; any length is one pass.
+Edge cases: a null or empty text has 0 tokens; repeated rows and rows without an id count each; any length is
+one pass, and a task's memory is that of a batch of texts, of its longest word and of MEMO_WORDS word forms.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from refloom.llm.common import mapped_texts, once
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MEMO_WORDS = 400_000  #: word forms whose counts a Python worker keeps
@@ -50,35 +51,28 @@ class Counter:
         self.memo: dict[str, int] = {}
 
     def segment(self, word: str) -> int:
-        """Pieces of the best path through one word."""
+        """Pieces of the best path through one word. Of each place only the best score, its count of pieces and the
+        start of the unknown run that is open there (or -1) are carried; that run counts when it is closed."""
         n = len(word)
-        best = [None] * (n + 1)  # (score, start of the last piece, unknown?)
-        best[0] = (0.0, 0, False)
+        score, count, run = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         ends: list[list] = [[] for _ in range(n)]
-        for end, (size, score) in self.auto.iter(word):
-            ends[end].append((end + 1 - size, score))
+        for end, (size, value) in self.auto.iter(word):
+            ends[end].append((end + 1 - size, value))
         for end in range(n):
-            found, single = None, False
-            for start, score in sorted(ends[end]):  # earliest start first: it wins a tie
-                s = best[start][0] + score
+            best, single = None, False
+            for start, value in sorted(ends[end]):  # earliest start first: it wins a tie
+                s = score[start] + value
                 single |= start == end
-                if found is None or s > found[0]:
-                    found = (s, start, False)
+                if best is None or s > best:
+                    best = s
+                    k = count[start] + 1 + (self._unknown(word[run[start] : start]) if run[start] >= 0 else 0)
+                    open_at = -1
             if not single:
-                s = best[end][0] + self.unknown
-                if found is None or s > found[0]:
-                    found = (s, end, True)
-            best[end + 1] = found
-        count, at, fused = 0, n, None
-        while at:
-            _, start, unknown = best[at]
-            if unknown:
-                fused = (start, fused[1] if fused else at)
-            else:
-                count += (self._unknown(word[fused[0] : fused[1]]) if fused else 0) + 1
-                fused = None
-            at = start
-        return count + (self._unknown(word[fused[0] : fused[1]]) if fused else 0)
+                s = score[end] + self.unknown
+                if best is None or s > best:
+                    best, k, open_at = s, count[end], run[end] if run[end] >= 0 else end
+            score[end + 1], count[end + 1], run[end + 1] = best, k, open_at
+        return count[n] + (self._unknown(word[run[n] :]) if run[n] >= 0 else 0)
 
     def _unknown(self, run: str) -> int:
         if run in self.known:
@@ -103,12 +97,13 @@ class Counter:
 
 
 def token_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", model_file: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens long) for every row; the vocabulary goes to the tasks as a broadcast of its fixed size."""
+    """(doc_id, n_tokens long) for every row; the vocabulary goes to the tasks as a broadcast of its fixed size, and a
+    Python worker builds the automaton once."""
     pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(model_file))
+    made = f"tokens of {model_file}"
 
-    def fill(batches):
-        count = Counter(pieces.value)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["i"], "n_tokens": np.array([count(t) if isinstance(t, str) else 0 for t in b["t"]], dtype="int64")})
+    def fill(texts):
+        count = once(made, lambda: Counter(pieces.value))
+        return ([count(t) if t else 0 for t in texts],)
 
-    return docs.selectExpr(f"`{id_col}` AS i", f"`{text}` AS t").mapInPandas(fill, "doc_id long, n_tokens long")
+    return mapped_texts(docs, fill, "n_tokens long", text, id_col)
