@@ -10,8 +10,12 @@ of its words' posterior probabilities, weighted by letters.
 Forward-backward is exact on whole texts: a text is cut into blocks of BLOCK words, all blocks of a batch
 advance together, and the messages between blocks are carried by the blocks' transfer matrices.
 
+Words end at white space; longer ones than LONGEST characters, as in scripts without spaces, are cut into words
+of that length, so memory is bounded by a batch of texts whatever their words are.
+
 Edge cases: a null text, or one without any letter, is `und` with score 0; words without letters carry no
-evidence of their own; without training rows every text is `und`; ties take the first label in order.
+evidence of their own; without training rows every text is `und`; ties take the first label in order; rows
+without an id and repeated rows are predicted like any other.
 """
 
 from __future__ import annotations
@@ -22,23 +26,28 @@ from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import WordTable, sampled_rows, train_fold
+from refloom.llm.common import WordTable, mapped_texts, sampled_rows, tidy, train_fold
 
 TRAIN_DOCS = 1500  #: labelled documents used for fitting, at most
 TRAIN_WORDS = 48_000  #: words of them used, at most
 HASH = 1 << 16  #: feature slots
 BLOCK = 32  #: words of a block
-MEMO_WORDS = 300_000  #: word forms whose scores a Python worker keeps
+MEMO_WORDS = 100_000  #: word forms whose scores a task keeps
+LONGEST = 48  #: characters of a word
 CLIP = 12.0
 UND = "und"
-WORD = re.compile(r"\S+")
+WORD = re.compile(rf"\S{{1,{LONGEST}}}")
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def words_of(text: str) -> list[str]:
+    words = text.split()
+    return words if max(map(len, words), default=0) <= LONGEST else WORD.findall(text)
+
+
 def features(word: str) -> list[int]:
     """Slots of a word's features: lexicon entry, shape, affixes of 1 to 4 bytes, n-grams of 2 to 4 bytes
     with borders. The kind of a feature is the start value of its hash."""
@@ -148,19 +157,20 @@ class Field:
         live[where] = True
         x, live = x.reshape(total, block, k), live.reshape(total, block)
         dead = [np.flatnonzero(~live[:, i]) for i in range(block)]  # behind a sequence's last word
+        # a sequence's first word has a prior: there, whatever came before, the transition leads to it
+        prior = np.exp(self.first - self.first.max())
+        into = np.broadcast_to(t, (total, k, k)).copy()
+        into[np.r_[0, np.cumsum(per)[:-1]].astype(np.int64)] = prior
         # transfer matrices of the blocks, from the state before a block to the state at its end
-        m = np.broadcast_to(np.eye(k), (total, k, k)).copy()
-        for i in range(block):
+        m = into * x[:, 0, None, :]
+        for i in range(1, block):
             n = (m.reshape(-1, k) @ t).reshape(total, k, k) * x[:, i, None, :]
             n[dead[i]] = m[dead[i]]
             m = n / n.sum((1, 2), keepdims=True) if i % 8 == 7 else n
-        # `enter` is such that enter @ t is the first word's prior
-        prior = np.exp(self.first - self.first.max())
-        lead = np.linalg.solve(t.T, prior)
         enter, leave = np.empty((total, k)), np.empty((total, k))
         at = 0
         for n in per:
-            v = lead
+            v = np.full(k, 1 / k)
             for j in range(at, at + n):
                 enter[j] = v
                 v = v @ m[j]
@@ -173,7 +183,7 @@ class Field:
             at += n
         a, v = np.empty_like(x), enter
         for i in range(block):
-            w = (v @ t) * x[:, i]
+            w = (np.einsum("nj,njk->nk", v, into) if i == 0 else v @ t) * x[:, i]
             w[dead[i]] = v[dead[i]]
             v = a[:, i] = w / w.sum(1, keepdims=True)
         b, v = np.empty_like(x), leave
@@ -190,7 +200,7 @@ class Field:
         which, words, sizes = [], [], []
         for i, t in enumerate(texts):
             if t and LETTER.search(t):
-                w = t.split()
+                w = words_of(t)
                 which.append(i)
                 words += w
                 sizes.append(len(w))
@@ -212,7 +222,7 @@ def passages(rows: list[tuple[str, str]], labels: list[str], limit: int = TRAIN_
     r = np.random.default_rng(seed)
     cut: dict[str, list[list[str]]] = {x: [] for x in labels}
     for text, lang in rows:
-        w = text.split()
+        w = words_of(text)
         cut[lang] += [w[i : i + 24] for i in range(0, len(w), 24)]
     for v in cut.values():
         r.shuffle(v)
@@ -257,27 +267,17 @@ def batches_of(size: int = 2_000_000) -> Callable:
     return split
 
 
-def identify(docs: DataFrame, text: str = "text", id_col: str = "doc_id", model: Field | None = None, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text. With `keep`, those columns come too."""
+def identify(docs: DataFrame, text: str = "text", id_col: str = "doc_id", model: Field | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score) of every whole text."""
     model = model if model is not None else fit_from(docs)
     split = batches_of()
-    extra = [c for c in keep or []]
-    schema = "doc_id long, lang_pred string, score double"
-    cols = [F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text}`").alias("_t")]
 
-    def fill(batches):
-        for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["_t"]]
-            got = []
-            for x, y in split(texts):
-                got += model.predict(texts[x:y])
-            yield pd.DataFrame({"doc_id": b["_i"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]} | {c: b[c] for c in extra})
+    def fill(texts):
+        texts = [t or "" for t in texts]
+        got = [g for x, y in split(texts) for g in model.predict(texts[x:y])]
+        return [g[0] for g in got], [g[1] for g in got]
 
-    if extra:
-        kinds = dict(docs.dtypes)
-        schema += "".join(f", `{c}` {kinds[c]}" for c in extra)
-        cols += [F.col(f"`{c}`") for c in extra]
-    return docs.select(*cols).mapInPandas(fill, schema)
+    return mapped_texts(docs, fill, "lang_pred string, score double", text, id_col)
 
 
 def keep_identified(docs: DataFrame, text: str = "text", least: float = 0.35, model: Field | None = None) -> DataFrame:
@@ -296,5 +296,6 @@ def keep_identified(docs: DataFrame, text: str = "text", least: float = 0.35, mo
             for x, y in split(texts):
                 good += [lang != UND and score >= least for lang, score in model.predict(texts[x:y])]
             yield b.filter(pa.array(good, type=pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(fill, docs.schema)
