@@ -21,18 +21,21 @@ import struct
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from refloom.llm.common import arrow_types, once, tidy
 
 LIMIT = 1024  #: tokens of a sequence
 SEGMENTS = 32  #: pieces of a sequence
 END_ID = 0  #: id that ends a document
 POOL_TOKENS = 1 << 21  #: ids that a task holds while it packs
-MEMO_WORDS = 500_000  #: word forms whose ids a Python worker keeps
+MEMO_WORDS = 200_000  #: word forms whose ids a Python worker keeps
 END_OF_TEXT = "<|endoftext|>"
 
 
@@ -253,23 +256,112 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def pack_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", limits: Limits = Limits(), tokenizer: str | None = None) -> DataFrame:
-    path, columns = tokenizer or tokenizer_path(), [c.split()[0] for c in PIECES.split(", ")]
-    end = struct.pack("<I", END_ID)
+    """(PIECES) of all documents; rows without an id are packed like any other."""
+    path, types = tokenizer or tokenizer_path(), arrow_types(docs.sparkSession, PIECES)
+    names, end = [c.split()[0] for c in PIECES.split(", ")], struct.pack("<I", END_ID)
 
-    def fill(batches) -> Iterator[pd.DataFrame]:
+    def fill(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
-        ids: Callable[[str], bytes] = Ids(path)
+        def out(cutter):
+            rows, cutter.rows = cutter.rows, []
+            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows) if rows else [()] * len(types), types)], names=names)
+
+        ids: Callable[[str], bytes] = once(f"ids of {path}", lambda: Ids(path))
         cutter = Cutter(limits, TaskContext.get().partitionId() << 40)
         for b in batches:
-            for doc, t in zip(b["i"].tolist(), b["t"]):
-                cutter.add(doc, ids(t if isinstance(t, str) else "") + end)
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                cutter.add(doc, ids(t or "") + end)
                 if cutter.held > POOL_TOKENS:
                     cutter.fill(POOL_TOKENS // 2)
                 if len(cutter.rows) > 20_000:
-                    yield pd.DataFrame(cutter.rows, columns=columns)
-                    cutter.rows = []
+                    yield out(cutter)
         cutter.end()
-        yield pd.DataFrame(cutter.rows, columns=columns)
+        yield out(cutter)
+        tidy()
+
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).mapInArrow(fill, PIECES)
+
+
+CONVERSATION = "conv_id long, start long, tokens long, loss_tokens long, sequence_id long, offset long"
+TURN = "conv_id long, turn long, bears boolean, n long, mark long"
+
+
+def pack_conversations(turns: DataFrame, limits: Limits = Limits(), tokenizer: str | None = None, trained: str = "assistant", batch: int = 20_000) -> DataFrame:
+    """Instruction data: turns (conv_id, turn, role, text) -> (CONVERSATION), an example for each conversation: its turns
+    in order, an end id behind each; the ids of `trained` turns bear loss. An example beyond a limit on its own is
+    cut between turns, and a turn beyond one into pieces of the limit; others stay whole. Conversations meet by id,
+    their turns come one after another, and a task packs at most `batch` pieces at a time, so its memory doesn't
+    depend on a conversation's length.
+
+    Edge cases: a null text is empty, a null role bears no loss, turns without a number come first, equal numbers
+    in the order of their texts' checksums, rows without a conv_id are left out, repeated rows count each."""
+    path, spark = tokenizer or tokenizer_path(), turns.sparkSession
+    kinds, types, names = arrow_types(spark, TURN), arrow_types(spark, CONVERSATION), [c.split()[0] for c in CONVERSATION.split(", ")]
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        ids = once(f"ids of {path}", lambda: Ids(path))
+        for b in batches:
+            texts = [t or "" for t in b.column(3).to_pylist()]
+            own = [b.column(0), b.column(1), pa.array([r == trained for r in b.column(2).to_pylist()], type=kinds[2])]
+            counts = [[len(ids(t)) // 4 + 1 for t in texts], [zlib.crc32(t.encode()) for t in texts]]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, type=k) for c, k in zip(counts, kinds[3:])]], names=[c.split()[0] for c in TURN.split(", ")])
+        tidy()
 
-    return docs.selectExpr(f"`{id_col}` AS i", f"`{text}` AS t").mapInPandas(fill, PIECES)
+    def fill(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        sequence, waiting, now, piece = TaskContext.get().partitionId() << 40, [], None, Piece(limits)
+
+        def out():
+            nonlocal sequence, waiting
+            rows = []
+            for one in pack([(n, loss) for _, _, n, loss in waiting], limits):
+                offset = 0
+                for k in one:
+                    rows.append((*waiting[k], sequence, offset))
+                    offset += waiting[k][2]
+                sequence += 1
+            waiting = []
+            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows) if rows else [()] * len(types), types)], names=names)
+
+        for b in batches:
+            for i, bears, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if i != now:
+                    waiting += [(now, *x) for x in piece.end()]
+                    now, piece = i, Piece(limits)
+                waiting += [(i, *x) for x in piece.add(n, bears)]
+                if len(waiting) >= batch:
+                    yield out()
+        waiting += [(now, *x) for x in piece.end()]
+        yield out()
+
+    rows = turns.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(sizes, TURN)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "mark", "n").mapInArrow(fill, CONVERSATION)
+
+
+class Piece:
+    """Cuts one example, turn by turn, into (start, tokens, loss tokens) within the limits."""
+
+    def __init__(self, limits: Limits):
+        self.limits, self.at, self.n, self.loss = limits, 0, 0, 0
+
+    def add(self, size: int, bears: bool) -> list[tuple[int, int, int]]:
+        """What is complete once the next turn is known."""
+        most, out = min(self.limits.tokens, self.limits.loss_tokens) if bears else self.limits.tokens, []
+        if self.n + size > self.limits.tokens or self.loss + size * bears > self.limits.loss_tokens:
+            out += self.end()
+        while size > most:
+            out.append((self.at, most, most * bears))
+            self.at, size = self.at + most, size - most
+        self.n, self.loss = self.n + size, self.loss + size * bears
+        return out
+
+    def end(self) -> list[tuple[int, int, int]]:
+        out = [(self.at, self.n, self.loss)] if self.n else []
+        self.at, self.n, self.loss = self.at + self.n, 0, 0
+        return out

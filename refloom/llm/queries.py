@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from refloom.llm.common import table, train_fold
 from refloom.llm.decontam import ORACLE as DECONTAMINATION_SQL
 
+SURROGATE_KEY = "key of the registered query, over synthetic data; other callers pass a secret of their own"
+
 
 def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from refloom.llm.media import media_features
@@ -65,12 +67,19 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector packing of op9 over whole conversations: loss on what the assistant says, at most half a sequence of it."""
+    from refloom.llm.packing import Limits, pack_conversations
+
+    return pack_conversations(table(spark, sf_dir, "conversations"), Limits(1024, 8, 512))
+
+
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from refloom.llm.surrogates import replace_entities
 
-    return replace_entities(table(spark, sf_dir, "documents"))
+    return replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op2_decontamination, op3_secret_scan, op4_near_duplicates, op5_language_id, op6_token_counts, op7_chunk_dedup, op8_toxicity, op9_vector_packing, op10_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op2_decontamination, op3_secret_scan, op4_near_duplicates, op5_language_id, op6_token_counts, op7_chunk_dedup, op8_toxicity, op9_vector_packing, instruction_packing, op10_surrogates)}
 
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL}
