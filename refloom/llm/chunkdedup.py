@@ -3,28 +3,32 @@
 A gear hash rolls over a text's bytes: h = (h << 1) + gear[byte], seen through a window of 16 bytes. A
 chunk ends where the hash falls below a bound, so borders depend on the bytes near them alone and an
 insertion moves only the chunk that it is in. There is no least length, which would tie a border to the
-ones before it; chunks longer than MAX_CHUNK are cut there. Chunks are compared by digest over the whole
-corpus. A repeated span is a run of chunks that other documents have too, of SPAN bytes or more.
+ones before it. A stretch of more than LONG_CHUNK bytes without a border, as in text that repeats a few words
+over and over, is cut at its smallest hashes, so there too the bytes choose the borders. Chunks are compared by digest, 96 bits of it, over the
+whole corpus: of the 4e12 chunks of 100 TB fewer than one pair is expected to be equal by chance. A repeated
+span is a run of chunks that other documents have too, of SPAN bytes or more.
 
 Plan: chunks (one pass of numpy) are written once; digests are counted with map-side aggregation, written,
 and joined back by digest, both sides being plain shuffles so that a digest in a third of all documents
-is split by the skew join; a document's repeated chunks meet by document. Nothing goes to the driver.
+is split by the skew join; a document's repeated chunks meet by document, where window functions find the
+runs. Nothing goes to the driver.
 
-Edge cases: null and empty texts have no chunks and no spans; rows with the same id are one document
-and equal ones count once, a chunk repeated only within it isn't a repeated one; equal documents repeat each other whole.
+Edge cases: null and empty texts have no chunks and no spans, and neither have rows without an id; rows with the same id are one
+document and equal ones count once, a chunk repeated only within it isn't a repeated one; equal documents
+repeat each other whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refloom.llm.common import materialize
+from refloom.llm.common import arrow_types, materialize, small, tidy
 
 AVERAGE = 24  #: bytes between borders, on average
-MAX_CHUNK = 256
+LONG_CHUNK = 256  #: bytes of a stretch without a border that is cut at its smallest hashes
+SHORT_CUT = 64  #: least bytes between such cuts where the smallest hash repeats
 WINDOW = 16
 SPAN = 128  #: least bytes of a repeated span, whole chunks
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -41,61 +45,92 @@ def gear_hashes(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return h
 
 
-def borders(data: bytes, average: int = AVERAGE, longest: int = MAX_CHUNK) -> list[int]:
+def _smallest(h: np.ndarray, first: int, last: int) -> list[int]:
+    """Ends of chunks inside a stretch [first, last) without borders: at the places of its smallest hash, SHORT_CUT
+    bytes or more apart, and so on within what is still longer than LONG_CHUNK."""
+    out, todo = [], [(first, last)]
+    while todo:
+        a, b = todo.pop()
+        if b - a <= LONG_CHUNK:
+            continue
+        inside = h[a : b - 1]
+        ties, cuts, at = np.flatnonzero(inside == inside.min()) + a + 1, [], 0
+        while at < len(ties):
+            cuts.append(int(ties[at]))
+            at = int(np.searchsorted(ties, ties[at] + SHORT_CUT))
+        out += cuts
+        todo += zip([a, *cuts], [*cuts, b])
+    return out
+
+
+def borders(data: bytes, average: int = AVERAGE) -> list[int]:
     """Ends of the chunks of data, the last being its length. The bound looks at the top bits that the
     window has filled."""
     if not data:
         return []
-    h = gear_hashes(np.frombuffer(data, dtype=np.uint8))
-    mixed = h * np.uint32(0x9E3779B1)
+    mixed = gear_hashes(np.frombuffer(data, dtype=np.uint8)) * np.uint32(0x9E3779B1)
     ends = np.flatnonzero(mixed < np.uint32((1 << 32) // average)) + 1
-    ends = ends[ends < len(data)].tolist() + [len(data)]
-    out, last = [], 0
-    for e in ends:
-        while e - last > longest:
-            last += longest
-            out.append(last)
-        out.append(e)
-        last = e
-    return out
+    ends = np.r_[ends[ends < len(data)], len(data)]
+    begins = np.r_[0, ends[:-1]]
+    more = [e for k in np.flatnonzero(ends - begins > LONG_CHUNK).tolist() for e in _smallest(mixed, int(begins[k]), int(ends[k]))]
+    return np.sort(np.r_[ends, np.array(more, dtype=ends.dtype)]).tolist()
+
+
+CHUNK = "doc_id long, part long, start int, length int, digest long, more int"
 
 
 def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, start, length, digest): the chunks of every whole text, in bytes. Rows with equal ids are
-    told apart by a digest of their text in `part`."""
+    """(CHUNK): the chunks of every whole text of a row with an id, in bytes. The digest has 64 bits and `more` another
+    32. Different texts under one id are told apart by `part`, which is 0 for all others."""
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    h = F.xxhash64("t")
+    several = materialize(d.select("i", h.alias("h")).groupBy("i").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("i"), "several")
+    if several.limit(1).count():
+        d = d.join(small(several.withColumn("several", F.lit(True))), "i", "left").select("i", F.when(F.col("several"), h).otherwise(0).alias("part"), "t")
+    else:
+        d = d.select("i", F.lit(0).cast("long").alias("part"), "t")
+    types, names = arrow_types(docs.sparkSession, CHUNK), [c.split()[0] for c in CHUNK.split(", ")]
 
     def fill(batches):
+        import pyarrow as pa
         import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
-        for b in batches:
-            ids, parts, starts, lengths, digests = [], [], [], [], []
-            for i, t in zip(b["i"].tolist(), b["t"]):
-                data = t.encode() if isinstance(t, str) else b""
-                ends = borders(data)
-                begins = [0, *ends[:-1]][: len(ends)]
-                ids += [i] * len(ends)
-                parts += [digest(data, 1) & 0x7FFFFFFF] * len(ends)
-                starts += begins
-                lengths += [e - s for s, e in zip(begins, ends)]
-                digests += [digest(data[s:e]) for s, e in zip(begins, ends)]
-                if len(ids) > 100_000:
-                    yield frame(ids, parts, starts, lengths, digests)
-                    ids, parts, starts, lengths, digests = [], [], [], [], []
-            yield frame(ids, parts, starts, lengths, digests)
+        digest, second = xxhash.xxh3_64_intdigest, xxhash.xxh32_intdigest
 
-    def frame(ids, parts, starts, lengths, digests):
-        return pd.DataFrame({"doc_id": np.array(ids, dtype="int64"), "part": np.array(parts, dtype="int32"), "start": np.array(starts, dtype="int32"), "length": np.array(lengths, dtype="int32"), "digest": np.array(digests, dtype="uint64").view("int64")})
+        def batch(cols):
+            ids, parts, starts, lengths, digests, more = cols
+            made = [ids, parts, np.array(starts, dtype="int32"), np.array(lengths, dtype="int32"), np.array(digests, dtype="uint64").view("int64"), np.array(more, dtype="uint32").view("int32")]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(made, types)], names=names)
 
-    return docs.where(F.col(text).isNotNull()).selectExpr(f"`{id_col}` AS i", f"`{text}` AS t").mapInPandas(fill, "doc_id long, part int, start int, length int, digest long")
+        for b in batches:
+            cols: tuple = ([], [], [], [], [], [])
+            for i, part, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                data, s = t.encode(), 0
+                ends = borders(data)
+                cols[0].extend([i] * len(ends))
+                cols[1].extend([part] * len(ends))
+                for e in ends:
+                    x = data[s:e]
+                    cols[2].append(s)
+                    cols[3].append(e - s)
+                    cols[4].append(digest(x))
+                    cols[5].append(second(x))
+                    s = e
+                if len(cols[0]) > 100_000:
+                    yield batch(cols)
+                    cols = ([], [], [], [], [], [])
+            yield batch(cols)
+        tidy()
+
+    return d.mapInArrow(fill, CHUNK)
 
 
 def repeated_chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Chunks whose digest occurs in two documents or more, with the smallest of their ids in `first_doc`."""
     all_chunks = materialize(chunks(docs, text, id_col), "chunks")
-    shared = all_chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last")).where("first_doc < _last").drop("_last")
+    shared = all_chunks.groupBy("digest", "more").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last")).where("first_doc < _last").drop("_last")
     shared = materialize(shared, "digests")
-    return all_chunks.join(shared.hint("merge"), "digest")
+    return all_chunks.join(shared.hint("merge"), ["digest", "more"])
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: int = SPAN, later: bool = False) -> DataFrame:
@@ -104,43 +139,35 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     largest one of the run's chunks. With `later`, runs hold only chunks that a smaller id has."""
     found = repeated_chunks(docs, text, id_col)
     found = found.where("first_doc < doc_id") if later else found
-    runs = found.groupBy("doc_id", "part").agg(F.array_sort(F.collect_set(F.struct("start", "length", "first_doc"))).alias("c"))
-
-    def fill(batches):
-        for b in batches:
-            rows = []
-            for i, c in zip(b["doc_id"].tolist(), b["c"]):
-                start = stop = n = 0
-                first = 0
-                for x in c:
-                    if n and x["start"] == stop:
-                        stop, n, first = stop + x["length"], n + 1, max(first, x["first_doc"])
-                        continue
-                    if n and stop - start >= least:
-                        rows.append((i, start, stop - start, n, first))
-                    start, stop, n, first = x["start"], x["start"] + x["length"], 1, x["first_doc"]
-                if n and stop - start >= least:
-                    rows.append((i, start, stop - start, n, first))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "n_chunks", "first_doc"])
-
-    return runs.select("doc_id", "c").mapInPandas(fill, "doc_id long, start long, length long, n_chunks long, first_doc long").distinct()
+    rows = found.select("doc_id", "part", "start", "length", "first_doc").distinct()
+    order = Window.partitionBy("doc_id", "part").orderBy("start")
+    breaks = F.when(F.lag(F.col("start") + F.col("length")).over(order) == F.col("start"), 0).otherwise(1)
+    runs = rows.withColumn("breaks", breaks).withColumn("run", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("doc_id", "part", "run").agg(F.min("start").cast("long").alias("start"), F.sum("length").alias("length"), F.count("*").alias("n_chunks"), F.max("first_doc").alias("first_doc"))
+    return spans.where(F.col("length") >= least).select("doc_id", "start", "length", "n_chunks", "first_doc").distinct()
 
 
 def dedup_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: int = SPAN) -> DataFrame:
-    """(doc_id, text): every text without the spans that smaller ids have; null stays null."""
+    """(doc_id, text): every text without the spans that smaller ids have; null stays null, and so does the text of
+    a row without an id. A character that a span's border cuts goes."""
     spans = repeated_spans(docs, text, id_col, least, later=True).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("cut"))
+    types = arrow_types(docs.sparkSession, "text string")
 
     def fill(batches):
+        import pyarrow as pa
+
         for b in batches:
             out = []
-            for t, cut in zip(b["t"], b["cut"]):
-                if isinstance(t, str) and cut is not None:
+            for t, cut in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if t is not None and cut is not None:
                     raw, at, keep = t.encode(), 0, []
                     for x in cut:
                         keep.append(raw[at : x["start"]])
                         at = max(at, x["start"] + x["length"])
                     t = b"".join([*keep, raw[at:]]).decode(errors="ignore")
-                out.append(t if isinstance(t, str) else None)
-            yield pd.DataFrame({"doc_id": b["i"], "text": out})
+                out.append(t)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, type=types[0])], names=["doc_id", "text"])
+        tidy()
 
-    return docs.selectExpr(f"`{id_col}` AS i", f"`{text}` AS t").join(spans, F.col("i") == F.col("doc_id"), "left").select("i", "t", "cut").mapInPandas(fill, "doc_id long, text string")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t"))
+    return rows.join(spans, F.col("i") == F.col("doc_id"), "left").select("i", "t", "cut").mapInArrow(fill, "doc_id long, text string")
