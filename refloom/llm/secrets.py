@@ -1,15 +1,18 @@
 """Secret scans: base patterns, and a character convolutional network over every other candidate.
 
-Base findings are fixed patterns. Candidates are runs of 16 or more key characters; those that no base
-finding touches are scored by the network, which sees the candidate's characters (in overlapping parts
-if it is long) and its context on both sides. The network is numpy only. It learns from labelled
-findings: base findings of at most TRAIN_DOCS documents, with their keyword masked in half of them, and
-generated keys are positive; those documents' other candidates are negative. Scores are calibrated with
-Platt's scaling on a held-out third; the threshold is the highest one that keeps RECALL of its
-positives, but not below FLOOR, so that ordinary words stay out.
-
-Edge cases: a null or empty text has no findings; repeated rows are scanned as often as they occur; an
-empty table trains on generated keys alone and gives an empty result; lengths are unbounded.
+Base findings are fixed patterns. Candidates are what base findings leave of the runs of key characters: pieces of
+LEAST or more characters that aren't an ordinary word, that is, that hold a digit beside a letter, or capitals
+behind a small letter, or that are LONG or more characters long. Each is scored by the network, which sees the
+candidate's characters (in overlapping parts if it is long) and its context on both sides. The network is
+numpy only. It learns from labelled findings: base findings of at most TRAIN_DOCS documents, each also with
+its keyword masked, and generated keys are positive; those documents' other candidates are negative, but for
+those that a first network takes for keys with near certainty, which may be secrets without a label. Scores are
+calibrated with Platt's scaling on a held-out third, on one side of which a finding and its masked twin
+stand together; the threshold is the highest one that keeps RECALL of its positives.
+
+Edge cases: a null or empty text has no findings; repeated rows are scanned as often as they occur, rows
+without an id like any other; an empty table trains on generated keys alone and gives an empty result; lengths
+are unbounded.
 """
 
 from __future__ import annotations
@@ -20,15 +23,16 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from refloom.llm.common import sampled_rows
+from refloom.llm.common import mapped_texts, sampled_rows, tidy
 
 TRAIN_DOCS = 2000  #: documents that labelled findings are taken from, at most
-NEGATIVES = 3000  #: negative candidates used, at most
-RECALL = 0.99
-FLOOR = 0.5
+NEGATIVES = 6000  #: negative candidates used, at most
+GENERATED = 1500  #: generated keys
+RECALL = 0.99  #: share of held-out positives that the threshold keeps
+DOUBT = 0.97  #: score of a first network from which a candidate isn't used as a negative
+LEAST, LONG = 6, 16  #: characters of a candidate, and of one that may be letters alone
 KINDS = ("assign", "access", "hex", "model")
 LEFT, BODY, RIGHT, STEP = 16, 40, 8, 20
 LENGTH = LEFT + BODY + RIGHT
@@ -38,7 +42,8 @@ EMBED, WIDTH, FILTERS = 8, 5, 24
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+KEYLIKE = re.compile(rf"(?=[^ ]*[0-9])(?=[^ ]*[A-Za-z])|(?=[^ ]*[a-z][A-Z])|.{{{LONG}}}")
 
 
 def base_findings(text: str) -> list[tuple[int, int, int]]:
@@ -60,10 +65,22 @@ def _base(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Base findings, and the candidates that none of them touches."""
+    """Base findings, and the candidates: what they leave of each run."""
     runs = [m.span() for m in RUN.finditer(text)]
-    base = _base(text, runs)
-    return base, [r for r in runs if not any(s < r[1] and r[0] < e for s, _, e in base)] if base else runs
+    base, rest = _base(text, runs), []
+    covered = sorted((s, e) for s, _, e in base)
+    at = 0
+    for a, b in runs:
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        k = at
+        while k < len(covered) and covered[k][0] < b:
+            if covered[k][0] > a:
+                rest.append((a, covered[k][0]))
+            a = max(a, covered[k][1])
+            k += 1
+        rest.append((a, b))
+    return base, [(a, b) for a, b in rest if b - a >= LEAST and KEYLIKE.match(text[a:b])]
 
 
 _CODE = np.zeros(256, dtype=np.int64)
@@ -161,42 +178,52 @@ class CharCNN:
             s = max(1.0, float(np.mean(z * z)))
             self.scale, self.shift = max(0.05, self.scale - float(np.mean(d * z)) / s), self.shift - float(np.mean(d))
         p = np.sort(self.probability(z[y == 1]))
-        keep = p[int((1 - RECALL) * len(p))] if len(p) else FLOOR
-        self.threshold = max(FLOOR, float(keep))
+        self.threshold = float(p[int((1 - RECALL) * len(p))]) if len(p) else 0.5
         return self
 
 
 def generated_key(r: random.Random) -> str:
-    alphabet = r.choice(("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789"))
-    return r.choice(("", "", "sk_live_", "ghp_", "xoxb-")) + "".join(r.choice(alphabet) for _ in range(r.randint(18, 44)))
+    alphabet = r.choice(("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    return r.choice(("", "", "sk_live_", "ghp_", "xoxb-")) + "".join(r.choice(alphabet) for _ in range(r.randint(10, 44)))
 
 
 def train(texts: list[str], seed: int = 11) -> CharCNN:
+    """Examples are groups of windows: a finding with its masked twin, or one other candidate."""
     r = random.Random(seed)
     pos, neg = [], []
     for t in texts:
         base, rest = scan(t)
-        neg += [windows(t, a, b)[0] for a, b in rest]
+        neg += [[windows(t, a, b)[0]] for a, b in rest]
         for s, kind, e in base:
             key = ASSIGN.match(t, s)
             a = key.start(2) if kind == 0 and key else s
-            pos.append(windows(t, a, e)[0])
             masked = t[max(0, s - 40) : s] + t[a : e + 40]
-            pos.append(windows(masked, min(s, 40), min(s, 40) + e - a)[0])
+            pos.append([windows(t, a, e)[0], windows(masked, min(s, 40), min(s, 40) + e - a)[0]])
     r.shuffle(neg)
     neg = neg[:NEGATIVES]
     places = [t for t in texts if len(t) > 40] or ["the key is here and there in the text"]
-    for _ in range(600):
+    for _ in range(GENERATED):
         t, key = r.choice(places), generated_key(r)
         at = r.randrange(len(t))
         at = t.find(" ", at) + 1 or at
-        pos.append(windows(t[max(0, at - 20) : at] + key + " " + t[at : at + 20], min(at, 20), min(at, 20) + len(key))[0])
-    for _ in range(max(300, 600 - len(neg))):  # long words and numbers are ordinary text
-        word = "".join(r.choice(("th", "er", "on", "an", "tion", "ung", "eau", "ble", "ing")) for _ in range(r.randint(6, 9))) if r.random() < 0.6 else "".join(r.choice("0123456789") for _ in range(16))
-        neg.append(windows(f"the {word} and so on", 4, 4 + len(word))[0])
-    x, y = np.array(pos + neg), np.r_[np.ones(len(pos)), np.zeros(len(neg))]
-    held = np.arange(len(x)) % 3 == 2
-    return CharCNN.fresh().fit(x[~held], y[~held]).calibrate(x[held], y[held])
+        pos.append([windows(t[max(0, at - 20) : at] + key + " " + t[at : at + 20], min(at, 20), min(at, 20) + len(key))[0]])
+    for _ in range(max(600, 1200 - len(neg))):  # long words, numbers, and short words with a number are ordinary text
+        how = r.random()
+        parts = "".join(r.choice(("th", "er", "on", "an", "tion", "ung", "eau", "ble", "ing")) for _ in range(r.randint(6, 9)))
+        word = parts if how < 0.4 else "".join(r.choice("0123456789") for _ in range(16)) if how < 0.6 else parts[: r.randint(4, 12)] + r.choice(("", "-", "_")) + str(r.randrange(3000)) if how < 0.8 else parts[:6].capitalize() + parts[6:].capitalize()
+        neg.append([windows(f"the {word} and so on", 4, 4 + len(word))[0]])
+    held = lambda k: k % 3 == 2
+    part = lambda groups, test: [w for k, g in enumerate(groups) if held(k) == test for w in g]
+
+    def fitted(neg):
+        p, n = part(pos, False), part(neg, False)
+        return CharCNN.fresh().fit(np.array(p + n), np.r_[np.ones(len(p)), np.zeros(len(n))])
+
+    first = fitted(neg)
+    sure = first.probability(first.logits(np.array([g[0] for g in neg]))) >= DOUBT
+    neg = [g for g, s in zip(neg, sure) if not s]
+    p, n = part(pos, True), part(neg, True)
+    return fitted(neg).calibrate(np.array(p + n), np.r_[np.ones(len(p)), np.zeros(len(n))])
 
 
 def score_candidates(model: CharCNN, found: list[tuple[str, int, int]]) -> np.ndarray:
@@ -215,22 +242,28 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", mo
     if model is None:
         model = train([r[0] for r in sampled_rows(picked, "i", TRAIN_DOCS, ["t"]) if r[0]])
 
-    def fill(batches):
-        for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["t"]]
-            out, waiting = [], []
-            for k, t in enumerate(texts):
-                base, rest = scan(t)
-                out.append([(s, kind, e, 1.0) for s, kind, e in base])
-                waiting += [(k, s, e) for s, e in rest]
-            for at in range(0, len(waiting), 20_000):
-                part = waiting[at : at + 20_000]
-                for (k, s, e), p in zip(part, score_candidates(model, [(texts[k], s, e) for k, s, e in part])):
-                    if p >= model.threshold:
-                        out[k].append((s, 3, e, float(p)))
-            yield pd.DataFrame({"doc_id": b["i"], "findings": [[{"kind": KINDS[k], "start": s, "end": e, "score": p} for s, k, e, p in sorted(f)] for f in out]})
+    def fill(texts):
+        texts = [t or "" for t in texts]
+        out, waiting = [], []
+        for k, t in enumerate(texts):
+            base, rest = scan(t)
+            out.append([(s, kind, e, 1.0) for s, kind, e in base])
+            waiting += [(k, s, e) for s, e in rest]
+        for k, s, e, p in found_by(model, texts, waiting):
+            out[k].append((s, 3, e, p))
+        return ([[{"kind": KINDS[k], "start": s, "end": e, "score": p} for s, k, e, p in sorted(f)] for f in out],)
+
+    return mapped_texts(picked, fill, "findings array<struct<kind: string, start: long, end: long, score: double>>", "t", "i")
+
 
-    return picked.mapInPandas(fill, "doc_id long, findings array<struct<kind: string, start: long, end: long, score: double>>")
+def found_by(model: CharCNN, texts: list[str], waiting: list[tuple[int, int, int]]):
+    """(k, start, end, score) of the candidates (k, start, end) at or above the threshold; they are scored in parts
+    of 5,000, so that their windows take little memory."""
+    for at in range(0, len(waiting), 5000):
+        part = waiting[at : at + 5000]
+        for (k, s, e), p in zip(part, score_candidates(model, [(texts[k], s, e) for k, s, e in part])):
+            if p >= model.threshold:
+                yield k, s, e, float(p)
 
 
 def span_text(findings: list[dict]) -> str:
@@ -269,11 +302,8 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
                 base, rest = scan(t) if t else ([], [])
                 found.append([(s, e) for s, _, e in base])
                 waiting += [(k, s, e) for s, e in rest]
-            for i in range(0, len(waiting), 20_000):
-                part = waiting[i : i + 20_000]
-                for (k, s, e), p in zip(part, score_candidates(model, [(texts[k], s, e) for k, s, e in part])):
-                    if p >= model.threshold:
-                        found[k].append((s, e))
+            for k, s, e, _ in found_by(model, texts, waiting):
+                found[k].append((s, e))
             for k, spans in enumerate(found):
                 if spans:
                     out, end = [], 0
@@ -288,5 +318,6 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
                 old = cols[counted].to_pylist()
                 cols[counted] = pa.array([len(t) if t is not None and f else o for t, f, o in zip(texts, found, old)], type=cols[counted].type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+        tidy()
 
     return docs.mapInArrow(fill, schema)
