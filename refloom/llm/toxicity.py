@@ -19,16 +19,15 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import WordTable, sampled_rows, train_fold
+from refloom.llm.common import WordTable, mapped_texts, sampled_rows, train_fold
 
 TRAIN_EACH = 500  #: labelled documents of either label used for fitting, at most
 WINDOW, HOP = 24, 12
 SLOTS, EMBED, HIDDEN = 16384, 6, 8
-MEMO_WORDS = 250_000
+MEMO_WORDS = 100_000  #: word forms whose inputs a task keeps
 THRESHOLD = 0.7
 FEW = 3  #: documents that a hashed word or trigram must be in to have an embedding
 
@@ -300,15 +299,15 @@ def fit_from(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> BiGR
 def toxicity(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", id_col: str = "doc_id", model: BiGRU | None = None) -> DataFrame:
     """(doc_id, score, predicted) of every whole text."""
     model = model if model is not None else fit_from(docs, labels)
-    def fill(batches):
-        for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["t"]]
-            score, at, total = np.zeros(len(texts)), 0, 0
-            for i, t in enumerate(texts):
-                total += len(t)
-                if total > 1_500_000 or i + 1 == len(texts):
-                    score[at : i + 1] = model.scores(texts[at : i + 1])
-                    at, total = i + 1, 0
-            yield pd.DataFrame({"doc_id": b["i"], "score": score, "predicted": (score >= THRESHOLD).astype("int32")})
-
-    return docs.selectExpr(f"`{id_col}` AS i", f"`{text}` AS t").mapInPandas(fill, "doc_id long, score double, predicted int")
+
+    def fill(texts):
+        texts = [t or "" for t in texts]
+        score, at, total = np.zeros(len(texts)), 0, 0
+        for i, t in enumerate(texts):
+            total += len(t)
+            if total > 1_500_000 or i + 1 == len(texts):
+                score[at : i + 1] = model.scores(texts[at : i + 1])
+                at, total = i + 1, 0
+        return score, (score >= THRESHOLD).astype("int32")
+
+    return mapped_texts(docs, fill, "score double, predicted int", text, id_col)
