@@ -65,6 +65,28 @@ def test_ogg_round_trip_and_faults():
     assert O.decode(b"junk" + O.encode(bytes(64))).skipped_bytes == 4 and O.decode(b"").pages == 0
 
 
+def test_ids_pass_unchanged(spark):
+    """Null ids, and those beyond 2^53 beside them."""
+    from refloom.llm import langid, media, packing, secrets, tokencount, toxicity
+
+    big = 1152921504606846977
+    d = spark.createDataFrame([(big, "some text here"), (None, "x"), (big + 2, None)], "doc_id long, text string")
+    label, net = langid.Field(["en"]), secrets.CharCNN.fresh()
+    for f in (media.media_features, media.with_media, tokencount.token_counts, packing.pack_documents, lambda d: langid.identify(d, model=label), lambda d: secrets.find_secrets(d, model=net), lambda d: toxicity.toxicity(d, model=toxicity.BiGRU())):
+        assert sorted((r.doc_id for r in f(d).collect()), key=str) == sorted([big, big + 2, None], key=str)
+    assert {r.doc_id for r in media.packets(media.with_media(d)).collect()} == {big, big + 2, None}
+
+
+def test_damaged_files_are_rows(spark):
+    from refloom.llm import media as M
+
+    good = M.encode(M.payload("a text"))
+    files = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(good[:-9])), (3, None), (4, bytearray(b"junk"))], "doc_id long, media binary")
+    rows = {r.doc_id: r for r in M.describe(files).collect()}
+    assert rows[1].payload_bytes == 64 and not rows[1].feature.startswith("damaged")
+    assert all(rows[i].payload_bytes is None and rows[i].feature.startswith("damaged") for i in (2, 3, 4))
+
+
 def test_media_query(spark, texts):
     from refloom.llm.media import media_features, packets, with_media
 
@@ -112,9 +134,14 @@ def test_leak_edges(spark):
     item = [r.choice(WORDS) for _ in range(40)]
     bent = [*item[:20], "other", *item[21:]]
     docs = docs_of(spark, [*EDGES, " ".join([*WORDS, *item, *WORDS]), " ".join(item).upper(), " ".join(bent), " ".join(item[:25])])
-    items = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, "too few words"), (1, " ".join(item))], "item_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, "too few words"), (1, " ".join(item)), (5, "Who wrote the Iliad?"), (6, "same")], "item_id long, text string")
     got = {(x.item_id, x.doc_id) for x in find_leaks(docs, items).collect()}
-    assert got == {(1, 10), (1, 11), (1, 12)}
+    assert got == {(1, 10), (1, 11), (1, 12), (6, 7), (6, 8)}
+    more = docs_of(spark, ["but who wrote the iliad? nobody", "who wrote the odyssey?", "wrote the iliad? who"], 50).unionAll(docs_of(spark, ["too few words"]).withColumn("doc_id", F.lit(None).cast("long")))
+    assert {(x.item_id, x.doc_id, x.n_item, x.containment) for x in find_leaks(more, items).collect()} == {(5, 50, 1, 1.0), (4, None, 1, 1.0)}
+    from refloom.llm.decontam import without_leaks
+
+    assert sorted(x.doc_id for x in without_leaks(more, items).collect()) == [51, 52]
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
 
 
@@ -363,7 +390,47 @@ def test_gear_hash_and_borders():
     assert h.tolist() == slow
     a, b = set(K.borders(data)), {x - 7 for x in K.borders(data[:100] + b"7 bytes" + data[100:])}
     assert len({x for x in a if x > 200} ^ {x for x in b if x > 200}) == 0  # an insertion moves near borders only
-    assert K.borders(b"") == [] and K.borders(b"x") == [1] and max(np.diff([0, *K.borders(b"a" * 5000)])) <= K.MAX_CHUNK
+    assert K.borders(b"") == [] and K.borders(b"x") == [1] and max(np.diff([0, *K.borders(b"a" * 5000)])) <= K.LONG_CHUNK
+    for flat in (b"x " * 4000, b"one two three " * 900, b"-" * 9000):  # text without borders: an insertion moves the chunks near it only
+        cut = lambda t: [t[a:e] for a, e in zip([0, *K.borders(t)], K.borders(t))]
+        whole, bent = cut(flat), cut(flat[:3001] + b"something else" + flat[3001:])
+        assert b"".join(whole) == flat and max(map(len, whole)) <= K.LONG_CHUNK
+        assert sum(len(c) for c in bent if c in set(whole)) > len(flat) - 4 * K.LONG_CHUNK
+
+
+def spans_plain(rows, least):
+    """Repeated spans by chunks as bytes, no digests: rows (id, text)."""
+    from refloom.llm import chunkdedup as K
+
+    cut = {(i, t): list(zip([0, *(e := K.borders(t.encode()))], e)) for i, t in rows if t is not None and i is not None}
+    owners = defaultdict(set)
+    for (i, t), c in cut.items():
+        for a, e in c:
+            owners[t.encode()[a:e]].add(i)
+    out = set()
+    for (i, t), c in cut.items():
+        run = []
+        for a, e in [*c, (None, None)]:
+            ids = owners[t.encode()[a:e]] if a is not None else {i}
+            if len(ids) > 1:
+                run.append((a, e, min(ids)))
+            else:
+                if run and run[-1][1] - run[0][0] >= least:
+                    out.add((i, run[0][0], run[-1][1] - run[0][0], len(run), max(f for _, _, f in run)))
+                run = []
+    return out
+
+
+def test_spans_equal_brute_force(spark, documents, texts):
+    from refloom.llm import chunkdedup as K
+
+    r = random.Random(19)
+    base = list(texts.items())
+    rows = [*base, *base[:5], (base[0][0], base[7][1]), (base[1][0], "another text"), (None, base[3][1]), (None, None), (10**7, None), (10**7 + 1, ""), (1152921504606846977, base[2][1])]
+    rows += [(10**6 + k, " ".join(r.choice(base)[1].split()[: r.randint(5, 200)] + [f"z{k}"])) for k in range(40)]
+    d = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id long, text string, digest string, part string")
+    got = {tuple(x) for x in K.repeated_spans(d).collect()}
+    assert got == spans_plain(rows, K.SPAN) and len(got) > 40
 
 
 def test_repeated_passages_are_found(spark):
@@ -503,6 +570,43 @@ def test_bins_keep_their_limits(spark):
     assert pack_examples(df, lim).count() == 400
 
 
+def test_conversations_keep_three_limits(spark, sf):
+    from tokenizers import Tokenizer
+
+    from refloom.llm import packing as K
+
+    tok, lim = Tokenizer.from_file(K.tokenizer_path()), K.Limits(300, 5, 120)
+    c = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    long = " ".join(WORDS * 3)
+    odd = [(-1, 0, "assistant", long), (-1, 1, "user", long), (-2, None, None, None), (None, 1, "user", "x"), (-3, 5, "assistant", ""), (-3, 5, "assistant", "")]
+    d = c.unionAll(spark.createDataFrame(odd, c.schema)).withColumn("n", F.lit(1))
+    turns = defaultdict(list)
+    for r in d.collect():
+        if r.conv_id is not None:
+            n = len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1
+            turns[r.conv_id].append((r.turn if r.turn is not None else -1, zlib.crc32((r.text or "").encode()), n, r.role == "assistant"))
+    rows = K.pack_conversations(d, lim, batch=40).collect()
+    seq, got = defaultdict(list), defaultdict(list)
+    for r in rows:
+        seq[r.sequence_id].append(r)
+        got[r.conv_id].append(r)
+    assert set(got) == set(turns)
+    for i, t in turns.items():
+        loss = [bears for _, _, n, bears in sorted(t) for _ in range(n)]
+        at = 0
+        for p in sorted(got[i], key=lambda p: p.start):
+            assert p.start == at and p.loss_tokens == sum(loss[at : at + p.tokens])
+            at += p.tokens
+        assert at == len(loss)
+        if len(loss) <= lim.tokens and sum(loss) <= lim.loss_tokens:
+            assert len(got[i]) == 1
+    for s in seq.values():
+        assert sum(p.tokens for p in s) <= 300 and sum(p.loss_tokens for p in s) <= 120 and len(s) <= 5
+        assert [p.offset for p in sorted(s, key=lambda p: p.offset)] == np.cumsum([0] + [p.tokens for p in sorted(s, key=lambda p: p.offset)])[:-1].tolist()
+    assert any(sum(p.loss_tokens for p in s) + 20 > 120 > sum(p.tokens for p in s) / 2 for s in seq.values())
+    assert K.pack_conversations(d.limit(0)).count() == 0
+
+
 # 10 surrogates
 
 
@@ -511,7 +615,7 @@ def test_surrogates(spark):
 
     rows = ["write fkdne.45@mail5.example.com or call +1 (216) 555-1361 now", "card 4111111111111111, ip 91.160.17.242. Mr. John Smith and Frau Anna Müller", None, "none 12 at 3.4",
             "(216) 555-1361, 216-555-1361; 4111 1111 1111 1111; a.b@corp.de A.B@CORP.DE", "Señor Иван Петров ok", ""]
-    got = {r.doc_id: r for r in Z.replace_entities(docs_of(spark, rows)).collect()}
+    got = {r.doc_id: r for r in Z.replace_entities(docs_of(spark, rows), "k").collect()}
     assert got[2].text is None and got[3].text == rows[3] and got[6].text == ""
     assert re.fullmatch(r"write [a-z]{5}\.\d\d@mail5\.example\.com or call \+1 \([2-9]\d\d\) 555-\d{4} now", got[0].text) and "1361" not in got[0].text
     phone = re.search(r"\((\d{3})\) 555-(\d{4})", got[0].text).groups()
@@ -528,7 +632,7 @@ def test_surrogates(spark):
     assert re.fullmatch(r"Señor [А-Я][а-я]{3} [А-Я][а-я]{5} ok", got[5].text)
     again = {r.doc_id: r.text for r in Z.replace_entities(docs_of(spark, rows), key="another").collect()}
     assert again[0] != got[0].text
-    assert Z.replace_entities(docs_of(spark, EDGES)).count() == len(EDGES) and Z.replace_entities(docs_of(spark, [])).count() == 0
+    assert Z.replace_entities(docs_of(spark, EDGES), "k").count() == len(EDGES) and Z.replace_entities(docs_of(spark, []), "k").count() == 0
 
 
 def test_permutations_are_one_to_one_and_collisions_move(spark):
@@ -546,6 +650,33 @@ def test_permutations_are_one_to_one_and_collisions_move(spark):
     assert len(set(new.values())) == 20 and not set(new.values()) & set(new)
 
 
+def test_persons_stay_themselves(spark):
+    from refloom.llm import surrogates as Z
+
+    texts = ["Mr. John Smith came. Mr. Smith left. John Smith slept; JOHN and Johnson stayed.", "Mr John Paul Smith; MR Smith; Ms Smith and Mrs. Eva Smith", "Sir James Smith, Mr James Jones", "John Smith alone"]
+    got = {r.doc_id: r.text for r in Z.replace_entities(docs_of(spark, texts), "k").collect()}
+    a = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Mr\. (\w+) left\. (\w+) (\w+) slept; JOHN and Johnson stayed\.", got[0])
+    assert a[2] == a[3] == a[5] != "Smith" and a[1] == a[4] != "John"
+    b = re.fullmatch(r"Mr (\w+) (\w+) (\w+); MR Smith; Ms (\w+) and Mrs\. (\w+) (\w+)", got[1])
+    assert b[1] == a[1] and b[3] == b[4] == b[6] == a[2] and b[2] != b[1]
+    c = re.fullmatch(r"Sir (\w+) (\w+), Mr (\w+) (\w+)", got[2])
+    assert c[2] == a[2] and c[1] == c[3] != a[1] and c[4] != a[2]
+    assert got[3] == texts[3]  # no form of address anywhere in that text
+
+
+def test_full_spaces_get_more_room(spark):
+    from refloom.llm import surrogates as Z
+
+    mail = [f"{chr(97 + k)}@example.com" for k in range(26)]
+    phones = [f"(216) 555-{k:04d}" for k in range(300)]
+    people = [f"Mr. {g} Li" for g in Z.MALE_NAMES] + [f"Mr. {g}us Li" for g in Z.MALE_NAMES]
+    got = Z.replace_entities(docs_of(spark, [*mail, *phones, *people]), "k").collect()
+    new, old = [r.text for r in got], {*mail, *phones, *people}
+    assert len(set(new)) == len(old) and not old & set(new)
+    assert all(re.fullmatch(r"[a-z]+@example\.com", r.text) for r in got if r.doc_id < 26)
+    assert len({r.text.split()[-1] for r in got if r.doc_id >= 326}) == 1  # one family
+
+
 # pipeline
 
 
