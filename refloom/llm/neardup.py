@@ -44,6 +44,7 @@ POSITIONS = TREES * DEPTH  #: minwise tokens of a signature
 LEAF = 256
 CELLS = 1 << 18  #: counters of tokens, by hash, that give the order of tokens in the prefix-filter join
 BLOCK = 1 << 12  #: counters in a row
+PIVOTS = 3  #: members of a large node that all others are compared with, chosen independently
 MARGIN = 5.0  #: standard deviations below the threshold at which a signature still passes
 _R = np.random.default_rng(85)
 _MULT = _R.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,7 +105,7 @@ def _estimate(percent: int) -> float:
     return POSITIONS * j - MARGIN * (POSITIONS * j * (1 - j)) ** 0.5
 
 
-def _token(tree: Column, level: int, turn: Column = F.lit(0)) -> Column:
+def _token(tree: Column, level: int, turn: Column | int = 0) -> Column:
     """The token by which a tree branches at a level; later turns take those of the trees behind it."""
     return F.get("sig", ((tree + turn) % TREES * DEPTH + level).cast("int"))
 
@@ -161,7 +162,7 @@ def _commonest(sig: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.nd
 
 def _stars(large: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """large (tree, key, id) -> pairs (a, b), a < b: each member of a node beside the member nearest to the
-    node's majority, if size and estimate let them be linked."""
+    node's majority, and one or two more that are as near, if size and estimate let them be linked."""
     rows = materialize(large.select("key", "id").join(reps.hint("merge"), "id").sortWithinPartitions("key").select("key", "id", "n", "sig"), "large")
 
     def vote(batches):
@@ -183,7 +184,9 @@ def _stars(large: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     most = materialize(votes.repartition("key").sortWithinPartitions("key").mapInPandas(count, "key long, token array<int>"), "majority")
     agree = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same))
     near = rows.join(most.hint("merge"), "key").select("key", "id", agree("sig", "token").alias("agree"))
-    chosen = near.groupBy("key").agg(F.max(F.struct("agree", "id"))["id"].alias("pivot"))
+    # of those that agree equally well any may be the one that the others vary, so each node chooses by other hashes
+    best = lambda turn: F.max(F.struct("agree", F.xxhash64("key", "id", F.lit(turn)), "id"))["id"]
+    chosen = near.groupBy("key").agg(F.array_distinct(F.array(*[best(k) for k in range(PIVOTS)])).alias("p")).select("key", F.explode("p").alias("pivot"))
     chosen = materialize(chosen.join(reps.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("sig").alias("own")).hint("merge"), "pivot"), "pivots")
     sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     met = rows.join(chosen.hint("merge"), "key").where((F.col("id") != F.col("pivot")) & sized & (agree("sig", "own") >= _estimate(percent)))
