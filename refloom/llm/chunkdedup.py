@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refloom.llm.common import arrow_types, materialize, small, tidy
+from refloom.llm.common import arrow_types, materialize, slices, small, tidy
 
 AVERAGE = 24  #: bytes between borders, on average
 LONG_CHUNK = 256  #: bytes of a stretch without a border that is cut at its smallest hashes
@@ -102,7 +102,7 @@ def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
             made = [ids, parts, np.array(starts, dtype="int32"), np.array(lengths, dtype="int32"), np.array(digests, dtype="uint64").view("int64"), np.array(more, dtype="uint32").view("int32")]
             return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(made, types)], names=names)
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 2)):
             cols: tuple = ([], [], [], [], [], [])
             for i, part, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 data, s = t.encode(), 0
@@ -139,7 +139,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     largest one of the run's chunks. With `later`, runs hold only chunks that a smaller id has."""
     found = repeated_chunks(docs, text, id_col)
     found = found.where("first_doc < doc_id") if later else found
-    rows = found.select("doc_id", "part", "start", "length", "first_doc").distinct()
+    # dealt by document first: rows that are equal and runs are found there, without another shuffle
+    rows = found.select("doc_id", "part", "start", "length", "first_doc").repartition("doc_id", "part").distinct()
     order = Window.partitionBy("doc_id", "part").orderBy("start")
     breaks = F.when(F.lag(F.col("start") + F.col("length")).over(order) == F.col("start"), 0).otherwise(1)
     runs = rows.withColumn("breaks", breaks).withColumn("run", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)))
