@@ -227,17 +227,18 @@ def entities_of(text: Column) -> Column:
 def overrides(distinct: DataFrame, key: str) -> DataFrame:
     """distinct (kind, canon) -> (kind, canon, attempt) of those whose attempt isn't 0. Attempts get more room from ROOM
     on, so the loop ends."""
-    named = lambda df, n: df.withColumn("attempt", F.lit(n)).withColumn("new", surrogate(F.col("kind"), F.col("canon"), key, F.lit(n)))
-    state = materialize(named(distinct, 0), "surrogates")
+    # the attempt is a column of a written table, so that all rounds are one and the same code
+    named = lambda df: df.withColumn("new", surrogate(F.col("kind"), F.col("canon"), key, F.col("attempt")))
+    state = materialize(named(materialize(distinct.withColumn("attempt", F.lit(0)), "attempts")), "surrogates")
     real = distinct.select("kind", F.col("canon").alias("new"))
     for n in count(1):
         # of entities with one surrogate the one with the lowest attempt and form keeps it
         twice = state.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
         later = state.join(twice, ["kind", "new"]).where("struct(attempt, canon) != first").select("kind", "canon")
-        bad = materialize(state.join(real, ["kind", "new"], "left_semi").select("kind", "canon").unionAll(later).distinct(), "collisions")
+        bad = materialize(state.join(real, ["kind", "new"], "left_semi").select("kind", "canon").unionAll(later).distinct().withColumn("attempt", F.lit(n)), "collisions")
         if not bad.limit(1).count():
             return state.where("attempt > 0").select("kind", "canon", "attempt")
-        before, state = state, materialize(state.join(bad, ["kind", "canon"], "left_anti").unionByName(named(bad, n)), "surrogates")
+        before, state = state, materialize(state.join(bad, ["kind", "canon"], "left_anti").unionByName(named(bad)), "surrogates")
         discard(before, bad)
 
 
