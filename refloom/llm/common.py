@@ -79,6 +79,23 @@ def arrow_types(spark: SparkSession, columns: str) -> list:
     return to_arrow_schema(spark.createDataFrame([], columns).schema).types
 
 
+def slices(batch, column: int, most: int = 4 << 20):
+    """Parts of an Arrow batch whose texts have at most `most` bytes together, one row at least: what Python makes of
+    them at a time stays small, however long the batch's texts are."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def mapped_texts(docs: DataFrame, work, columns: str, text: str = "text", id_col: str = "doc_id", key: str = "doc_id") -> DataFrame:
     """(doc_id long, columns): one row for each row. `work` takes the texts of a batch, null as None, and returns a
     list for each column. Ids, null ones and those beyond 2^53 too, don't pass through Python."""
@@ -89,7 +106,7 @@ def mapped_texts(docs: DataFrame, work, columns: str, text: str = "text", id_col
         import pyarrow as pa
 
         try:
-            for b in batches:
+            for b in (part for whole in batches for part in slices(whole, 1)):
                 got = work(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, type=k) for c, k in zip(got, types)]], names=names)
         finally:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import WordTable, mapped_texts, sampled_rows, tidy, train_fold
+from refloom.llm.common import WordTable, mapped_texts, sampled_rows, slices, tidy, train_fold
 
 TRAIN_DOCS = 1500  #: labelled documents used for fitting, at most
 TRAIN_WORDS = 48_000  #: words of them used, at most
@@ -251,7 +251,7 @@ def fit_from(docs: DataFrame, rows: int = TRAIN_DOCS) -> Field:
     return train([(r[0], r[1]) for r in sampled_rows(may, "doc_id", rows, ["text", "lang"]) if LETTER.search(r[0])])
 
 
-def batches_of(size: int = 2_000_000) -> Callable:
+def batches_of(size: int = 1_000_000) -> Callable:
     """Splits a list of texts into runs of about `size` characters."""
 
     def split(texts: list[str]):
@@ -290,7 +290,7 @@ def keep_identified(docs: DataFrame, text: str = "text", least: float = 0.35, mo
     def fill(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, at)):
             texts = [t or "" for t in b.column(at).to_pylist()]
             good = []
             for x, y in split(texts):

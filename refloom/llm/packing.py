@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import arrow_types, once, tidy
+from refloom.llm.common import arrow_types, once, slices, tidy
 
 LIMIT = 1024  #: tokens of a sequence
 SEGMENTS = 32  #: pieces of a sequence
@@ -270,7 +270,7 @@ def pack_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
         ids: Callable[[str], bytes] = once(f"ids of {path}", lambda: Ids(path))
         cutter = Cutter(limits, TaskContext.get().partitionId() << 40)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 cutter.add(doc, ids(t or "") + end)
                 if cutter.held > POOL_TOKENS:

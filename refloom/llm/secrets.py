@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from refloom.llm.common import mapped_texts, sampled_rows, tidy
+from refloom.llm.common import mapped_texts, sampled_rows, slices, tidy
 
 TRAIN_DOCS = 2000  #: documents that labelled findings are taken from, at most
 NEGATIVES = 6000  #: negative candidates used, at most
@@ -295,7 +295,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
     def fill(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, at)):
             texts = b.column(at).to_pylist()
             found, waiting = [], []
             for k, t in enumerate(texts):
