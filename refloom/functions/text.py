@@ -64,21 +64,47 @@ def apply_changes(text: Column, edits: Column) -> Column:
     return F.aggregate(edits, text, one)
 
 
+def merged_settings(json: Column, defaults: dict[str, int]) -> Column:
+    """The defaults with the keys that a client's JSON object gives in their place; keys without a default are dropped,
+    and so are values that aren't numbers. Null or broken JSON leaves the defaults."""
+    own = F.from_json(json, "map<string,long>")
+    return F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(F.try_element_at(own, F.lit(k)), F.lit(v).cast("long")).alias("value")) for k, v in defaults.items()]))
+
+
 def kind_requested(only: Column, kind: Column) -> Column:
     """No filter, an equal kind, or a parent kind that ends at a dot."""
     return (F.size(only) == 0) | F.exists(only, lambda o: (kind == o) | F.startswith(kind, F.concat(o, F.lit("."))))
 
 
+def clean_path(path: Column) -> Column:
+    """A path without `.`, empty and `..` segments; the root stays the root."""
+    up = lambda done, seg: F.when(seg.isin("", "."), done).when(seg != "..", F.concat(done, F.array(seg))).otherwise(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), up)
+    return F.concat(F.when(F.startswith(path, F.lit("/")), F.lit("/")).otherwise(F.lit("")), F.array_join(kept, "/"))
+
+
 def relative(path: Column, root: str) -> Column:
     return F.when(F.startswith(path, F.lit(root.rstrip("/") + "/")), F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))).otherwise(path)
 
 
+def absolute(path: Column, root: str) -> Column:
+    return clean_path(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path)))
+
+
 def inside(path: Column, root: str) -> Column:
-    return (path == root) | F.startswith(path, F.lit(root.rstrip("/") + "/"))
+    p = clean_path(path)
+    return (p == root) | F.startswith(p, F.lit(root.rstrip("/") + "/"))
 
 
 def tail(s: Column, n: int = 32768) -> Column:
-    return F.when(F.length(s) > n, F.concat(F.lit("[truncated]\n"), F.right(s, F.lit(n)))).otherwise(s)
+    """The last n bytes behind a notice, if there are more; a character that the cut would split goes too."""
+    raw = F.encode(s, "UTF-8")
+    end = F.substring(raw, F.octet_length(s) - n + 1, F.lit(n))
+    inner = lambda k: F.substring(raw, F.octet_length(s) - n + 1 + k, F.lit(n))
+    first = lambda b: F.conv(F.hex(F.substring(b, 1, 1)), 16, 10).cast("int")
+    part = lambda b: (first(b) >= 128) & (first(b) < 192)
+    whole = F.when(~part(end), end).when(~part(inner(1)), inner(1)).when(~part(inner(2)), inner(2)).otherwise(inner(3))
+    return F.when(F.octet_length(s) > n, F.concat(F.lit("[truncated]\n"), whole.cast("string"))).otherwise(s)
 
 
 def percent(done: Column, total: Column) -> Column:
@@ -88,7 +114,7 @@ def percent(done: Column, total: Column) -> Column:
 def assumed_name(path: Column) -> Column:
     """Last segment of an import path, without a version segment."""
     parts = F.filter(F.split(path, "/"), lambda p: ~p.rlike(r"^v[0-9]+$"))
-    return F.element_at(parts, -1)
+    return F.try_element_at(parts, F.lit(-1))
 
 
 def active_argument(ends: Column, pos: Column, params: Column, variadic: Column) -> Column:
@@ -96,3 +122,50 @@ def active_argument(ends: Column, pos: Column, params: Column, variadic: Column)
     at = F.array_position(F.transform(ends, lambda e: e >= pos), F.lit(True)) - 1
     at = F.when(at < 0, F.size(ends)).otherwise(at)
     return F.when(variadic & (at >= params), params - 1).otherwise(at)
+
+
+def memory_limit(total: Column, share: float = 0.5, least: int = 4 << 30) -> Column:
+    return F.greatest(F.lit(least), (total * share).cast("long"))
+
+
+def generic_name(path: Column) -> Column:
+    """A name for a package that couldn't be loaded: the last segment, letters and digits only, never empty."""
+    name = F.regexp_replace(assumed_name(path), r"[^\p{L}\p{Nd}_]", "_")
+    return F.when(F.coalesce(F.length(name), F.lit(0)) == 0, F.lit("_")).otherwise(name)
+
+
+BLOCK = 64  #: numbers that are summed up together
+
+
+def running_sums(lengths: Column, start: int = 0) -> Column:
+    """start plus the running sums of an array, by blocks, so that the work is far from the square of its size."""
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(lengths) - 1) / BLOCK), F.lit(0))), lambda b: F.slice(lengths, (b * BLOCK + 1).cast("int"), F.lit(BLOCK)))
+    add = lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["ends"], F.array(s["at"] + v)).alias("ends"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("ends"))
+    inner = F.transform(blocks, lambda x: F.aggregate(x, zero, add, lambda s: s["ends"]))
+    shift = lambda s, e: F.struct((s["at"] + F.coalesce(F.try_element_at(e, F.lit(-1)), F.lit(0))).alias("at"), F.concat(s["ends"], F.array(s["at"])).alias("ends"))
+    first = F.struct(F.lit(start).cast("long").alias("at"), F.array().cast("array<long>").alias("ends"))
+    shifts = F.aggregate(inner, first, shift, lambda s: s["ends"])
+    return F.flatten(F.zip_with(inner, shifts, lambda e, by: F.transform(e, lambda x: x + by)))
+
+
+def word_places(line: Column, word: Column) -> Column:
+    """1-based byte columns at which a word stands in a line, with ASCII word borders."""
+    gaps = F.split(line, F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), word, F.lit(r"\E(?![A-Za-z0-9_])")), F.lit(-1))
+    width = F.octet_length(word)
+    ends = running_sums(F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda g: (F.octet_length(g) + width).cast("long")), 1)
+    return F.when(F.size(gaps) > 1, F.transform(ends, lambda e: e - width)).otherwise(F.array().cast("array<long>"))
+
+
+def receiver(name: Column) -> Column:
+    """The receiver's type of a method's name `T.M` or `(*T).M`; null where there is none."""
+    found = F.regexp_extract(name, r"^\(?\*?([^().*]+)\)?\.", 1)
+    return F.when(found != "", found)
+
+
+def diagnostic(message: Column) -> Column:
+    """struct(code, name, severity) of a checker's message; what is merely unused is a warning."""
+    unused_import, unused, undefined = r'^"([^"]+)" imported and not used', r"^declared and not used: (\w+)", r"^undefined: (\w+)"
+    code = F.when(message.rlike(unused_import), "unused-import").when(message.rlike(unused), "unused").when(message.rlike(undefined), "undefined").otherwise("other")
+    name = F.concat(*[F.regexp_extract(message, p, 1) for p in (unused_import, unused, undefined)])
+    return F.struct(code.alias("code"), name.alias("name"), F.when(code.startswith("unused"), "warning").otherwise("error").alias("severity"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.sources.scratch import materialize
+from refloom.sources.scratch import discard, materialize
 
 ROUNDS = 10_000
 
@@ -18,29 +18,44 @@ def reverse_deps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.groupBy("node").agg(F.sort_array(F.collect_list("src")).alias("importers"))
 
 
-def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(seed, node): each seed with all its transitive importers; cycles are fine."""
+def closure(seeds: DataFrame, edges: DataFrame, compact: int = 8) -> DataFrame:
+    """(seed, node): each seed with all its transitive importers; cycles are fine. What has been seen is one table and
+    the rounds since; every `compact` rounds they become one table again, so neither plans nor files grow with the depth."""
     back = materialize(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct(), "edges")
-    frontier = seen = materialize(seeds.select("seed", F.col("seed").alias("node")).distinct(), "seen")
-    for _ in range(ROUNDS):
+    seen = frontier = materialize(seeds.select("seed", F.col("seed").alias("node")).distinct(), "seen")
+    parts = [seen]
+    for n in range(1, ROUNDS):
         frontier = materialize(frontier.join(back, "node").select("seed", F.col("next").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti"), "frontier")
         if not frontier.limit(1).count():
+            discard(back, frontier)
             return seen
+        parts.append(frontier)
         seen = seen.unionByName(frontier)
+        if n % compact == 0:
+            seen, old = materialize(seen, "seen"), parts[:-1]
+            parts = [seen, frontier]
+            discard(*old)
     raise RuntimeError("no end of the closure")
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, compact: int = 8) -> DataFrame:
     """(node, level): length of the longest path to a node without dependencies; edges must be acyclic. A
     node's level is the last round in which the frontier meets it."""
     deps = materialize(edges.select("src", "dst").distinct(), "edges")
     frontier = materialize(nodes.select("node").join(deps.select(F.col("src").alias("node")), "node", "left_anti"), "frontier")
-    met = frontier.withColumn("level", F.lit(0).cast("long"))
+    met, parts = frontier.withColumn("level", F.lit(0).cast("long")), [frontier]
+    top = lambda m: m.groupBy("node").agg(F.max("level").alias("level"))
     for n in range(1, ROUNDS):
         frontier = materialize(deps.join(frontier.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct(), "frontier")
         if not frontier.limit(1).count():
-            return met.groupBy("node").agg(F.max("level").alias("level"))
+            discard(deps, frontier)
+            return top(met)
+        parts.append(frontier)
         met = met.unionByName(frontier.withColumn("level", F.lit(n).cast("long")))
+        if n % compact == 0:
+            met, old = materialize(top(met), "met"), parts[:-1]
+            parts = [met, frontier]
+            discard(*old)
     raise RuntimeError("the edges have a cycle")
 
 

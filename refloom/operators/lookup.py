@@ -21,8 +21,10 @@ def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def symbol_by_id(asked: DataFrame, symbols: DataFrame) -> DataFrame:
-    """asked (pkg_hash, id_hash); symbols that don't exist are dropped."""
-    return asked.join(symbols, ["pkg_hash", "id_hash"])
+    """asked (pkg_hash, id_hash, ...) with the symbol of that id, the first by `seq` where an id is there more than
+    once; symbols that don't exist are dropped."""
+    once = first_of(symbols, ["pkg_hash", "id_hash"], ["seq"]) if "seq" in symbols.columns else symbols
+    return asked.join(once, ["pkg_hash", "id_hash"])
 
 
 def ref_at(positions: DataFrame, refs: DataFrame) -> DataFrame:
@@ -40,9 +42,26 @@ def symbol_at(positions: DataFrame, decls: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id", "line", "q_col").agg(F.min(F.struct("col", "token")).alias("d")).select("doc_id", "line", "q_col", "d.token", "d.col")
 
 
-def name_prefix(names: DataFrame, prefix: str) -> DataFrame:
-    """(name_lower, hashes): names with the prefix, without regard to case; an empty prefix matches all."""
-    return names.where(F.col("name_lower").startswith(prefix.lower())).groupBy("name_lower").agg(F.sort_array(F.collect_set("id_hash")).alias("hashes"))
+def resolve_at(positions: DataFrame, occurrences: DataFrame, *more: str) -> DataFrame:
+    """positions (doc_id, line, q_col), occurrences (doc_id, line, col, end_col, is_decl, ...) -> what stands there: the
+    ref of ref_at(), else the declaration of symbol_at(), in one pass; positions on nothing are dropped."""
+    row = F.struct("col", "end_col", "is_decl", *more)
+    near = positions.join(occurrences, ["doc_id", "line"]).where("col <= q_col")
+    last = F.max(F.when(~F.col("is_decl"), row)).alias("ref")
+    here = F.min(F.when(F.col("is_decl") & (F.col("q_col") < F.col("end_col")), row)).alias("decl")
+    hit = near.groupBy("doc_id", "line", "q_col").agg(last, here)
+    hit = hit.withColumn("r", F.when(F.col("q_col") < F.col("ref.end_col"), F.col("ref")).otherwise(F.col("decl")))
+    return hit.where("r IS NOT NULL").select("doc_id", "line", "q_col", "r.*")
+
+
+def name_prefix(names: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """prefixes (prefix), names (name_lower, id_hash) -> (prefix, name_lower, hashes): names with the prefix, without regard
+    to case; an empty prefix matches all. Prefixes meet names by their first two letters, which both have."""
+    asked = prefixes.select("prefix", F.lower("prefix").alias("low")).distinct()
+    by = names.groupBy("name_lower").agg(F.sort_array(F.collect_set("id_hash")).alias("hashes"))
+    long = asked.where(F.length("low") >= 2).join(by, F.substring("low", 1, 2) == F.substring("name_lower", 1, 2))
+    short = asked.where(F.length("low") < 2).join(by, F.col("name_lower").startswith(F.col("low")))
+    return long.unionAll(short).where(F.col("name_lower").startswith(F.col("low"))).select("prefix", "name_lower", "hashes")
 
 
 def workspace_symbol(symbols: DataFrame, prefix: str, limit: int = 100) -> DataFrame:
@@ -63,6 +82,24 @@ def rank_prefix(labels: DataFrame, prefix: str, base: str = "") -> DataFrame:
     return labels.withColumn("sort_text", F.concat(rank, "label")).where("sort_text IS NOT NULL")
 
 
+def completions(asked: DataFrame, symbols: DataFrame, base: str = "") -> DataFrame:
+    """asked (scope, prefix, ...), symbols (scope, label, ...) with `sort_text`: what is in scope and has the prefix, those in
+    the same case first."""
+    hit = asked.join(symbols, "scope").where(F.lower("label").startswith(F.lower("prefix")))
+    return hit.withColumn("sort_text", F.concat(F.when(F.col("label").startswith(F.col("prefix")), F.lit(base + "0")).otherwise(F.lit(base + "1")), "label"))
+
+
+def chain(asked: DataFrame, keys: list[str], tiers: list[tuple[str, DataFrame]]) -> DataFrame:
+    """asked (keys), tiers of (name, answers (keys, answer)): the answer of the first tier that has one, the least of it;
+    asked rows without any are dropped."""
+    found = None
+    for n, (name, df) in enumerate(tiers):
+        part = df.select(*keys, F.struct(F.lit(n).alias("n"), F.col("answer"), F.lit(name).alias("tier")).alias("a"))
+        found = part if found is None else found.unionAll(part)
+    best = found.groupBy(*keys).agg(F.min("a").alias("a"))
+    return asked.select(*keys).distinct().join(best, keys).select(*keys, "a.answer", "a.tier")
+
+
 def file_units(files: DataFrame, by_file: DataFrame, by_dir: DataFrame) -> DataFrame:
     """files (file) -> unit, by the exact file, else by its directory."""
     d = files.withColumn("dir", F.regexp_replace("file", "/[^/]*$", ""))
@@ -72,3 +109,19 @@ def file_units(files: DataFrame, by_file: DataFrame, by_dir: DataFrame) -> DataF
 def unimported(packages: DataFrame, imported: DataFrame, own: str, prefix: str, limit: int = 5) -> DataFrame:
     """The first names with a prefix, case and all, among packages that aren't imported."""
     return packages.where(F.col("name").startswith(prefix) & (F.col("pkg_path") != own)).join(imported.select("pkg_path"), "pkg_path", "left_anti").orderBy("name", "pkg_path").limit(limit)
+
+
+def exact_names(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (name) -> the entries of exactly that name, case and all."""
+    return names.join(asked.select("name").distinct(), "name")
+
+
+def collisions(strings: DataFrame) -> DataFrame:
+    """strings (id_hash, symbol_id) -> hashes that stand for more than one string: (id_hash, n)."""
+    return strings.groupBy("id_hash").agg(F.count_distinct("symbol_id").alias("n")).where("n > 1")
+
+
+def symbol_info(ids: DataFrame, symbols: DataFrame) -> DataFrame:
+    """ids (symbol_id), of the form package#object -> (symbol_id, pkg, object, ...symbol); unknown ids are dropped."""
+    cut = ids.select("symbol_id", F.substring_index("symbol_id", "#", 1).alias("pkg"), F.regexp_replace("symbol_id", "^[^#]*#", "").alias("object"))
+    return cut.join(symbols, ["pkg", "object"])

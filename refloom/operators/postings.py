@@ -23,6 +23,18 @@ def replace(index: DataFrame, fresh: DataFrame, sources: DataFrame) -> DataFrame
     return index.join(sources.select("src"), "src", "left_anti").unionByName(fresh.join(sources.select("src"), "src", "left_semi"))
 
 
+def lookup(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """wanted (target_pkg, target_id, ...) with the records of the built index (src, locations), nulls where there is none."""
+    return wanted.join(index, ["target_pkg", "target_id"], "left")
+
+
+def promoted(fields: DataFrame, index: DataFrame, on: tuple = ("file", "line", "col")) -> DataFrame:
+    """fields (id_hash, place): those that embed a type, that is, whose declared place is a place of another symbol in
+    the index; a rename of that type has to rename the field too. (id_hash, target_id, src, file, line, col)."""
+    at = index.select("target_id", "src", "file", "line", "col")
+    return fields.select("id_hash", *on).join(at, list(on)).where("target_id != id_hash").select("id_hash", "target_id", "src", "file", "line", "col")
+
+
 def locations(wanted: DataFrame, index: DataFrame) -> DataFrame:
     """wanted (query_id, target_pkg, target_id) -> distinct locations."""
     return dedupe(wanted.join(index, ["target_pkg", "target_id"]).select("query_id", *LOCATION), ["query_id"])

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refloom.sources.scratch import materialize
+
 
 def entries(methods: DataFrame, types: DataFrame, names: DataFrame) -> DataFrame:
     """Entries whose type and whose method exist."""
@@ -26,11 +28,56 @@ def candidates_any(required: DataFrame, methods: DataFrame) -> DataFrame:
     return required.select("iface", "name").distinct().join(methods.select("type_id", "name").distinct(), "name").select("iface", "type_id").distinct()
 
 
+def _sound(required: DataFrame) -> DataFrame:
+    """(iface, need): the number of different requirements of each interface that can be confirmed."""
+    return required.groupBy("iface").agg(F.count("*").alias("need"), F.min("fp").alias("least")).where("least <> 0").select("iface", "need")
+
+
 def confirmed(required: DataFrame, methods: DataFrame) -> DataFrame:
-    """Division on (name, fingerprint): (iface, type_id). An interface with a fingerprint of 0 can't be confirmed."""
-    need = required.groupBy("iface").agg(F.count("*").alias("need"), F.min("fp").alias("least")).where("least <> 0").drop("least")
-    has = required.where("fp <> 0").join(methods.where("fp <> 0"), ["name", "fp"]).groupBy("iface", "type_id").agg(F.count("*").alias("has"))
-    return has.join(need, "iface").where("has = need").select("iface", "type_id")
+    """Division on (name, fingerprint): (iface, type_id). An interface with a fingerprint of 0 can't be confirmed; an
+    entry that is there twice, such as an own and a promoted one, counts once.
+
+    Types are numbered, and the types that have an entry are kept as bits, 64 types to a number: an interface's
+    candidates are the bits that all its requirements have in common, not a row for each type and requirement."""
+    need, own = required.select("iface", "name", "fp").distinct(), methods.select("type_id", "name", "fp").distinct().where("fp <> 0")
+    ids = materialize(own.select("type_id").distinct().withColumn("no", F.monotonically_increasing_id()), "types")
+    bit = F.expr("shiftleft(1L, CAST(no % 64 AS INT))")
+    masks = own.join(ids, "type_id").groupBy("name", "fp", F.floor(F.col("no") / 64).alias("block")).agg(F.bit_or(bit).alias("mask"))
+    hit = need.where("fp <> 0").join(masks, ["name", "fp"]).groupBy("iface", "block").agg(F.bit_and("mask").alias("mask"), F.count("*").alias("has"))
+    hit = hit.where("mask <> 0").join(_sound(need), "iface").where("has = need")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    return hit.select("iface", "block", F.explode(bits).alias("bit")).select("iface", (F.col("block") * 64 + F.col("bit")).alias("no")).join(ids, "no").select("iface", "type_id")
+
+
+def candidates_either(required: DataFrame, methods: DataFrame) -> DataFrame:
+    """Types and interfaces that have every required name of another interface: (iface, other, is_interface)."""
+    types = candidates_all(required, methods).select("iface", F.col("type_id").alias("other"), F.lit(False).alias("is_interface"))
+    inner = candidates_all(required, required.select(F.col("iface").alias("type_id"), "name")).where("iface != type_id")
+    return types.unionByName(inner.select("iface", F.col("type_id").alias("other"), F.lit(True).alias("is_interface")))
+
+
+def kind_checked(methods: DataFrame, symbols: DataFrame, type_kinds: list[int], method_kinds: list[int]) -> DataFrame:
+    """Entries whose type is a symbol of a type's kind and whose method one of a method's kind; symbols (id_hash, kind)."""
+    of = lambda kinds, name: symbols.where(F.col("kind").isin(*kinds)).select(F.col("id_hash").alias(name)).distinct()
+    return methods.join(of(type_kinds, "type_id"), "type_id", "left_semi").join(of(method_kinds, "method_id"), "method_id", "left_semi")
+
+
+def first_method(pairs: DataFrame) -> DataFrame:
+    """Of each candidate the first method that satisfies an interface's method: pairs (iface, name, type_id, method_id, seq)."""
+    first = pairs.groupBy("iface", "name", "type_id").agg(F.min(F.struct("seq", "method_id")).alias("m"))
+    return first.select("iface", "name", "type_id", "m.method_id")
+
+
+def corresponding(asked: DataFrame, required: DataFrame, methods: DataFrame) -> DataFrame:
+    """asked (query_id, type_id, name), methods of types or interfaces -> (query_id, other_id, name): the methods that
+    stand for the same one: of each interface that the type satisfies, and of every type that satisfies one of
+    those, or, if an interface is asked, of the types that satisfy it. The method asked for itself is left out."""
+    ok = confirmed(required, methods).join(required.select("iface", "name").distinct(), "iface")
+    ups = asked.join(ok, ["type_id", "name"]).select("query_id", "iface", "name")
+    ups = ups.unionAll(asked.join(required.select(F.col("iface").alias("type_id"), "name").distinct(), ["type_id", "name"], "left_semi").select("query_id", F.col("type_id").alias("iface"), "name")).distinct()
+    downs = ups.join(ok, ["iface", "name"]).select("query_id", F.col("type_id").alias("other_id"), "name")
+    both = ups.select("query_id", F.col("iface").alias("other_id"), "name").unionAll(downs).distinct()
+    return both.join(asked.select("query_id", F.col("type_id").alias("other_id"), "name"), ["query_id", "other_id", "name"], "left_anti")
 
 
 def with_status(required: DataFrame, methods: DataFrame) -> DataFrame:
@@ -38,10 +85,27 @@ def with_status(required: DataFrame, methods: DataFrame) -> DataFrame:
     return candidates_all(required, methods).join(confirmed(required, methods).withColumn("confirmed", F.lit(True)), ["iface", "type_id"], "left").fillna(False, ["confirmed"])
 
 
-def embedding(required: DataFrame) -> DataFrame:
-    """Pairs of interfaces: sub has all that sup requires; none is paired with itself."""
-    as_types = required.select(F.col("iface").alias("type_id"), "name", "fp")
-    return confirmed(required, as_types).where("iface != type_id").select(F.col("iface").alias("sup"), F.col("type_id").alias("sub"))
+def embedding(required: DataFrame, pairs_up_to: int = 64) -> DataFrame:
+    """Pairs of interfaces: sub has all that sup requires; none is paired with itself.
+
+    An interface with one requirement is looked up by it, others by their two rarest together, which far fewer
+    interfaces have than one. Interfaces with more than `pairs_up_to` requirements don't list their pairs; they
+    are looked up by the rarest one. What is found is then checked on all requirements."""
+    need = materialize(required.select("iface", "name", "fp").distinct().withColumn("q", F.concat_ws("|", "name", F.col("fp").cast("string"))), "requirements")
+    size = need.groupBy("iface").agg(F.count("*").alias("size"))
+    often = need.groupBy("q").agg(F.count("*").alias("often"))
+    rare = need.join(often, "q").groupBy("iface").agg(F.slice(F.sort_array(F.collect_list(F.struct("often", "q"))), 1, 2).alias("r")).join(_sound(need), "iface")
+    sup = materialize(rare.select(F.col("iface").alias("sup"), "need", F.get("r", F.lit(0))["q"].alias("first"), F.get("r", F.lit(1))["q"].alias("second")), "rarest")
+    sub = need.where("fp <> 0").join(size, "iface").select(F.col("iface").alias("sub"), "q", "size")
+    low, high = F.least("first", "second"), F.greatest("first", "second")
+    x, y = sub.where(F.col("size") <= pairs_up_to), sub.where(F.col("size") <= pairs_up_to).select(F.col("sub").alias("other"), F.col("q").alias("p"))
+    listed = x.join(y, (F.col("sub") == F.col("other")) & (F.col("q") < F.col("p"))).select("sub", "q", "p")
+    one = sup.where("need = 1").join(sub, F.col("first") == F.col("q")).select("sup", "sub")
+    two = sup.where("need > 1").select("sup", "need", low.alias("q"), high.alias("p")).join(listed, ["q", "p"]).select("sup", "sub", "need")
+    large = sup.where("need > 1").join(sub.where(F.col("size") > pairs_up_to), F.col("first") == F.col("q")).select("sup", "sub", "need")
+    each = two.unionAll(large).where("sup != sub").join(need.select(F.col("iface").alias("sup"), "q"), "sup")
+    full = each.join(sub.select("sub", "q"), ["sub", "q"], "left_semi").groupBy("sup", "sub", "need").agg(F.count("*").alias("has")).where("has = need")
+    return full.select("sup", "sub").unionAll(one.where("sup != sub"))
 
 
 def subtypes(required: DataFrame, methods: DataFrame) -> DataFrame:

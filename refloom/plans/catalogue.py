@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.functions import text as X
@@ -14,12 +12,10 @@ from refloom.operators import incremental as C
 from refloom.operators import lookup as L
 from refloom.operators import postings as P
 from refloom.operators import relations as M
+from refloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  the registry is also read here
 from refloom.sources.tables import SPLIT_DAY, Graph, Lexical, Relational, changes, table
 from refloom.streaming import gates as T
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 R = f"""
 WITH typ AS (SELECT p_type, dense_rank() OVER (ORDER BY p_type) - 1 AS kind FROM (SELECT DISTINCT p_type FROM part)),
 def AS (SELECT l_partkey, min(l_suppkey) AS pkg_hash FROM lineitem GROUP BY 1),
@@ -29,12 +25,15 @@ post AS (SELECT s.pkg_hash AS target_pkg, s.id_hash AS target_id, l.l_suppkey AS
   CAST(l.l_quantity AS BIGINT) + strlen(s.name) AS end_col, l.l_shipdate FROM lineitem l JOIN sym s ON s.id_hash = l.l_partkey),
 used AS (SELECT l.l_suppkey, l.l_orderkey, p.p_brand AS name, CAST(CASE WHEN p.p_size % 10 = 0 THEN 0 ELSE p.p_size END AS BIGINT) AS fp FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey),
 ent AS (SELECT DISTINCT name, l_suppkey AS type_id, fp FROM used),
-req AS (SELECT DISTINCT l_orderkey AS iface, name, fp FROM used WHERE l_orderkey % 50 = 0),
-ok AS (SELECT r.iface, t.type_id FROM (SELECT DISTINCT iface FROM req) r CROSS JOIN (SELECT DISTINCT type_id FROM ent) t
-  WHERE NOT EXISTS (SELECT 1 FROM req q WHERE q.iface = r.iface AND NOT EXISTS (SELECT 1 FROM ent e WHERE e.type_id = t.type_id AND e.name = q.name AND e.fp = q.fp AND e.fp <> 0))),
-emb AS (SELECT a.iface AS sup, b.iface AS sub FROM (SELECT iface, count(*) AS n FROM req GROUP BY 1 HAVING min(fp) <> 0) a
-  JOIN (SELECT x.iface AS s, y.iface, count(*) AS n FROM req x JOIN req y ON x.name = y.name AND x.fp = y.fp AND x.fp <> 0 GROUP BY 1, 2) b ON a.iface = b.s AND a.n = b.n WHERE a.iface <> b.iface),
-snap AS (SELECT DISTINCT l_suppkey AS unit, l_partkey AS file, l_shipdate >= TIMESTAMP '{SPLIT_DAY}' AS is_new FROM lineitem)
+req AS (SELECT DISTINCT l_orderkey AS iface, name, fp FROM used),
+ask AS (SELECT *, count(*) OVER (PARTITION BY iface) AS need, min(fp) OVER (PARTITION BY iface) AS low FROM req),
+ok AS (SELECT q.iface, e.type_id FROM ask q JOIN ent e ON e.name = q.name AND e.fp = q.fp WHERE q.low <> 0 GROUP BY q.iface, e.type_id, q.need HAVING count(*) = q.need),
+emb AS (SELECT q.iface AS sup, e.iface AS sub FROM ask q JOIN req e ON e.name = q.name AND e.fp = q.fp AND e.iface <> q.iface WHERE q.low <> 0 GROUP BY q.iface, e.iface, q.need HAVING count(*) = q.need),
+snap AS (SELECT DISTINCT l_suppkey AS unit, l_partkey AS file, l_shipdate >= TIMESTAMP '{SPLIT_DAY}' AS is_new FROM lineitem),
+changed AS (SELECT unit FROM (SELECT unit, list(file ORDER BY file) FILTER (NOT is_new) AS o, list(file ORDER BY file) FILTER (is_new) AS n FROM snap GROUP BY unit) WHERE o IS DISTINCT FROM n),
+unit AS (SELECT unit AS node, is_new, sha256(string_agg(CAST(file AS VARCHAR), ',' ORDER BY CAST(file AS VARCHAR))) AS own, sha256(coalesce(string_agg(CAST(file AS VARCHAR), ',' ORDER BY CAST(file AS VARCHAR)) FILTER (p_size % 2 = 0), '')) AS export
+  FROM snap JOIN part ON p_partkey = file GROUP BY unit, is_new),
+dep AS (SELECT DISTINCT src, target_pkg AS dst FROM post WHERE target_pkg < src)
 """
 LX = r"""
 WITH lines AS (SELECT doc_id, source AS unit, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
@@ -55,20 +54,8 @@ edge AS (SELECT src, dst, 'prod' AS kind FROM prod UNION ALL SELECT p_partkey, p
 both_kinds AS (SELECT DISTINCT src, dst FROM edge),
 walk(node, level) AS (SELECT node, 0 FROM node WHERE node NOT IN (SELECT src FROM prod) UNION SELECT p.src, w.level + 1 FROM walk w JOIN prod p ON p.dst = w.node),
 lev AS (SELECT node, CAST(max(level) AS BIGINT) AS level FROM walk GROUP BY node),
-clo(seed, node) AS (SELECT s, s FROM (VALUES (CAST(5 AS BIGINT)), (7), (97), (194)) AS v(s) UNION SELECT c.seed, e.src FROM clo c JOIN both_kinds e ON e.dst = c.node)
+clo(seed, node) AS (SELECT node, node FROM node UNION SELECT c.seed, e.src FROM clo c JOIN both_kinds e ON e.dst = c.node)
 """
-SEEDS = (5, 7, 97, 194)  #: the closures that the registered queries ask for
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 # symbols and names
 
@@ -83,9 +70,9 @@ def symbol_lookup(spark, sf):
 @query(R + "SELECT substr(name_lower, 1, 2) AS prefix, name_lower, count(DISTINCT id_hash) AS n, min(id_hash) AS least FROM sym GROUP BY ALL")
 def name_prefix(spark, sf):
     """Every two-letter prefix with the names that it finds."""
-    s = Relational(spark, sf).symbols()
-    hit = s.withColumn("prefix", F.substring("name_lower", 1, 2))
-    return hit.groupBy("prefix", "name_lower").agg(F.count_distinct("id_hash").alias("n"), F.min("id_hash").alias("least"))
+    names = Relational(spark, sf).symbols().select("name_lower", "id_hash")
+    hit = L.name_prefix(names, names.select(F.substring("name_lower", 1, 2).alias("prefix")))
+    return hit.select("prefix", "name_lower", F.size("hashes").cast("long").alias("n"), F.array_min("hashes").alias("least"))
 
 
 @query(R + "SELECT name, id_hash, pkg_hash, kind FROM sym ORDER BY name_lower, id_hash LIMIT 100")
@@ -127,9 +114,13 @@ def postings_build(spark, sf):
     return b.select("target_pkg", "target_id", "src", F.size("locations").cast("long").alias("n"), total("line").alias("lines"), total("col").alias("cols"))
 
 
-@query(R + "SELECT target_pkg, target_id, count(DISTINCT src) AS records, count(*) AS places FROM post GROUP BY ALL")
+@query(R + "SELECT id_hash AS target_id, count(DISTINCT src) AS records, count(target_id) AS places FROM sym LEFT JOIN post ON target_pkg = pkg_hash AND target_id = id_hash WHERE kind IN (0, 2) GROUP BY ALL")
 def postings_for(spark, sf):
-    return Relational(spark, sf).postings().groupBy("target_pkg", "target_id").agg(F.count_distinct("src").alias("records"), F.count("*").alias("places"))
+    """The records of each symbol of two kinds, looked up in the built index; a symbol without any has none."""
+    r = Relational(spark, sf)
+    asked = r.symbols().where("kind IN (0, 2)").select(F.col("pkg_hash").alias("target_pkg"), F.col("id_hash").alias("target_id"))
+    found = P.lookup(asked, P.build(r.postings()))
+    return found.groupBy("target_id").agg(F.count("src").alias("records"), F.coalesce(F.sum(F.size("locations")), F.lit(0)).cast("long").alias("places"))
 
 
 @query(R + "SELECT target_pkg, target_id, src, CAST(4 + sum(16 + strlen(file)) AS BIGINT) AS bytes FROM post GROUP BY ALL")
@@ -254,12 +245,9 @@ def symbol_at_position(spark, sf):
 
 
 def _resolved(x: Lexical) -> DataFrame:
-    refs = L.ref_at(x.positions(), _refs(x)).select("doc_id", "line", "q_col", F.col("token").alias("r_token"), "d_doc", "d_line", "d_col")
-    decls = L.symbol_at(x.positions(), _decls(x)).select("doc_id", "line", "q_col", F.col("token").alias("s_token"), F.col("col").alias("s_col"))
-    both = x.positions().join(refs, ["doc_id", "line", "q_col"], "left").join(decls, ["doc_id", "line", "q_col"], "left")
-    by_ref = F.col("r_token").isNotNull()
-    return both.select("doc_id", "line", "q_col", F.coalesce("r_token", "s_token").alias("token"), F.when(by_ref, F.col("d_doc")).otherwise(F.when(F.col("s_token").isNotNull(), F.col("doc_id"))).alias("t_doc"),
-                       F.when(by_ref, F.col("d_line")).otherwise(F.when(F.col("s_token").isNotNull(), F.col("line"))).alias("t_line"), F.when(by_ref, F.col("d_col")).otherwise(F.col("s_col")).alias("t_col"))
+    """Every position with what stands there, or nulls."""
+    hit = L.resolve_at(x.positions(), x.occurrences().select("doc_id", "line", "col", "end_col", "is_decl", "token", "d_doc", "d_line", "d_col"), "token", "d_doc", "d_line", "d_col")
+    return hit.select("doc_id", "line", "q_col", "token", F.col("d_doc").alias("t_doc"), F.col("d_line").alias("t_line"), F.col("d_col").alias("t_col"))
 
 
 _RESOLVED = """, res AS (SELECT p.doc_id, p.line, p.q_col, coalesce(r.r.token, s.d.token) AS token, CASE WHEN r.r IS NOT NULL THEN r.r.d_doc WHEN s.d IS NOT NULL THEN p.doc_id END AS t_doc,
@@ -269,12 +257,12 @@ _RESOLVED = """, res AS (SELECT p.doc_id, p.line, p.q_col, coalesce(r.r.token, s
 
 @query(LX + _RESOLVED + "SELECT doc_id, line, q_col, token FROM res WHERE token IS NOT NULL")
 def resolve_at(spark, sf):
-    return _resolved(Lexical(spark, sf)).where("token IS NOT NULL").select("doc_id", "line", "q_col", "token")
+    return _resolved(Lexical(spark, sf)).select("doc_id", "line", "q_col", "token")
 
 
 @query(LX + _RESOLVED + "SELECT doc_id, line, q_col, t_doc, t_line, t_col FROM res WHERE token IS NOT NULL")
 def definition(spark, sf):
-    return _resolved(Lexical(spark, sf)).where("token IS NOT NULL").select("doc_id", "line", "q_col", "t_doc", "t_line", "t_col")
+    return _resolved(Lexical(spark, sf)).select("doc_id", "line", "q_col", "t_doc", "t_line", "t_col")
 
 
 @query(LX + _RESOLVED + """, firsts AS (SELECT doc_id, line, min(col) AS f_col FROM tok GROUP BY ALL)
@@ -283,25 +271,40 @@ SELECT r.doc_id, r.line, r.q_col, coalesce(t_doc, r.doc_id) AS t_doc, coalesce(t
 def definition_fallback(spark, sf):
     """The index, else the first identifier of the line, else the line's start."""
     x = Lexical(spark, sf)
-    firsts = x.tokens.groupBy("doc_id", "line").agg(F.min("col").alias("f_col"))
-    r = _resolved(x).join(firsts, ["doc_id", "line"], "left")
+    firsts = x.occurrences().groupBy("doc_id", "line").agg(F.min("col").alias("f_col"))
+    r = x.positions().join(_resolved(x), ["doc_id", "line", "q_col"], "left").join(firsts, ["doc_id", "line"], "left")
     tier = F.when(F.col("token").isNotNull(), "index").when(F.col("f_col").isNotNull(), "line").otherwise("start")
     return r.select("doc_id", "line", "q_col", F.coalesce("t_doc", "doc_id").alias("t_doc"), F.coalesce("t_line", "line").alias("t_line"), F.coalesce("t_col", "f_col", F.lit(1)).cast("long").alias("t_col"), tier.alias("tier"))
 
 
-@query(LX + "SELECT o.doc_id, o.line, o.col, o.token FROM occ o WHERE o.is_decl AND regexp_matches(o.token, '^[A-Z]')")
+@query(R + "SELECT DISTINCT s.id_hash, p.src, p.file, p.line, p.col FROM sym s JOIN post p ON p.file = 'o' || (s.id_hash % 500) AND p.line = s.line % 8 AND p.target_id <> s.id_hash WHERE s.kind IN (1, 3)")
 def embedded_fields(spark, sf):
-    """Exported declarations that stand exactly where an occurrence of their name does."""
-    x = Lexical(spark, sf)
-    d = x.declared().select(F.col("d_doc").alias("doc_id"), F.col("d_line").alias("line"), F.col("d_col").alias("col"), "token")
-    return x.tokens.join(d, ["doc_id", "line", "col", "token"], "left_semi").where(F.col("token").rlike("^[A-Z]")).select("doc_id", "line", "col", "token")
+    """Fields that embed a type: those whose declared place is also a place where another symbol is referred to. Fields are
+    symbols of two kinds, their places are lines of order files."""
+    r = Relational(spark, sf)
+    fields = r.symbols().where("kind IN (1, 3)").select("id_hash", F.concat(F.lit("o"), (F.col("id_hash") % 500).cast("string")).alias("file"), (F.col("line") % 8).alias("line"))
+    return P.promoted(fields, r.postings(), ("file", "line")).select("id_hash", "src", "file", "line", "col").distinct()
+
+
+_SPANS = """, blk AS (SELECT doc_id, line, (line - 1) // 5 AS k FROM lines), outer_span AS (SELECT doc_id, k, min(line) AS start, max(line) + 1 AS stop FROM blk GROUP BY ALL)"""
+
+
+def _spans(x: Lexical) -> DataFrame:
+    """Functions of a document: blocks of five lines, with an inner one from each block's second line on."""
+    block = F.floor((F.col("line") - 1) / 5)
+    outer = x.lines().groupBy("doc_id", block.alias("k")).agg(F.min("line").alias("start"), (F.max("line") + 1).alias("stop"))
+    outer = outer.select("doc_id", "start", "stop", F.lit(0).alias("depth"), F.col("k").alias("name"))
+    return outer.unionByName(outer.where("stop - start > 1").select("doc_id", (F.col("start") + 1).alias("start"), "stop", F.lit(1).alias("depth"), (-F.col("name") - 1).alias("name")))
 
 
-@query(LX + "SELECT token, doc_id, (line - 1) // 5 AS block, count(*) AS n_calls, min(line) AS first_line FROM occ WHERE NOT is_decl AND token <> '' GROUP BY ALL")
+@query(LX + _SPANS + "SELECT token, o.doc_id, k AS caller, count(*) AS n_calls, min(o.line) AS first_line, min({'line': o.line, 'col': o.col}).col AS first_col FROM occ o JOIN outer_span s ON s.doc_id = o.doc_id AND s.start <= o.line AND o.line < s.stop WHERE NOT is_decl GROUP BY ALL")
 def incoming_calls(spark, sf):
-    """Callers are blocks of five lines, the outermost spans; a line is the inner one."""
-    refs = Lexical(spark, sf).occurrences().where("NOT is_decl").withColumn("block", F.floor((F.col("line") - 1) / 5))
-    return refs.groupBy("token", "doc_id", "block").agg(F.count("*").alias("n_calls"), F.min("line").alias("first_line"))
+    """Of each token the functions that refer to it, the outermost where they are nested, with their places in order."""
+    x = Lexical(spark, sf)
+    refs = x.occurrences().where("NOT is_decl").select("token", "doc_id", "line", "col", "end_col")
+    f = D.fold_calls(D.enclosing(refs, _spans(x)), ["token", "doc_id", "enclosing"])
+    first = F.get("ranges", F.lit(0))
+    return f.select("token", "doc_id", F.col("enclosing").alias("caller"), "n_calls", first["line"].alias("first_line"), first["col"].alias("first_col"))
 
 
 @query(LX + "SELECT doc_id, line // 5 AS caller, token, count(*) AS n_calls, min(col) AS first_col FROM (SELECT doc_id, line - 1 AS line, token, col FROM occ WHERE NOT is_decl) GROUP BY ALL")
@@ -313,8 +316,10 @@ def outgoing_calls(spark, sf):
 
 @query(LX + "SELECT doc_id, token, count(*) AS n, CAST(sum(CASE WHEN is_decl THEN 1 ELSE 0 END) AS BIGINT) AS writes, min(line) AS first_line FROM occ GROUP BY ALL")
 def highlight(spark, sf):
-    o = Lexical(spark, sf).occurrences()
-    return o.groupBy("doc_id", "token").agg(F.count("*").alias("n"), F.sum(F.col("is_decl").cast("long")).alias("writes"), F.min("line").alias("first_line"))
+    """Documents' tokens are counted first; the declaration is the one in the smallest of a token's documents."""
+    own = Lexical(spark, sf).by_document()
+    first = own.groupBy("token").agg(F.min("doc_id").alias("d_doc"))
+    return own.join(first, "token").select("doc_id", "token", "n", (F.col("doc_id") == F.col("d_doc")).cast("long").alias("writes"), F.col("line").alias("first_line"))
 
 
 @query(LX + """SELECT doc_id, line, col, line - coalesce(pl, 1) AS d_line, CASE WHEN line = coalesce(pl, 1) THEN col - coalesce(pc, 1) ELSE col - 1 END AS d_col
@@ -378,13 +383,21 @@ def document_links(spark, sf):
     return p.groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k, true AS enabled FROM events")
+@query("""SELECT event_id, s.key AS setting, coalesce(CASE s.key WHEN 'k' THEN own_k WHEN 'type' THEN own_type WHEN 'user' THEN own_user END, s.value) AS value, coalesce(own_on, true) AS enabled
+FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS own_k, CASE WHEN event_id % 3 = 0 THEN strlen(event_type) END AS own_type, CASE WHEN event_id % 2 = 0 THEN user_id END AS own_user, CASE WHEN event_id % 5 = 0 THEN event_type <> 'view' END AS own_on FROM events)
+CROSS JOIN (VALUES ('k', -1), ('type', -2), ('user', -3)) AS s(key, value)""")
 def json_settings(spark, sf):
-    """Settings of an event over the defaults."""
-    e = table(spark, sf, "events")
-    own = F.from_json("props", "map<string,long>")
-    merged = F.map_from_entries(F.concat(F.filter(F.array(F.struct(F.lit("k").alias("key"), F.lit(-1).cast("long").alias("value"))), lambda d: ~F.coalesce(F.map_contains_key(own, d["key"]), F.lit(False))), F.coalesce(F.map_entries(own), F.expr("array()"))))
-    return e.select("event_id", F.try_element_at(merged, F.lit("k")).alias("k"), F.lit(True).alias("enabled"))
+    """A client's settings over the defaults: each key that the client gives replaces the default, the others stay."""
+    given = F.filter(F.array(
+        F.concat(F.lit('"k":'), F.get_json_object("props", "$.k")),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"type":'), F.length("event_type").cast("string"))),
+        F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"user":'), F.col("user_id").cast("string"))),
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('"enabled":'), F.when(F.col("event_type") != "view", 1).otherwise(0).cast("string"))),
+    ), lambda x: x.isNotNull())
+    e = table(spark, sf, "events").select("event_id", F.concat(F.lit("{"), F.array_join(given, ","), F.lit("}")).alias("json"))
+    merged = e.select("event_id", X.merged_settings(F.col("json"), {"k": -1, "type": -2, "user": -3, "enabled": 1}).alias("m"))
+    rows = merged.select("event_id", F.explode("m").alias("setting", "value"), (F.col("m")["enabled"] == 1).alias("enabled"))
+    return rows.where("setting != 'enabled'")
 
 
 # graphs
@@ -426,15 +439,15 @@ def schedulable_deps(spark, sf):
 
 @query(GX + "SELECT seed, node FROM clo")
 def closure(spark, sf):
-    seeds = spark.createDataFrame([(s,) for s in SEEDS], "seed long")
-    return G.closure(seeds, Graph(spark, sf).edges)
+    g = Graph(spark, sf)
+    return G.closure(g.nodes.select(F.col("node").alias("seed")), g.edges)
 
 
 @query(GX + f", o AS (SELECT node, {_POS} AS pos FROM lev) SELECT seed, node, row_number() OVER (PARTITION BY seed ORDER BY pos) AS place FROM clo JOIN o USING (node) WHERE seed <> node")
 def ordered_closure(spark, sf):
     g = Graph(spark, sf)
     order = G.levels(g.nodes, g.prod).select("node", F.expr(_POS).alias("pos"))
-    c = G.ordered_closure(spark.createDataFrame([(s,) for s in SEEDS], "seed long"), g.edges, order)
+    c = G.ordered_closure(g.nodes.select(F.col("node").alias("seed")), g.edges, order)
     return c.select("seed", "node", F.row_number().over(Window.partitionBy("seed").orderBy("pos")).cast("long").alias("place"))
 
 
@@ -457,14 +470,15 @@ def content_hash(spark, sf):
     return C.content_keys(Relational(spark, sf).snapshot(True))
 
 
-@query(R + _KEYS + "SELECT unit, sha256('4|' || key || '|' || coalesce(deps, '')) AS key FROM ck LEFT JOIN (SELECT l_suppkey AS unit, string_agg(DISTINCT CAST(pkg_hash AS VARCHAR), ',' ORDER BY CAST(pkg_hash AS VARCHAR)) AS deps FROM lineitem JOIN def USING (l_partkey) WHERE pkg_hash < l_suppkey GROUP BY 1) USING (unit) WHERE is_new")
+_UNIT_KEY = """, key AS (SELECT u.node, sha256('4|' || u.own || '|' || coalesce(string_agg(d.dst || ':' || e.export, ',' ORDER BY d.dst || ':' || e.export), '')) AS key
+ FROM (SELECT * FROM unit WHERE is_new) u LEFT JOIN dep d ON d.src = u.node LEFT JOIN (SELECT * FROM unit WHERE is_new) e ON e.node = d.dst GROUP BY u.node, u.own) """
+
+
+@query(R + _UNIT_KEY + "SELECT node AS unit, key FROM key")
 def unit_key(spark, sf):
-    """Own content and the units before it that it depends on."""
+    """Own content and the export hashes of the units before it that it depends on."""
     r = Relational(spark, sf)
-    deps = r.postings().where("target_pkg < src").select(F.col("src").alias("unit"), F.col("target_pkg").cast("string").alias("d")).distinct()
-    deps = deps.groupBy("unit").agg(F.array_join(F.sort_array(F.collect_list("d")), ",").alias("deps"))
-    x = C.content_keys(r.snapshot(True)).join(deps, "unit", "left")
-    return x.select("unit", C.unit_key(4, F.col("key"), F.coalesce("deps", F.lit(""))).alias("key"))
+    return C.unit_keys(r.units(True), r.unit_edges()).withColumnRenamed("node", "unit")
 
 
 @query(R + """SELECT unit, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT unit, list(file ORDER BY file) FILTER (NOT is_new) AS o, list(file ORDER BY file) FILTER (is_new) AS n FROM snap GROUP BY unit) WHERE o IS DISTINCT FROM n""")
@@ -497,13 +511,31 @@ def build_stats(spark, sf):
     return _stale(spark, sf).agg(F.count("*").alias("units"), n(s == "key").alias("by_key"), n(s == "missing").alias("missing"), n(s == "none").alias("skipped"))
 
 
-@query(GX + """, exp AS (SELECT p_partkey AS node FROM part WHERE p_size % 2 = 0), redo(node) AS (SELECT s FROM (VALUES (CAST(5 AS BIGINT)), (7), (97), (194)) AS v(s) UNION SELECT e.src FROM redo r JOIN both_kinds e ON e.dst = r.node WHERE r.node IN (SELECT node FROM exp))
-SELECT node, level FROM redo JOIN lev USING (node)""")
+_PART_UNITS = f""", own AS (SELECT l_partkey AS node, CAST(max(l_quantity) FILTER (l_shipdate < TIMESTAMP '{SPLIT_DAY}') AS BIGINT) AS own0, CAST(max(l_quantity) FILTER (l_shipdate >= TIMESTAMP '{SPLIT_DAY}') AS BIGINT) AS own1 FROM lineitem GROUP BY 1),
+u AS (SELECT p_partkey AS node, sha256(coalesce(CAST(own0 AS VARCHAR), '')) AS own0, sha256(coalesce(CAST(own1 AS VARCHAR), '')) AS own1, p_brand AS exp0, p_brand || CASE WHEN p_size % 2 = 0 THEN '+' ELSE '' END AS exp1 FROM part LEFT JOIN own ON node = p_partkey),
+redo(node) AS (SELECT node FROM u WHERE own0 <> own1 UNION SELECT p.src FROM redo r JOIN u ON u.node = r.node AND u.exp0 <> u.exp1 JOIN prod p ON p.dst = r.node),
+eff AS (SELECT u.node, CASE WHEN r.node IS NULL THEN exp0 ELSE exp1 END AS export FROM u LEFT JOIN redo r ON r.node = u.node) """
+
+
+def _part_units(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Units before and after (node, own, export): a part's content is its largest quantity in a snapshot; the export of
+    parts of even size comes out different when they are built again."""
+    line, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    late = F.col("l_shipdate") >= F.lit(SPLIT_DAY).cast("timestamp_ntz")
+    most = lambda c: F.max(F.when(c, F.col("l_quantity"))).cast("long").cast("string")
+    own = part.join(line.groupBy(F.col("l_partkey").alias("p_partkey")).agg(most(~late).alias("own0"), most(late).alias("own1")), "p_partkey", "left")
+    unit = lambda c, export: own.select(F.col("p_partkey").alias("node"), F.sha2(F.coalesce(c, F.lit("")), 256).alias("own"), export.alias("export"))
+    return unit("own0", F.col("p_brand")), unit("own1", F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, "+").otherwise("")))
+
+
+@query(GX + _PART_UNITS + """SELECT r.node, l.level, sha256('4|' || u.own1 || '|' || coalesce(string_agg(e.node || ':' || e.export, ',' ORDER BY e.node || ':' || e.export), '')) AS key
+FROM redo r JOIN u ON u.node = r.node JOIN lev l ON l.node = r.node LEFT JOIN prod p ON p.src = r.node LEFT JOIN eff e ON e.node = p.dst GROUP BY r.node, l.level, u.own1""")
 def reindex_cutoff(spark, sf):
-    """Exports of parts of even size differ; the walk stops at the others."""
-    g = Graph(spark, sf)
-    exports = table(spark, sf, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("node"))
-    return C.cut_off(spark.createDataFrame([(s,) for s in SEEDS], "node long"), exports, g.edges, G.levels(g.nodes, g.prod))
+    """All units whose content differs between the snapshots are named; what follows are the users of exports that
+    really change, level by level, each with its new key."""
+    g, (before, after) = Graph(spark, sf), _part_units(spark, sf)
+    changed = before.join(after.withColumnRenamed("own", "now"), "node").where("own != now").select("node")
+    return C.reindex(changed, before, after, g.prod, G.levels(g.nodes, g.prod))
 
 
 @query("SELECT o_orderkey AS key, o_orderstatus <> 'F' AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 48 HOURS AS swept FROM orders")
@@ -513,12 +545,21 @@ def gc_sweep(spark, sf):
     return C.sweep(o, o.where("o_orderstatus = 'F'"), F.lit("1998-01-01").cast("timestamp_ntz")).select("key", "swept")
 
 
-@query(R + """, per AS (SELECT unit, bool_or(is_new) AS complete, list(DISTINCT file) AS imports FROM snap GROUP BY unit) SELECT unit FROM per WHERE complete AND NOT list_has_any(imports, [5, 7, 97, 194]) AND unit NOT IN (5, 7, 97, 194)""")
+@query(R + """, per AS (SELECT unit, bool_or(is_new) AS complete FROM snap GROUP BY unit) SELECT unit FROM per WHERE complete AND unit NOT IN (SELECT unit FROM changed) AND unit NOT IN (SELECT unit FROM snap WHERE file IN (SELECT unit FROM changed))""")
 def cache_invalidate(spark, sf):
+    """Entries that survive when all units of the snapshot diff have changed; a unit imports what its files name."""
     r = Relational(spark, sf)
     both = r.snapshot(False).withColumn("n", F.lit(False)).unionAll(r.snapshot(True).withColumn("n", F.lit(True)))
     cache = both.groupBy("unit").agg(F.bool_or("n").alias("complete"), F.collect_set("file").alias("imports"))
-    return C.survivors(cache, F.array(*[F.lit(s).cast("long") for s in SEEDS])).select("unit")
+    return C.survivors(cache, C.snapshot_diff(r.snapshot(False), r.snapshot(True))).select("unit")
+
+
+@query("SELECT l_partkey AS unit FROM lineitem WHERE l_quantity > 10 GROUP BY l_partkey HAVING NOT bool_or(l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)) AND l_partkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
+def cache_survivors(spark, sf):
+    """The same with parts as entries that import suppliers, of which those in debt have changed."""
+    line, debt = table(spark, sf, "lineitem").where("l_quantity > 10"), table(spark, sf, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("unit"))
+    cache = line.groupBy(F.col("l_partkey").alias("unit")).agg(F.collect_set("l_suppkey").alias("imports")).withColumn("complete", F.lit(True))
+    return C.survivors(cache, debt).select("unit")
 
 
 @query("SELECT user_id, event_id, CAST(sum(CAST(floor(value) AS BIGINT)) OVER w AS BIGINT) AS running, sum(CAST(floor(value) AS BIGINT)) OVER w <= 1000 AS kept FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id ROWS UNBOUNDED PRECEDING)")
@@ -537,7 +578,7 @@ def cleared_files(spark, sf):
 
 # change streams
 
-_E = "WITH e AS (SELECT event_id AS gen, user_id AS path, ts AS mtime, CAST(trunc(value) AS BIGINT) AS size, event_type = 'error' AS is_delete, event_type = 'signup' AS is_module, event_type FROM events)"
+_E = "WITH e AS (SELECT event_id AS gen, user_id AS path, ts AS mtime, CAST(trunc(value) AS BIGINT) AS size, CASE WHEN value < 200 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS hash, event_type = 'error' AS is_delete, event_type = 'signup' AS is_module, event_type FROM events)"
 
 
 @query(_E + """, f AS (SELECT *, CASE WHEN lag(mtime) OVER w IS NULL OR mtime - lag(mtime) OVER w >= INTERVAL 4 HOURS THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY path ORDER BY mtime, gen)),
@@ -546,9 +587,12 @@ def debounce_sessions(spark, sf):
     return T.sessions(changes(spark, sf), 4 * 3600, ["path"])
 
 
-@query(_E + "SELECT gen, path FROM (SELECT *, coalesce(lag(size) OVER w = size AND lag(mtime) OVER w = mtime AND NOT lag(is_delete) OVER w, false) AS same FROM e WINDOW w AS (PARTITION BY path ORDER BY mtime, gen)) WHERE is_delete OR NOT same")
+@query(_E + """, c AS (SELECT gen, path, date_trunc('day', mtime) AS mtime, size % 3 AS size, hash % 2 AS hash, is_delete FROM e),
+s AS (SELECT *, coalesce(lag(size) OVER w = size AND lag(mtime) OVER w = mtime AND lag(hash) OVER w = hash AND NOT lag(is_delete) OVER w, false) AS same FROM c WINDOW w AS (PARTITION BY path ORDER BY mtime, gen)) SELECT gen, path FROM s WHERE is_delete OR NOT same""")
 def watch_dedup(spark, sf):
-    return T.changed_only(changes(spark, sf)).select("gen", "path")
+    """Sizes, times and hashes are made coarse, so that there is something to drop."""
+    e = changes(spark, sf).withColumns({"mtime": F.date_trunc("day", "mtime"), "size": F.col("size") % 3, "hash": F.col("hash") % 2})
+    return T.changed_only(e).select("gen", "path")
 
 
 @query(_E + "SELECT path, max(gen) AS gen, arg_max(size, gen) AS size, arg_max(event_type, gen) AS event_type FROM e GROUP BY path")
@@ -563,12 +607,23 @@ def event_routing(spark, sf):
     return e.select("gen", T.route(F.col("is_delete"), F.col("is_module"), F.coalesce("known", F.lit(False))).alias("routed"))
 
 
+def _neighbours(spark, sf) -> DataFrame:
+    """(id, before, after): each text beside that of the document with the next id."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("before"))
+    return d.join(d.select((F.col("id") - 1).alias("id"), F.col("before").alias("after")), "id")
+
+
 @query()
 def line_diff(spark, sf):
-    """Edits that turn each text into that of the document with the next id; applied, they give it."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("before"))
-    after = d.select((F.col("id") - 1).alias("id"), F.col("before").alias("after"))
-    return D.diff_lines(d.join(after, "id"))
+    """Edits that turn each text into that of the document with the next id."""
+    return D.diff_lines(_neighbours(spark, sf))
+
+
+@query("SELECT a.doc_id AS id, sha256(coalesce(b.text, '')) AS after FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
+def line_diff_applied(spark, sf):
+    """The edits of line_diff, applied: they give the other text."""
+    p = _neighbours(spark, sf)
+    return D.apply_line_edits(p.select("id", "before"), D.diff_lines(p)).select("id", F.sha2("after", 256).alias("after"))
 
 
 # smaller operators of the inventory
@@ -595,9 +650,12 @@ def diagnostics_by_file(spark, sf):
     return e.groupBy(F.col("user_id").alias("file")).agg(F.count("*").alias("n"), F.sum((F.col("event_type") == "error").cast("long")).alias("errors"), F.min("ts").alias("first"))
 
 
-@query("SELECT swept, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS bytes FROM (SELECT *, o_orderstatus <> 'F' AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 48 HOURS AS swept FROM orders) GROUP BY swept")
+@query("SELECT swept, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT o_orderstatus <> 'F' AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 48 HOURS AS swept, CAST(floor(o_totalprice) AS BIGINT) AS bytes FROM orders) GROUP BY swept")
 def gc_totals(spark, sf):
-    return gc_sweep(spark, sf).groupBy("swept").agg(F.count("*").alias("n"), F.sum("key").alias("bytes"))
+    """Blobs and bytes that are swept and that stay; an order's price stands for its blob's size."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("mtime"), F.floor("o_totalprice").alias("bytes"), "o_orderstatus")
+    s = C.sweep(o, o.where("o_orderstatus = 'F'"), F.lit("1998-01-01").cast("timestamp_ntz"))
+    return s.groupBy("swept").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
 @query("SELECT user_id, arg_max(event_type, total) AS phase FROM (SELECT user_id, event_type, max(event_id) AS total FROM events GROUP BY ALL) GROUP BY user_id")
@@ -617,7 +675,7 @@ def single_flight(spark, sf):
 @query(_E + "SELECT DISTINCT path FROM e WHERE NOT is_module AND NOT is_delete")
 def dirty_units(spark, sf):
     """What a drain of the dirty set takes."""
-    return changes(spark, sf).where("NOT is_module AND NOT is_delete").select("path").distinct()
+    return T.drain(changes(spark, sf))
 
 
 @query("SELECT event_id, CAST(regexp_extract(line, '^PROGRESS ([0-9]+) ([0-9]+)$', 1) AS BIGINT) AS done, CAST(floor(CAST(regexp_extract(line, '^PROGRESS ([0-9]+) ([0-9]+)$', 1) AS DOUBLE) * 100 / 150000) AS BIGINT) AS percent FROM (SELECT event_id, 'PROGRESS ' || event_id || ' 150000' AS line FROM events)")
@@ -656,14 +714,17 @@ def file_to_unit(spark, sf):
     return L.file_units(c.select("file"), own, dirs).select(F.substring_index("file", "/", -1).cast("long").alias("file"), "unit")
 
 
-@query(R + ", o AS (SELECT unit, list(file ORDER BY file) AS f FROM snap WHERE NOT is_new GROUP BY unit), n AS (SELECT unit, list(file ORDER BY file) AS f FROM snap WHERE is_new GROUP BY unit) SELECT coalesce(o.unit, n.unit) AS unit, coalesce(o.f = n.f, false) AS same FROM o FULL JOIN n ON o.unit = n.unit")
+@query(f"""WITH f AS (SELECT l_suppkey AS unit, l_partkey % 8 AS path, l_shipdate >= TIMESTAMP '{SPLIT_DAY}' AS is_new, CAST(max(l_quantity) AS BIGINT) // 25 AS size, count(*) // 8 AS mtime FROM lineitem GROUP BY ALL),
+x AS (SELECT coalesce(o.unit, n.unit) AS unit, coalesce(o.size = n.size AND o.mtime = n.mtime, false) AS same FROM (SELECT * FROM f WHERE NOT is_new) o FULL JOIN (SELECT * FROM f WHERE is_new) n ON o.unit = n.unit AND o.path = n.path)
+SELECT unit, bool_and(same) AS same FROM x GROUP BY unit""")
 def stat_equality(spark, sf):
-    """Whether a unit's stored stats equal the current ones: as many files, each equal."""
+    """Whether a unit's stored stats equal the current ones: as many files, each of equal size and time. A unit has eight
+    files; sizes and times come from the snapshots, made coarse so that some units are equal."""
     from refloom.sources.files import same_stats
 
-    r = Relational(spark, sf)
-    stat = lambda new: r.snapshot(new).select("unit", F.col("file").alias("path"), F.lit(0).alias("size"), F.lit(0).alias("mtime"))
-    return same_stats(stat(False), stat(True))
+    line, day = table(spark, sf, "lineitem"), F.lit(SPLIT_DAY).cast("timestamp_ntz")
+    part = lambda when: line.where(when).groupBy(F.col("l_suppkey").alias("unit"), (F.col("l_partkey") % 8).alias("path")).agg(F.floor(F.max("l_quantity").cast("long") / 25).alias("size"), F.floor(F.count("*") / 8).alias("mtime"))
+    return same_stats(part(F.col("l_shipdate") < day), part(F.col("l_shipdate") >= day))
 
 
 @query("SELECT p_partkey, p_type AS kind, (p_type = 'SMALL' OR starts_with(p_type, 'SMALL.') OR p_type = 'PROMO') AS requested FROM part")
@@ -686,14 +747,12 @@ def marks_union(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("mark")).union(table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey")).distinct()
 
 
-@query(R + "SELECT q.iface, q.name, e.type_id FROM req q JOIN ent e ON e.name = q.name AND e.fp = q.fp AND q.fp <> 0 JOIN ok o ON o.iface = q.iface AND o.type_id = e.type_id WHERE q.name = (SELECT min(name) FROM req)")
+@query(R + "SELECT DISTINCT q.iface, q.name, o.type_id FROM ok o JOIN req q ON q.iface = o.iface")
 def method_interfaces(spark, sf):
-    """Interface methods of one name that a type's method satisfies: candidates by that name alone, then division."""
+    """Of every method of a type the interface methods that it satisfies."""
     r = Relational(spark, sf)
-    req, own = r.requirements(), r.methods()
-    name = req.agg(F.min("name")).first()[0]
-    near = req.where((F.col("name") == name) & (F.col("fp") != 0)).join(own, ["name", "fp"]).select("iface", "name", "type_id")
-    return near.join(M.confirmed(req.join(near.select("iface").distinct(), "iface", "left_semi"), own), ["iface", "type_id"], "left_semi").select("iface", "name", "type_id")
+    ok = M.confirmed(r.requirements(), r.methods())
+    return ok.join(r.requirements().select("iface", "name").distinct(), "iface").select("iface", "name", "type_id")
 
 
 @query(LX + "SELECT doc_id, line, count(*) AS n, CAST(sum(end_col - col) AS BIGINT) AS width, CAST(sum(CASE WHEN is_decl THEN 1 ELSE 0 END) AS BIGINT) AS decls FROM occ GROUP BY ALL")
@@ -710,102 +769,4 @@ def folding_ranges(spark, sf):
     return x.where("stop_line > start_line").groupBy(F.col("file").alias("doc_id")).agg(F.count("*").alias("blocks"), F.sum(F.col("stop_line") - F.col("start_line")).alias("folded"))
 
 
-# method relations of all orders; no SQL, the tests hold them against brute force
-
-
-@query()
-def whole_method_entries(spark, sf):
-    r = Relational(spark, sf, whole=True)
-    return M.entries(r.methods(), r.supplier.where("s_acctbal >= 0").select(F.col("s_suppkey").alias("type_id")), r.requirements().select("name"))
-
-
-@query()
-def whole_candidates_all(spark, sf):
-    r = Relational(spark, sf, whole=True)
-    return M.candidates_all(r.requirements(), r.methods())
-
-
-@query()
-def whole_candidates_any(spark, sf):
-    r = Relational(spark, sf, whole=True)
-    return M.candidates_any(r.requirements(), r.methods())
-
-
-@query()
-def whole_implementers(spark, sf):
-    r = Relational(spark, sf, whole=True)
-    return M.confirmed(r.requirements(), r.methods())
-
-
-@query()
-def whole_satisfied_interfaces(spark, sf):
-    return whole_implementers(spark, sf).groupBy("type_id").agg(F.count("*").alias("n"), F.min("iface").alias("least"), F.max("iface").alias("most"))
-
-
-@query()
-def whole_supertypes(spark, sf):
-    return M.embedding(Relational(spark, sf, whole=True).requirements()).select("sub", "sup")
-
-
-@query()
-def whole_subtypes(spark, sf):
-    r = Relational(spark, sf, whole=True)
-    return M.subtypes(r.requirements(), r.methods())
-
-
-@query()
-def whole_type_hierarchy_order(spark, sf):
-    w = Window.partitionBy("sup").orderBy("is_interface", "sub")
-    return whole_subtypes(spark, sf).withColumn("place", F.row_number().over(w).cast("long"))
-
-
-@query()
-def whole_method_implementations(spark, sf):
-    r = Relational(spark, sf, whole=True)
-    return M.method_pairs(r.requirements(), r.methods()).select("iface", "type_id", "name", "fp")
-
-
-@query()
-def whole_method_interfaces(spark, sf):
-    """Interface methods of every name that a type's method satisfies."""
-    return whole_method_implementations(spark, sf).select("iface", "name", "type_id").distinct()
-
-
-# closures of all nodes, cut-off and invalidation for all changed units; no SQL either
-
-
-def _changed(spark, sf) -> DataFrame:
-    return changed_export_set(spark, sf).select("unit")
-
-
-@query()
-def whole_closure(spark, sf):
-    g = Graph(spark, sf)
-    return G.closure(g.nodes.select(F.col("node").alias("seed")), g.edges)
-
-
-@query()
-def whole_ordered_closure(spark, sf):
-    g = Graph(spark, sf)
-    order = G.levels(g.nodes, g.prod).select("node", F.expr(_POS).alias("pos"))
-    c = G.ordered_closure(g.nodes.select(F.col("node").alias("seed")), g.edges, order)
-    return c.select("seed", "node", F.row_number().over(Window.partitionBy("seed").orderBy("pos")).cast("long").alias("place"))
-
-
-@query()
-def whole_reindex_cutoff(spark, sf):
-    """The nodes named like a changed unit are processed again, and what follows from them."""
-    g = Graph(spark, sf)
-    exports = table(spark, sf, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("node"))
-    changed = _changed(spark, sf).select(F.col("unit").alias("node")).join(g.nodes.select("node"), "node", "left_semi")
-    return C.cut_off(changed, exports, g.edges, G.levels(g.nodes, g.prod))
-
-
-@query()
-def whole_cache_invalidate(spark, sf):
-    """Units that survive when all units of the snapshot diff have changed."""
-    r = Relational(spark, sf)
-    both = r.snapshot(False).withColumn("n", F.lit(False)).unionAll(r.snapshot(True).withColumn("n", F.lit(True)))
-    changed = _changed(spark, sf)
-    hit = both.join(changed.select(F.col("unit").alias("file")), "file", "left_semi").select("unit")
-    return both.groupBy("unit").agg(F.bool_or("n").alias("complete")).where("complete").join(hit.unionAll(changed), "unit", "left_anti").select("unit")
+from refloom.plans import features  # noqa: E402, F401  registers its queries

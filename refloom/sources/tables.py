@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from refloom.functions.text import running_sums
+from refloom.sources.scratch import materialize
+
 SCHEMAS = {
     "node": "pkg_path STRING, name STRING, dir STRING, files ARRAY<STRING>, imports ARRAY<STRING>, test_imports ARRAY<STRING>, for_test STRING, is_root BOOLEAN",
     "edge": "src STRING, dst STRING, kind STRING",
@@ -21,7 +24,9 @@ SCHEMAS = {
     "posting": "target_pkg_hash BIGINT, target_id_hash BIGINT, src_pkg_hash BIGINT, file STRING, line INT, col INT, end_col INT",
     "document": "uri STRING, version INT, text STRING",
 }
+KINDS = ("func", "method", "type", "interface", "field", "var", "const", "package")  #: a symbol's kind is its place here
 SPLIT_DAY = "1998-05-24"  #: between the old and the new snapshot of the version adapter
+HASHED = 200  #: size below which the change adapter has a hash
 IDENT = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
@@ -34,13 +39,11 @@ def fingerprint(size: Column) -> Column:
 
 
 class Relational:
-    """Units are suppliers, symbols are parts, postings are order lines, interfaces are every fiftieth order, or with
-    `whole` all orders."""
+    """Units are suppliers, symbols are parts, postings are order lines, interfaces are orders."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str):
         self.line, self.part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
         self.supplier, self.orders = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "orders")
-        self.whole = whole
 
     def symbols(self) -> DataFrame:
         kinds = self.part.select("p_type").distinct().select("p_type", (F.dense_rank().over(Window.orderBy("p_type")) - 1).cast("long").alias("kind"))
@@ -66,8 +69,7 @@ class Relational:
         return self._used().select("name", F.col("l_suppkey").alias("type_id"), "fp").distinct()
 
     def requirements(self) -> DataFrame:
-        used = self._used() if self.whole else self._used().where("l_orderkey % 50 = 0")
-        return used.select(F.col("l_orderkey").alias("iface"), "name", "fp").distinct()
+        return self._used().select(F.col("l_orderkey").alias("iface"), "name", "fp").distinct()
 
     def snapshot(self, new: bool) -> DataFrame:
         """(unit, file): files of a supplier's unit in the old or the new snapshot."""
@@ -75,29 +77,26 @@ class Relational:
         when = F.col("l_shipdate") >= day if new else F.col("l_shipdate") < day
         return self.line.where(when).select(F.col("l_suppkey").alias("unit"), F.col("l_partkey").alias("file")).distinct()
 
+    def units(self, new: bool) -> DataFrame:
+        """(node, own, export): a unit's hash over its files, and that over the files it exports, of parts of even size."""
+        files = self.snapshot(new).join(self.part.select(F.col("p_partkey").alias("file"), (F.col("p_size") % 2 == 0).alias("out")), "file")
+        joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ","), 256)
+        name = F.col("file").cast("string")
+        return files.groupBy(F.col("unit").alias("node")).agg(joined(name).alias("own"), joined(F.when(F.col("out"), name)).alias("export"))
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, unit, line, col, end_col, token): identifiers with lines and byte columns. Offsets aren't
-    among the built-in regular-expression functions; one pass over the bytes of a text gives them."""
-
-    def fill(batches):
-        import re
+    def unit_edges(self) -> DataFrame:
+        """(src, dst): a unit depends on the units before it whose symbols it uses."""
+        return self.postings().where("target_pkg < src").select("src", F.col("target_pkg").alias("dst")).distinct()
 
-        import pandas as pd
 
-        ident = re.compile(IDENT.encode())
-        for b in batches:
-            rows = []
-            for i, u, t in zip(b["doc_id"].tolist(), b["source"], b["text"]):
-                for n, line in enumerate((t or "").encode().split(b"\n"), 1):
-                    rows += [(i, u, n, m.start() + 1, m.end() + 1, m.group().decode()) for m in ident.finditer(line)]
-                if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
-
-    names = ["doc_id", "unit", "line", "col", "end_col", "token"]
-    return docs.select("doc_id", "source", "text").mapInPandas(fill, "doc_id long, unit string, line long, col long, end_col long, token string")
+def tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, unit, line, col, end_col, token): identifiers with lines and byte columns. What stands between the
+    tokens of a line gives their offsets; a row makes its own tokens, nothing is shuffled."""
+    lines = docs.select("doc_id", F.col("source").alias("unit"), F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    cut = lines.select("doc_id", "unit", (F.col("n") + 1).cast("long").alias("line"), F.regexp_extract_all("text", F.lit(IDENT), F.lit(0)).alias("t"), F.split("text", IDENT, -1).alias("g")).where(F.size("t") > 0)
+    size = F.zip_with(F.slice("g", F.lit(1), F.size("t")), F.col("t"), lambda gap, tok: (F.octet_length(gap) + F.octet_length(tok)).cast("long"))
+    rows = cut.select("doc_id", "unit", "line", "t", running_sums(size, 1).alias("e")).select("doc_id", "unit", "line", F.explode(F.arrays_zip("t", "e")).alias("x"))
+    return rows.select("doc_id", "unit", "line", (F.col("x.e") - F.octet_length("x.t")).alias("col"), F.col("x.e").alias("end_col"), F.col("x.t").alias("token"))
 
 
 class Lexical:
@@ -106,15 +105,27 @@ class Lexical:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
         self.tokens = tokens(self.docs)
+        self._written: DataFrame | None = None
+
+    def by_document(self) -> DataFrame:
+        """(doc_id, token, n, line, col): a document's tokens with their number and first place."""
+        place = F.min(F.col("line") * (1 << 31) + F.col("col")).alias("p")
+        own = self.tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"), place)
+        return own.select("doc_id", "token", "n", F.floor(F.col("p") / (1 << 31)).alias("line"), (F.col("p") % (1 << 31)).alias("col"))
 
     def declared(self) -> DataFrame:
-        """(token, d_doc, d_line, d_col): partial minima, one row for a token."""
-        first = self.tokens.groupBy("token").agg(F.min(F.struct("doc_id", "line", "col")).alias("f"))
+        """(token, d_doc, d_line, d_col): documents have their own first places before the tokens' ones are found, so
+        that a common token comes once from each document."""
+        first = self.by_document().groupBy("token").agg(F.min(F.struct("doc_id", "line", "col")).alias("f"))
         return first.select("token", F.col("f.doc_id").alias("d_doc"), F.col("f.line").alias("d_line"), F.col("f.col").alias("d_col"))
 
     def occurrences(self) -> DataFrame:
-        here = (F.col("doc_id") == F.col("d_doc")) & (F.col("line") == F.col("d_line")) & (F.col("col") == F.col("d_col"))
-        return self.tokens.join(self.declared(), "token").withColumn("is_decl", here)
+        """Tokens with the place of their declaration, written once: of a token's declaration only its first place is
+        looked up, for each document, and documents meet their tokens by id."""
+        if self._written is None:
+            here = (F.col("doc_id") == F.col("d_doc")) & (F.col("line") == F.col("d_line")) & (F.col("col") == F.col("d_col"))
+            self._written = materialize(self.tokens.join(self.declared(), "token").withColumn("is_decl", here), "occurrences")
+        return self._written
 
     def lines(self) -> DataFrame:
         return self.docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).select("doc_id", (F.col("n") + 1).cast("long").alias("line"), "text")
@@ -140,6 +151,6 @@ class Graph:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change events: (gen, path, mtime, size, is_delete, is_module, value)."""
+    """Change events: (gen, path, mtime, size, hash, is_delete, is_module, event_type); large files aren't hashed."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("gen"), F.col("user_id").alias("path"), F.col("ts").alias("mtime"), F.col("value").cast("long").alias("size"), (F.col("event_type") == "error").alias("is_delete"), (F.col("event_type") == "signup").alias("is_module"), "event_type")
+    return e.select(F.col("event_id").alias("gen"), F.col("user_id").alias("path"), F.col("ts").alias("mtime"), F.col("value").cast("long").alias("size"), F.when(F.col("value") < HASHED, F.get_json_object("props", "$.k").cast("long")).alias("hash"), (F.col("event_type") == "error").alias("is_delete"), (F.col("event_type") == "signup").alias("is_module"), "event_type")

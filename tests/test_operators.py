@@ -78,8 +78,10 @@ def test_cut_off_stops_at_equal_exports(spark):
     e = edges(spark, [("mid", "leaf", "prod"), ("top", "mid", "prod"), ("top", "leaf", "prod")])
     lv = spark.createDataFrame([("leaf", 0), ("mid", 1), ("top", 2)], "node string, level int")
     leaf = spark.createDataFrame([("leaf",)], "node string")
-    assert rows(C.cut_off(leaf, leaf.limit(0), e, lv), "node") == [("leaf",)]
-    assert rows(C.cut_off(leaf, leaf, e, lv), "node") == [("leaf",), ("mid",), ("top",)]
+    units = lambda own, export: spark.createDataFrame([("leaf", own, export), ("mid", "m", "e"), ("top", "t", "e")], "node string, own string, export string")
+    redo = lambda own, export: rows(C.reindex(leaf, units("o", "e"), units(own, export), e, lv), "node")
+    assert redo("new", "e") == [("leaf",)]
+    assert redo("new", "f") == [("leaf",), ("mid",), ("top",)]
 
 
 def test_revalidate_and_actions(spark):
@@ -97,7 +99,7 @@ def test_unsigned_order_and_limits(spark):
     assert [r.id_hash for r in L.workspace_symbol(s, "").collect()] == [5, -1, 1]
     assert L.import_candidates(s, "A", F.lit(2), [0], limit=1).count() == 0  # the limit comes before the filter
     assert L.import_candidates(s, "A", F.lit(2), [0], limit=2).count() == 1
-    assert rows(L.name_prefix(s, "A"), "name_lower") == [("a",)]
+    assert rows(L.name_prefix(s, spark.createDataFrame([("A",)], "prefix string")), "name_lower") == [("a",)]
 
 
 def test_rank_prefix(spark):
@@ -154,7 +156,7 @@ def test_document_transforms(spark):
     spans = spark.createDataFrame([(1, 1, 10, 0, "outer"), (1, 3, 5, 1, "inner")], "doc_id long, start int, stop int, depth int, name string")
     assert D.enclosing(spark.createDataFrame([(1, 4)], "doc_id long, line int"), spans).first().enclosing == "outer"
     sy = spark.createDataFrame([("a", 1, "run", "func", None), ("a", 2, "T", "type", None), ("a", 3, "M", "method", "T"), ("a", 4, "N", "method", "U"), ("a", 5, "_", "var", None)], "file string, seq long, name string, kind string, parent string")
-    assert [(x.name, x.depth) for x in D.outline(sy).collect()] == [("T", 0), ("M", 1), ("run", 0), ("N", 0)]
+    assert [(x.name, x.depth) for x in D.outline(sy).orderBy("place").collect()] == [("T", 0), ("M", 1), ("run", 0), ("N", 0)]
     fn = spark.createDataFrame([("a_test.go", "TestX", "*testing.T"), ("a_test.go", "Testing", "*testing.T"), ("a.go", "TestX", "*testing.T"), ("a_test.go", "Benchmark", "*testing.B")], "file string, name string, param string")
     assert rows(D.test_lenses(fn), "name", "lens") == [("Benchmark", "benchmark"), ("TestX", "test")]
     assert D.folding(spark.createDataFrame([("a", 1, 1), ("a", 2, 5)], "file string, start_line int, stop_line int")).count() == 1
@@ -171,3 +173,65 @@ def test_graph_load_takes_ordinary_packages_first(spark):
     nodes, e = G.load(p)
     assert rows(nodes) == [("a",), ("a_test",)]
     assert rows(e, "src", "dst", "kind") == [("a", "t", "test"), ("a", "u", "test"), ("a", "x", "prod"), ("a_test", "a", "prod")]
+
+
+def test_more_text_functions(spark):
+    one = spark.range(1)
+    get = lambda c: one.select(c).first()[0]
+    assert [get(X.clean_path(F.lit(p))) for p in ("/a/./b//../c/", "a/../../b", "/..", "")] == ["/a/c", "b", "/", ""]
+    assert get(X.absolute(F.lit("x/../y"), "/w")) == "/w/y" and get(X.inside(F.lit("/w/../v"), "/w")) is False and get(X.inside(F.lit("/w/./x"), "/w"))
+    assert get(X.word_places(F.lit("foo xfoo foo. éfoo foo"), F.lit("foo"))) == [1, 10, 17, 21] and get(X.word_places(F.lit("none"), F.lit("foo"))) == []
+    long = " ".join(["foo"] * 300)
+    assert get(X.word_places(F.lit(long), F.lit("foo"))) == [1 + 4 * k for k in range(300)]
+    assert get(X.receiver(F.lit("(*T).M"))) == "T" and get(X.receiver(F.lit("T.M"))) == "T" and get(X.receiver(F.lit("f"))) is None
+    assert tuple(get(X.diagnostic(F.lit('"a/b" imported and not used')))) == ("unused-import", "a/b", "warning")
+    assert get(X.generic_name(F.lit("example.com/a-b/v3"))) == "a_b" and get(X.generic_name(F.lit("v2"))) == "_"
+    assert get(X.merged_settings(F.lit('{"a": 5, "c": 1}'), {"a": 1, "b": 2})) == {"a": 5, "b": 2} and get(X.merged_settings(F.lit("broken"), {"a": 1})) == {"a": 1}
+    assert get(X.memory_limit(F.lit(10), 0.5, 7)) == 7 and get(X.memory_limit(F.lit(100), 0.5, 7)) == 50
+
+
+def test_tails_keep_whole_characters(spark):
+    one = spark.range(1)
+    for n in range(1, 12):
+        s = "aé𝄞b" * 3
+        got = one.select(X.tail(F.lit(s), n)).first()[0]
+        want = s.encode()[-n:].decode(errors="ignore")
+        assert got == "[truncated]\n" + want
+
+
+def test_completion_order_and_chain(spark):
+    s = spark.createDataFrame([("u", "Foo"), ("u", "foo"), ("u", "bar"), ("v", "foo")], "scope string, label string")
+    asked = spark.createDataFrame([("u", "fo")], "scope string, prefix string")
+    assert rows(L.completions(asked, s), "sort_text") == [("0foo",), ("1Foo",)]
+    q = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    tiers = [("a", spark.createDataFrame([(1, "x")], "k long, answer string")), ("b", spark.createDataFrame([(1, "y"), (2, "z")], "k long, answer string"))]
+    assert rows(L.chain(q, ["k"], tiers), "k", "answer", "tier") == [(1, "x", "a"), (2, "z", "b")]
+
+
+def test_first_symbol_of_an_id(spark):
+    s = spark.createDataFrame([(1, 10, "late", 9), (1, 10, "first", 2)], "pkg_hash long, id_hash long, name string, seq int")
+    assert rows(L.symbol_by_id(spark.createDataFrame([(1, 10)], "pkg_hash long, id_hash long"), s), "name") == [("first",)]
+
+
+def test_failures_go_upwards(spark):
+    e = spark.createDataFrame([(2, 1), (3, 2), (4, 9)], "src long, dst long")
+    assert rows(C.failed_upwards(spark.createDataFrame([(1,), (2,)], "node long"), e), "node", "cause") == [(2, 1), (3, 1)]
+    pins = spark.createDataFrame([("u", 1, 3, 60, False), ("u", 2, 2, 50, True), ("u", 3, 1, 90, True)], "who string, entry int, last_used int, size int, pinned boolean")
+    assert {r.entry: r.kept for r in C.budget(pins, ["who"], 100).collect()} == {1: False, 2: True, 3: True}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from refloom.sources import scratch
+
+    class Conf(dict):
+        def get(self, k, d=None):
+            return dict.get(self, k, d)
+
+    session = lambda master, **conf: SimpleNamespace(conf=Conf(conf), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.root(session("spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        scratch.root(session("local-cluster[2,1,1024]"))
+    assert scratch.root(session("local[2]")).startswith("file://") and scratch.root(session("yarn", **{"spark.checkpoint.dir": "hdfs://x"})) == "hdfs://x"
