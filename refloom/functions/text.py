@@ -134,19 +134,30 @@ def generic_name(path: Column) -> Column:
     return F.when(F.coalesce(F.length(name), F.lit(0)) == 0, F.lit("_")).otherwise(name)
 
 
-BLOCK = 64  #: numbers that are summed up together
+BLOCK = 128  #: numbers that are summed up together
+
+
+def _short_sums(lengths: Column, start: Column) -> Column:
+    """start plus the running sums. They are gathered in a text, which grows by a copy of bytes; an array would be
+    built anew from boxed numbers at each step."""
+    zero = F.struct(start.cast("long").alias("at"), F.lit("").alias("s"))
+    step = lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["s"], (a["at"] + v).cast("string"), F.lit(",")).alias("s"))
+    text = F.aggregate(lengths, zero, step, lambda a: a["s"])
+    return F.transform(F.filter(F.split(text, ","), lambda x: x != ""), lambda x: x.cast("long"))
 
 
 def running_sums(lengths: Column, start: int = 0) -> Column:
-    """start plus the running sums of an array, by blocks, so that the work is far from the square of its size."""
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(lengths) - 1) / BLOCK), F.lit(0))), lambda b: F.slice(lengths, (b * BLOCK + 1).cast("int"), F.lit(BLOCK)))
-    add = lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["ends"], F.array(s["at"] + v)).alias("ends"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("ends"))
-    inner = F.transform(blocks, lambda x: F.aggregate(x, zero, add, lambda s: s["ends"]))
-    shift = lambda s, e: F.struct((s["at"] + F.coalesce(F.try_element_at(e, F.lit(-1)), F.lit(0))).alias("at"), F.concat(s["ends"], F.array(s["at"])).alias("ends"))
-    first = F.struct(F.lit(start).cast("long").alias("at"), F.array().cast("array<long>").alias("ends"))
-    shifts = F.aggregate(inner, first, shift, lambda s: s["ends"])
-    return F.flatten(F.zip_with(inner, shifts, lambda e, by: F.transform(e, lambda x: x + by)))
+    """start plus the running sums of an array; a long one is summed by blocks, so the work is far from its square."""
+    zero = F.lit(0).cast("long")
+
+    def long(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK)), lambda b: F.slice(x, (b * BLOCK + 1).cast("int"), F.lit(BLOCK)))
+        totals = F.transform(blocks, lambda y: F.aggregate(y, zero, lambda a, v: a + v))
+        before = F.concat(F.array(zero), _short_sums(totals, zero))
+        return F.flatten(F.zip_with(blocks, before, lambda y, by: F.when(y.isNotNull(), _short_sums(y, by + start)).otherwise(F.array().cast("array<long>"))))
+
+    # one element of an array around it, so that the lengths are worked out once
+    return F.get(F.transform(F.array(lengths), lambda x: F.when(F.size(x) <= BLOCK, _short_sums(x, F.lit(start))).otherwise(long(x))), F.lit(0))
 
 
 def word_places(line: Column, word: Column) -> Column:

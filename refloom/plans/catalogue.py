@@ -225,11 +225,11 @@ def method_implementations(spark, sf):
 
 
 def _refs(x: Lexical) -> DataFrame:
-    return x.occurrences().where("NOT is_decl").select("doc_id", "line", "col", "end_col", "token", "d_doc", "d_line", "d_col")
+    return x.occurrences_near(x.positions()).where("NOT is_decl").select("doc_id", "line", "col", "end_col", "token", "d_doc", "d_line", "d_col")
 
 
 def _decls(x: Lexical) -> DataFrame:
-    return x.occurrences().where("is_decl").select("doc_id", "line", "col", "end_col", "token")
+    return x.occurrences_near(x.positions()).where("is_decl").select("doc_id", "line", "col", "end_col", "token")
 
 
 @query(LX + "SELECT doc_id, line, q_col, r.token AS token, r.col AS col FROM refhit")
@@ -246,7 +246,7 @@ def symbol_at_position(spark, sf):
 
 def _resolved(x: Lexical) -> DataFrame:
     """Every position with what stands there, or nulls."""
-    hit = L.resolve_at(x.positions(), x.occurrences().select("doc_id", "line", "col", "end_col", "is_decl", "token", "d_doc", "d_line", "d_col"), "token", "d_doc", "d_line", "d_col")
+    hit = L.resolve_at(x.positions(), x.occurrences_near(x.positions()).select("doc_id", "line", "col", "end_col", "is_decl", "token", "d_doc", "d_line", "d_col"), "token", "d_doc", "d_line", "d_col")
     return hit.select("doc_id", "line", "q_col", "token", F.col("d_doc").alias("t_doc"), F.col("d_line").alias("t_line"), F.col("d_col").alias("t_col"))
 
 
@@ -271,7 +271,7 @@ SELECT r.doc_id, r.line, r.q_col, coalesce(t_doc, r.doc_id) AS t_doc, coalesce(t
 def definition_fallback(spark, sf):
     """The index, else the first identifier of the line, else the line's start."""
     x = Lexical(spark, sf)
-    firsts = x.occurrences().groupBy("doc_id", "line").agg(F.min("col").alias("f_col"))
+    firsts = x.written().groupBy("doc_id", "line").agg(F.min("col").alias("f_col"))
     r = x.positions().join(_resolved(x), ["doc_id", "line", "q_col"], "left").join(firsts, ["doc_id", "line"], "left")
     tier = F.when(F.col("token").isNotNull(), "index").when(F.col("f_col").isNotNull(), "line").otherwise("start")
     return r.select("doc_id", "line", "q_col", F.coalesce("t_doc", "doc_id").alias("t_doc"), F.coalesce("t_line", "line").alias("t_line"), F.coalesce("t_col", "f_col", F.lit(1)).cast("long").alias("t_col"), tier.alias("tier"))

@@ -378,7 +378,7 @@ def definition_chain(spark, sf):
     """Where a definition is sought when the index has none: builtins, package names, the same package, a dependency."""
     x = Lexical(spark, sf)
     keys = ["doc_id", "line", "q_col"]
-    hit = L.resolve_at(x.positions(), x.occurrences().select("doc_id", "line", "col", "end_col", "is_decl", "token", "unit", "d_doc"), "token", "unit", "d_doc")
+    hit = L.resolve_at(x.positions(), x.occurrences_near(x.positions()).select("doc_id", "line", "col", "end_col", "is_decl", "token", "unit", "d_doc"), "token", "unit", "d_doc")
     hit = hit.join(x.docs.select(F.col("doc_id").alias("d_doc"), F.col("source").alias("d_unit")), "d_doc").withColumn("answer", F.col("token"))
     packages = x.docs.select(F.col("source").alias("token")).distinct()
     tiers = [("builtin", hit.where(F.col("token").isin("the", "and", "of", "de", "la"))), ("package", hit.join(packages, "token", "left_semi")), ("same package", hit.where("d_unit = unit")), ("dependency", hit.where("d_unit != unit"))]

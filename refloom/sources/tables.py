@@ -105,27 +105,49 @@ class Lexical:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
         self.tokens = tokens(self.docs)
-        self._written: DataFrame | None = None
+        self._tokens: DataFrame | None = None
+        self._known: DataFrame | None = None
+        self._occurrences: DataFrame | None = None
 
-    def by_document(self) -> DataFrame:
+    def written(self) -> DataFrame:
+        """The tokens, written once for the questions that look at them more than once."""
+        if self._tokens is None:
+            self._tokens = materialize(self.tokens, "tokens")
+        return self._tokens
+
+    def by_document(self, tokens: DataFrame | None = None) -> DataFrame:
         """(doc_id, token, n, line, col): a document's tokens with their number and first place."""
         place = F.min(F.col("line") * (1 << 31) + F.col("col")).alias("p")
-        own = self.tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"), place)
+        own = (self.tokens if tokens is None else tokens).groupBy("doc_id", "token").agg(F.count("*").alias("n"), place)
         return own.select("doc_id", "token", "n", F.floor(F.col("p") / (1 << 31)).alias("line"), (F.col("p") % (1 << 31)).alias("col"))
 
-    def declared(self) -> DataFrame:
+    def declared(self, own: DataFrame | None = None) -> DataFrame:
         """(token, d_doc, d_line, d_col): documents have their own first places before the tokens' ones are found, so
         that a common token comes once from each document."""
-        first = self.by_document().groupBy("token").agg(F.min(F.struct("doc_id", "line", "col")).alias("f"))
+        own = self.by_document() if own is None else own
+        first = own.groupBy("token").agg(F.min(F.struct("doc_id", "line", "col")).alias("f"))
         return first.select("token", F.col("f.doc_id").alias("d_doc"), F.col("f.line").alias("d_line"), F.col("f.col").alias("d_col"))
 
+    def marked(self, tokens: DataFrame) -> DataFrame:
+        """tokens (doc_id, line, col, token, ...) with the place of their declaration. Declarations come to documents by
+        token, once for each document that has it, and from there to the tokens by document and token: no key is as
+        common as a token is."""
+        if self._known is None:
+            own = materialize(self.by_document(self.written()).select("doc_id", "token", "line", "col"), "own")
+            self._known = own.select("doc_id", "token").join(self.declared(own), "token")
+        here = (F.col("doc_id") == F.col("d_doc")) & (F.col("line") == F.col("d_line")) & (F.col("col") == F.col("d_col"))
+        return tokens.join(self._known, ["doc_id", "token"]).withColumn("is_decl", here)
+
     def occurrences(self) -> DataFrame:
-        """Tokens with the place of their declaration, written once: of a token's declaration only its first place is
-        looked up, for each document, and documents meet their tokens by id."""
-        if self._written is None:
-            here = (F.col("doc_id") == F.col("d_doc")) & (F.col("line") == F.col("d_line")) & (F.col("col") == F.col("d_col"))
-            self._written = materialize(self.tokens.join(self.declared(), "token").withColumn("is_decl", here), "occurrences")
-        return self._written
+        """All tokens with their declarations, written once."""
+        if self._occurrences is None:
+            self._occurrences = materialize(self.marked(self.written()), "occurrences")
+        return self._occurrences
+
+    def occurrences_near(self, positions: DataFrame) -> DataFrame:
+        """The tokens that begin at or before a position (doc_id, line, q_col) of their line."""
+        upto = positions.groupBy("doc_id", "line").agg(F.max("q_col").alias("upto"))
+        return self.marked(self.written().join(upto, ["doc_id", "line"]).where("col <= upto").drop("upto"))
 
     def lines(self) -> DataFrame:
         return self.docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).select("doc_id", (F.col("n") + 1).cast("long").alias("line"), "text")
