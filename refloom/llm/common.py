@@ -29,6 +29,11 @@ def materialize(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFram
     return out
 
 
+def few(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """df in as many tasks as at most `rows` rows need, for tables of numbers: many small files cost more than they hold."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def discard(*dfs: DataFrame) -> None:
     """Removes tables written by materialize() that nothing reads any more."""
     for df in dfs:

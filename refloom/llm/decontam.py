@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import materialize, small
+from refloom.llm.common import few, materialize, small
 
 SHINGLE = 5
 PERCENT = 80
@@ -82,7 +82,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, size:
 def _found(docs: DataFrame, items: DataFrame, percent: int, size: int) -> DataFrame:
     """(row, doc_id, item_id, n, shared): `row` is a number of the document's text."""
     docs = docs.where("text IS NOT NULL")
-    rows = materialize(item_rows(items.select("item_id", "text").where("text IS NOT NULL").distinct(), size), "items")
+    items = items.select("item_id", "text").where("text IS NOT NULL").distinct()
+    rows = materialize(item_rows(few(items, items.count(), 20_000), size), "items")
     sk = materialize(item_sketches(rows, percent, size), "sketches")
     # the bound of a partition, and of all partitions up to it: a document of size n may hold items of size n * 100 / percent
     bounds = sk.groupBy("width", "bucket").agg(F.max("token").alias("bound")).orderBy("width", "bucket").collect()  # at most 31 rows, and size - 1

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import discard, mapped_texts, materialize, tidy
+from refloom.llm.common import discard, few, mapped_texts, materialize, tidy
 from refloom.llm.components import components
 
 SHINGLE = 5
@@ -99,11 +99,6 @@ def sketches(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size:
     return mapped_texts(docs, fill, "n long, digest string, sig array<int>", text, id_col)
 
 
-def _few(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
-    """df in as many tasks as at most `rows` rows need, for tables of numbers: many small files cost more than they hold."""
-    return df.coalesce(max(1, -(-rows // each)))
-
-
 def _estimate(percent: int) -> float:
     """Positions that two signatures have in common at least, to be candidates."""
     j = percent / 100
@@ -168,7 +163,7 @@ def _commonest(sig: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.nd
 def _stars(large: DataFrame, reps: DataFrame, percent: int, n: int) -> DataFrame:
     """large (tree, key, id) -> pairs (a, b), a < b: each member of a node beside the member nearest to the
     node's majority, and one or two more that are as near, if size and estimate let them be linked."""
-    rows = materialize(_few(large.select("key", "id").join(reps.hint("merge"), "id"), TREES * n, 50_000).sortWithinPartitions("key").select("key", "id", "n", "sig"), "large")
+    rows = materialize(few(large.select("key", "id").join(reps.hint("merge"), "id"), TREES * n, 50_000).sortWithinPartitions("key").select("key", "id", "n", "sig"), "large")
 
     def vote(batches):
         for b in batches:
@@ -186,16 +181,16 @@ def _stars(large: DataFrame, reps: DataFrame, percent: int, n: int) -> DataFrame
                 yield pd.DataFrame({"key": [g[0] for g in got], "token": [g[1] for g in got]})
 
     votes = rows.select("key", "sig").mapInPandas(vote, "key long, token array<int>, lead array<long>")
-    most = materialize(_few(votes.repartition("key").sortWithinPartitions("key"), n).mapInPandas(count, "key long, token array<int>"), "majority")
+    most = materialize(few(votes.repartition("key").sortWithinPartitions("key"), n).mapInPandas(count, "key long, token array<int>"), "majority")
     agree = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same))
     near = rows.join(most.hint("merge"), "key").select("key", "id", agree("sig", "token").alias("agree"))
     # of those that agree equally well any may be the one that the others vary, so each node chooses by other hashes
     best = lambda turn: F.max(F.struct("agree", F.xxhash64("key", "id", F.lit(turn)), "id"))["id"]
     chosen = near.groupBy("key").agg(F.array_distinct(F.array(*[best(k) for k in range(PIVOTS)])).alias("p")).select("key", F.explode("p").alias("pivot"))
-    chosen = materialize(_few(chosen.join(reps.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("sig").alias("own")).hint("merge"), "pivot"), n), "pivots")
+    chosen = materialize(few(chosen.join(reps.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("sig").alias("own")).hint("merge"), "pivot"), n), "pivots")
     sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     met = rows.join(chosen.hint("merge"), "key").where((F.col("id") != F.col("pivot")) & sized & (agree("sig", "own") >= _estimate(percent)))
-    out = materialize(_few(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), PIVOTS * n), "stars")
+    out = materialize(few(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), PIVOTS * n), "stars")
     discard(rows, most, chosen)
     return out
 
@@ -322,7 +317,7 @@ def descend(large: DataFrame, known: DataFrame, percent: int, n: int) -> tuple[l
     for level in range(1, DEPTH + 1):
         rows = large.join(known.select("id", "class").hint("merge"), "id")
         nodes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key", "size")
-        open_rows = materialize(_few(rows.join(nodes.hint("merge"), "key").select("tree", "key", "id", "size"), TREES * n), f"open{level}")
+        open_rows = materialize(few(rows.join(nodes.hint("merge"), "key").select("tree", "key", "id", "size"), TREES * n), f"open{level}")
         if level > 1:
             leaves.append(open_rows.where(F.col("size") <= LEAF).select("key", "id"))
         rest = open_rows.where(F.col("size") > LEAF)
@@ -331,7 +326,7 @@ def descend(large: DataFrame, known: DataFrame, percent: int, n: int) -> tuple[l
         if level == DEPTH:
             members.append(rest.select("id"))
             break
-        large = materialize(_branches(_few(rest.join(known.select("id", "sig").hint("merge"), "id"), TREES * n, 50_000), level, percent), f"level{level}")
+        large = materialize(_branches(few(rest.join(known.select("id", "sig").hint("merge"), "id"), TREES * n, 50_000), level, percent), f"level{level}")
     return leaves, members
 
 
@@ -342,24 +337,24 @@ def linked(reps: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int =
     n = reps.count()
     rows = materialize(_roots(reps), "roots")
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    nodes = materialize(_few(rows.join(sizes.hint("merge"), "key"), TREES * n), "nodes")
+    nodes = materialize(few(rows.join(sizes.hint("merge"), "key"), TREES * n), "nodes")
     leaves, large = nodes.where(F.col("size") <= LEAF).select("key", "id"), nodes.where(F.col("size") > LEAF).select("tree", "key", "id")
     first = _compare_leaves(leaves.join(reps, "id").withColumn("class", F.col("id")), percent, True)
     any_large = large.limit(1).count() > 0
-    first = materialize(_few(first.unionAll(_stars(large, reps, percent, n)).distinct() if any_large else first, TREES * n), "forest")
-    one = materialize(_few(confirmed(first, docs, percent, size).select("a", "b").distinct(), TREES * n), "links1")
+    first = materialize(few(first.unionAll(_stars(large, reps, percent, n)).distinct() if any_large else first, TREES * n), "forest")
+    one = materialize(few(confirmed(first, docs, percent, size).select("a", "b").distinct(), TREES * n), "links1")
     classes = components(one.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = materialize(_few(reps.join(classes.hint("merge"), "id", "left").select("id", "n", "sig", F.coalesce("root", "id").alias("class")), n, 50_000), "known")
+    known = materialize(few(reps.join(classes.hint("merge"), "id", "left").select("id", "n", "sig", F.coalesce("root", "id").alias("class")), n, 50_000), "known")
     deeper, last = descend(large, known, percent, n) if any_large else ([], [])
     for x in deeper:
         leaves = leaves.unionAll(x)
     members = _compare_leaves(leaves.join(known, "id"), percent, False)
     for x in last:
         members = members.unionAll(x)
-    members = materialize(_few(members.distinct(), n), "open").join(known.select("id", "class").distinct(), "id")
-    rest = materialize(_few(apart(members, docs, percent, size).join(first, ["a", "b"], "left_anti"), TREES * n), "rest")
+    members = materialize(few(members.distinct(), n), "open").join(known.select("id", "class").distinct(), "id")
+    rest = materialize(few(apart(members, docs, percent, size).join(first, ["a", "b"], "left_anti"), TREES * n), "rest")
     two = confirmed(rest, docs, percent, size).select("a", "b")
-    out = materialize(_few(one.unionAll(two).distinct(), TREES * n), "links")
+    out = materialize(few(one.unionAll(two).distinct(), TREES * n), "links")
     discard(rows, nodes, first, one, known, rest)
     return out
 
@@ -396,12 +391,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     d = docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS text")
     sk = materialize(sketches(d, "text", "id", size), "sketches")
     rows = sk.count()
-    firsts = materialize(_few(sk.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), rows), "firsts")
+    firsts = materialize(few(sk.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), rows), "firsts")
     own = sk.where("digest IS NOT NULL").join(firsts.hint("merge"), (sk["doc_id"] == firsts["rep"]) & (sk["digest"] == firsts["digest"]), "left_semi")
-    reps = materialize(_few(own.select(F.col("doc_id").alias("id"), "n", "sig").dropDuplicates(["id", "sig"]), rows, 20_000), "reps")
+    reps = materialize(few(own.select(F.col("doc_id").alias("id"), "n", "sig").dropDuplicates(["id", "sig"]), rows, 20_000), "reps")
     links = linked(reps, d.join(reps.select("id").distinct(), "id", "left_semi"), percent, size)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    state = materialize(_few(firsts.join(roots, firsts["rep"] == roots["id"], "left").select("digest", F.coalesce("root", "rep").alias("root")), rows), "state")
+    state = materialize(few(firsts.join(roots, firsts["rep"] == roots["id"], "left").select("digest", F.coalesce("root", "rep").alias("root")), rows), "state")
     out = sk.select("doc_id", "n", "digest").join(state.hint("merge"), "digest", "left")
     root = F.coalesce("root", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), (F.col("doc_id") == root).alias("kept"))

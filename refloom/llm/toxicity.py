@@ -7,10 +7,11 @@ gives the window's logit. All windows, HOP words apart, of the whole text are sc
 the text's, calibrated with Platt's scaling on documents that the weights weren't fitted on. Inputs times
 input weights are worked out once for a word form.
 
-Training is numpy only, on at most TRAIN_EACH documents of either label: first with every window under
-its document's label, then with the window of each document that scores highest.
+Training is numpy only, on at most TRAIN_EACH documents of either label: first with windows, at most TRAIN_WINDOWS
+of either label in an epoch, under their documents' labels, then with the window of each document that scores
+highest.
 
-Edge cases: a null or empty text, or one of white space only, has no window and score 0; with fewer than
+Edge cases: rows without an id and repeated rows are scored like any other; a null or empty text, or one of white space only, has no window and score 0; with fewer than
 two labels in the training rows every score is the share of label 1; lengths are unbounded.
 """
 
@@ -28,6 +29,7 @@ TRAIN_EACH = 500  #: labelled documents of either label used for fitting, at mos
 WINDOW, HOP = 24, 12
 SLOTS, EMBED, HIDDEN = 16384, 6, 8
 MEMO_WORDS = 100_000  #: word forms whose inputs a task keeps
+TRAIN_WINDOWS = 1500  #: windows of either label in an epoch of the first kind, at most
 THRESHOLD = 0.7
 FEW = 3  #: documents that a hashed word or trigram must be in to have an embedding
 
@@ -183,7 +185,7 @@ class BiGRU:
 
         for epoch in range(sum(epochs)):
             if epoch < epochs[0]:  # as many windows of either label
-                few = min(1500, int((label == 1).sum()), int((label == 0).sum()))
+                few = min(TRAIN_WINDOWS, int((label == 1).sum()), int((label == 0).sum()))
                 pick = np.concatenate([r.permutation(np.flatnonzero(label == y))[:few] for y in (0, 1)])
             else:
                 logit = self.logits_of(docs)

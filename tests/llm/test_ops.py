@@ -502,6 +502,51 @@ def test_gru_gradients_and_learning(spark, sf):
     assert X.train([]).scores(["x"])[0] == 0
 
 
+def test_scores_equal_a_plain_forward_pass():
+    """One word after another in plain Python, every window, the largest logit."""
+    from refloom.llm import toxicity as X
+
+    net, sig = X.BiGRU(), lambda v: 1 / (1 + np.exp(-v))
+    r, h = random.Random(17), X.HIDDEN
+
+    def window(words):
+        x = net.embed(words)[0]
+        states = np.zeros((len(words), 2 * h))
+        for way in (0, 1):
+            s = np.zeros(h)
+            for t in range(len(words)) if way == 0 else reversed(range(len(words))):
+                a, b = x[t] @ net.p[f"w{way}"] + net.p[f"b{way}"], s @ net.p[f"u{way}"]
+                z, g = sig(a[:h] + b[:h]), sig(a[h : 2 * h] + b[h : 2 * h])
+                s = (1 - z) * np.tanh(a[2 * h :] + g * b[2 * h :]) + z * s
+                states[t, way * h : way * h + h] = s
+        e = np.array([np.tanh(s @ net.p["a"]) @ net.p["v"] for s in states])
+        alpha = np.exp(e - e.max())
+        return (alpha / alpha.sum()) @ states @ net.p["o"] + net.p["c"][0]
+
+    texts = [[r.choice(WORDS) + r.choice(("", "!", "É")) for _ in range(n)] for n in (1, 2, 23, 24, 25, 36, 37, 100, 333)]
+    plain = [max(window(t[i : i + X.WINDOW]) for i in range(0, max(1, len(t) - X.WINDOW + X.HOP), X.HOP)) for t in texts]
+    assert np.abs(net.top(texts) - np.array(plain)).max() < 1e-5
+    assert np.abs(net.scores([" ".join(t) for t in texts]) - sig(np.array(plain))).max() < 1e-5
+
+
+def test_count_only_dynamic_programming_equals_all_segmentations():
+    from refloom.llm.tokencount import Counter
+
+    pieces = [("▁a", -1.0), ("a", -2.0), ("aa", -3.0), ("b", -2.0), ("ab", -4.0), ("▁", -1.5), ("x", -2.5)]
+    c, known, r = Counter(pieces), dict(pieces), random.Random(3)
+
+    def every(word):  # (score, cuts) of all segmentations; neighbouring unknown characters fuse when they are counted
+        if not word:
+            return [(0.0, ())]
+        return [(s + (known[word[:n]] if word[:n] in known else c.unknown), (word[:n], *rest)) for n in range(1, len(word) + 1) if word[:n] in known or n == 1 for s, rest in every(word[n:])]
+
+    for _ in range(300):
+        word = "▁" + "".join(r.choice("aabxqé") for _ in range(r.randint(0, 7)))
+        best = max(s for s, _ in every(word))
+        counts = {len(re.sub("(U+)", "u", "".join("k" if p in known else "U" for p in cuts))) for s, cuts in every(word) if abs(s - best) < 1e-9}
+        assert c.segment(word) in counts
+
+
 # 9 packing
 
 
