@@ -766,7 +766,7 @@ def semantic_tokens(spark, sf):
 def folding_ranges(spark, sf):
     """Blocks of five lines that span more than one."""
     x = Lexical(spark, sf).lines().groupBy(F.col("doc_id").alias("file"), F.floor((F.col("line") - 1) / 5).alias("block")).agg(F.min("line").alias("start_line"), F.max("line").alias("stop_line"))
-    return x.where("stop_line > start_line").groupBy(F.col("file").alias("doc_id")).agg(F.count("*").alias("blocks"), F.sum(F.col("stop_line") - F.col("start_line")).alias("folded"))
+    return D.folding(x).groupBy(F.col("file").alias("doc_id")).agg(F.count("*").alias("blocks"), F.sum(F.col("stop_line") - F.col("start_line")).alias("folded"))
 
 
 from refloom.plans import features  # noqa: E402, F401  registers its queries

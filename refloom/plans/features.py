@@ -553,3 +553,62 @@ def stats_lines(spark, sf):
     e = changes(spark, sf).select("gen", F.concat(F.lit("STATS processed="), "size", F.lit(" errors="), "path").alias("line"))
     number = lambda name: F.regexp_extract("line", rf"{name}=([0-9]+)", 1).cast("long").alias(name)
     return e.select("gen", number("processed"), number("errors"))
+
+
+# smaller ones
+
+
+@query(LX + "SELECT p.doc_id, p.line, regexp_extract(substr(l.text, 1, CAST(p.q_col AS INTEGER)), '[\\p{L}\\p{Nd}_]*$') AS ident FROM pos p JOIN lines l ON l.doc_id = p.doc_id AND l.line = p.line")
+def ident_before(spark, sf):
+    """The identifier that ends at a position of each line, which a completion has for its prefix."""
+    x = Lexical(spark, sf)
+    at = x.positions().join(x.lines(), ["doc_id", "line"])
+    return at.select("doc_id", "line", X.ident_before(F.substring("text", F.lit(1), F.col("q_col").cast("int"))).alias("ident"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN least(k, 1) ELSE k END AS argument FROM (SELECT p_partkey, CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 20 THEN 1 WHEN p_size <= 30 THEN 2 ELSE 3 END AS k FROM part)")
+def signature_help(spark, sf):
+    """The argument that a position is in, of three that end at 10, 20 and 30; calls of even number are variadic with two."""
+    ends = F.array(*[F.lit(k) for k in (10, 20, 30)])
+    return table(spark, sf, "part").select("p_partkey", X.active_argument(ends, F.col("p_size"), F.lit(2), F.col("p_partkey") % 2 == 0).alias("argument"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 64 THEN text ELSE '[truncated]' || chr(10) || right(text, CAST(list_max(list_filter(range(0, 65), lambda k: strlen(right(text, CAST(k AS INTEGER))) <= 64)) AS INTEGER)) END AS tail FROM documents WHERE text IS NOT NULL")
+def log_tail(spark, sf):
+    """The last 64 bytes of each text, in whole characters."""
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", X.tail(F.col("text"), 64).alias("tail"))
+
+
+@query("SELECT p_partkey, p_type, p_size + CASE WHEN p_type IN ('SMALL', 'PROMO') THEN 1000 ELSE 0 END AS size FROM part WHERE p_type NOT IN ('SMALL', 'PROMO') OR p_size > 20")
+def partition_replace(spark, sf):
+    """Partitions of two kinds are written again with other rows; the others stay."""
+    from refloom.sources.files import replace_partitions
+
+    path, p = _scratch(spark, "kinds"), table(spark, sf, "part").select("p_partkey", "p_type", F.col("p_size").alias("size"))
+    replace_partitions(p, path, "p_type")
+    replace_partitions(p.where("p_type IN ('SMALL', 'PROMO') AND size > 20").withColumn("size", F.col("size") + 1000), path, "p_type")
+    return spark.read.parquet(path).select("p_partkey", "p_type", "size")
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END AS price FROM orders")
+def row_replace(spark, sf):
+    """Rows of some keys are replaced by new ones."""
+    from refloom.sources.files import replace_rows
+
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    return replace_rows(o, o.where("status = 'F'").withColumn("price", -F.col("price")), ["o_orderkey"])
+
+
+@query("SELECT r_regionkey AS k, CASE WHEN r_regionkey % 2 = 0 THEN 'edited ' || r_name ELSE r_name END AS text FROM region")
+def overlay_sources(spark, sf):
+    """Files in a folder, some of which an editor holds in a newer version."""
+    from refloom.sources.files import listing, texts
+
+    path, r = _scratch(spark, "sources"), table(spark, sf, "region").select("r_regionkey", "r_name")
+    r.select(F.concat("r_regionkey", F.lit(" "), "r_name").alias("value"), F.col("r_regionkey").alias("k")).repartition("k").write.partitionBy("k").text(path)
+    number = F.regexp_extract("path", "k=([0-9]+)", 1).cast("int")
+    names = listing(spark, path, ".txt").select("path", number.alias("k"))
+    edited = names.join(r, F.col("k") == F.col("r_regionkey")).where("k % 2 = 0")
+    both = edited.select(F.col("path").alias("uri"), F.lit(1).alias("version"), F.lit("old").alias("text")).unionAll(edited.select("path", F.lit(2), F.concat("k", F.lit(" edited "), "r_name")))
+    t = texts(spark, path, both, ".txt")
+    return t.select(F.split("text", " ")[0].cast("int").alias("k"), F.regexp_replace(F.rtrim(F.translate("text", "\n", "")), r"^[0-9]+ ", "").alias("text"))
