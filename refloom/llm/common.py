@@ -129,17 +129,30 @@ def fold_of(doc_id) -> int:
     return zlib.crc32(str(doc_id).encode()) % 3
 
 
-def sampled_rows(df: DataFrame, key: str, rows: int, columns: list[str], among: DataFrame | None = None) -> list:
+SAMPLE_BYTES = 48 << 20  #: bytes of a training sample, at most
+
+
+def sampled_rows(df: DataFrame, key: str, rows: int, columns: list[str], among: DataFrame | None = None, most: int = SAMPLE_BYTES) -> list:
     """The rows of at most `rows` keys, chosen by a hash of the key, on the driver: the same ones however
-    the table is laid out. Only keys are ordered; texts are then read for those keys alone. Repeated
-    keys count once each, so at most twice as many rows come back. `among` is a table of the keys that may
-    be chosen."""
+    the table is laid out. Only keys are ordered; their rows are measured, and texts are then read for those
+    alone, in that order, that fit into `most` bytes. Repeated keys count once each, so at most twice as many rows
+    come back. `among` is a table of the keys that may be chosen. For samples that models are fitted on, and for nothing
+    else."""
     keys = df.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct()
     if among is not None:
         keys = keys.join(among.select(F.col(key).alias("k")), "k", "left_semi")
     keys = keys.orderBy(F.xxhash64("k"), "k").limit(rows)
-    ids = keys.sparkSession.createDataFrame([(r[0],) for r in keys.collect()], keys.schema)
-    got = df.join(F.broadcast(ids), F.col(key) == F.col("k"), "left_semi").select(*columns).limit(2 * rows).collect()
+    chosen, spark = [r[0] for r in keys.collect()], keys.sparkSession
+    own = lambda ks: df.join(F.broadcast(spark.createDataFrame([(k,) for k in ks], keys.schema)), F.col(key) == F.col("k"), "left_semi")
+    texts = [c for c, kind in df.select(*columns).dtypes if kind == "string"]
+    size = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0)).cast("long")).alias("size")
+    sizes = dict(own(chosen).groupBy(key).agg(size).collect()) if chosen else {}
+    fit, total = [], 0
+    for k in chosen:
+        if total + sizes.get(k, 0) <= most:
+            fit.append(k)
+            total += sizes.get(k, 0)
+    got = own(fit).select(*columns).limit(2 * rows).collect() if fit else []
     return sorted(got, key=lambda r: tuple(str(x) for x in r))
 
 
