@@ -84,7 +84,7 @@ def arrow_types(spark: SparkSession, columns: str) -> list:
     return to_arrow_schema(spark.createDataFrame([], columns).schema).types
 
 
-def slices(batch, column: int, most: int = 4 << 20):
+def slices(batch, column: int, most: int = 1 << 20):
     """Parts of an Arrow batch whose texts have at most `most` bytes together, one row at least: what Python makes of
     them at a time stays small, however long the batch's texts are."""
     import numpy as np

@@ -251,7 +251,7 @@ def fit_from(docs: DataFrame, rows: int = TRAIN_DOCS) -> Field:
     return train([(r[0], r[1]) for r in sampled_rows(may, "doc_id", rows, ["text", "lang"]) if LETTER.search(r[0])])
 
 
-def batches_of(size: int = 1_000_000) -> Callable:
+def batches_of(size: int = 400_000) -> Callable:
     """Splits a list of texts into runs of about `size` characters."""
 
     def split(texts: list[str]):
