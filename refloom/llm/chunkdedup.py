@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refloom.llm.common import arrow_types, materialize, slices, small, tidy
+from refloom.llm.common import arrow_types, materialize, release, slices, small, tidy
 
 AVERAGE = 24  #: bytes between borders, on average
 LONG_CHUNK = 256  #: bytes of a stretch without a border that is cut at its smallest hashes
@@ -130,6 +130,7 @@ def repeated_chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     all_chunks = materialize(chunks(docs, text, id_col), "chunks")
     shared = all_chunks.groupBy("digest", "more").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last")).where("first_doc < _last").drop("_last")
     shared = materialize(shared, "digests")
+    release(docs.sparkSession)
     return all_chunks.join(shared.hint("merge"), ["digest", "more"])
 
 
