@@ -769,3 +769,31 @@ def test_pipeline_stages(spark, sf, documents, texts):
     four = {r.doc_id: r.text for r in four_df.collect()}
     assert set(four) == set(three) and four_df.columns == docs.columns and not any(base_plain(t) for t in four.values())
     assert {r.doc_id for r in P.STAGES[4][1](spark, four_df, sf).select("doc_id").distinct().collect()} == set(four)
+
+
+def test_pipeline_on_an_empty_table_and_repeated_rows(spark, sf, documents):
+    import corpus_pipeline as P
+    from refloom.llm.common import materialize
+
+    docs = documents.limit(0)
+    for name, stage in P.STAGES:
+        out = materialize(stage(spark, docs, sf), "empty")
+        assert out.count() == 0 and (name == "pack" or out.columns == documents.columns)
+        docs = out if name != "pack" else docs
+    few = documents.orderBy("doc_id").limit(30)
+    twice = few.unionAll(few)
+    assert P.language(spark, twice, sf).count() == 2 * P.language(spark, few, sf).count()
+    assert sorted(map(tuple, P.near_dedup(spark, twice, sf).collect())) == sorted(map(tuple, P.near_dedup(spark, few, sf).collect()))
+    assert P.secrets(spark, twice, sf).count() == 60 and P.pack(spark, twice, sf).groupBy("doc_id").count().count() == few.select("doc_id").distinct().count()
+
+
+def test_equal_texts_get_equal_answers(spark):
+    """Ties and repeated rows: scores, languages, spans and surrogates depend on the text alone."""
+    from refloom.llm import langid, secrets, surrogates, toxicity
+
+    texts = ["mail a.b@corp.de or b.a@corp.de, token = abcdef123456", "one two", "one two", "mail a.b@corp.de or b.a@corp.de, token = abcdef123456"]
+    d, field, net = docs_of(spark, texts), langid.Field(["en", "fr"]), secrets.CharCNN.fresh()
+    for f in (lambda x: langid.identify(x, model=field), lambda x: toxicity.toxicity(x, model=toxicity.BiGRU()), lambda x: secrets.find_secrets(x, model=net), lambda x: surrogates.replace_entities(x, "k")):
+        got = {r.doc_id: tuple(r)[1:] for r in f(d).collect()}
+        assert got[0] == got[3] and got[1] == got[2]
+    assert {r.lang_pred for r in langid.identify(d, model=field).collect()} == {"en"}  # no evidence: the first label in order
