@@ -76,12 +76,14 @@ def borders(data: bytes, average: int = AVERAGE) -> list[int]:
     return np.sort(np.r_[ends, np.array(more, dtype=ends.dtype)]).tolist()
 
 
-CHUNK = "doc_id long, part long, start int, length int, digest long, more int"
+CHUNK = "doc_id long, part long, place long, digest long, more int"
+START, LENGTH = "shiftright(place, 20)", "place & 1048575"  #: what a chunk's place holds, as SQL
 
 
 def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(CHUNK): the chunks of every whole text of a row with an id, in bytes. The digest has 64 bits and `more` another
-    32. Different texts under one id are told apart by `part`, which is 0 for all others."""
+    """(CHUNK): the chunks of every whole text of a row with an id. `place` holds the first byte and the number of bytes,
+    the digest 64 bits and `more` another 32. Different texts under one id are told apart by `part`, which is 0 for all
+    others."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     h = F.xxhash64("t")
     several = materialize(d.select("i", h.alias("h")).groupBy("i").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("i"), "several")
@@ -98,12 +100,12 @@ def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
         digest, second = xxhash.xxh3_64_intdigest, xxhash.xxh32_intdigest
 
         def batch(cols):
-            ids, parts, starts, lengths, digests, more = cols
-            made = [ids, parts, np.array(starts, dtype="int32"), np.array(lengths, dtype="int32"), np.array(digests, dtype="uint64").view("int64"), np.array(more, dtype="uint32").view("int32")]
+            ids, parts, places, digests, more = cols
+            made = [ids, parts, places, np.array(digests, dtype="uint64").view("int64"), np.array(more, dtype="uint32").view("int32")]
             return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(made, types)], names=names)
 
         for b in (part for whole in batches for part in slices(whole, 2)):
-            cols: tuple = ([], [], [], [], [], [])
+            cols: tuple = ([], [], [], [], [])
             for i, part, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 data, s = t.encode(), 0
                 ends = borders(data)
@@ -111,14 +113,13 @@ def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
                 cols[1].extend([part] * len(ends))
                 for e in ends:
                     x = data[s:e]
-                    cols[2].append(s)
-                    cols[3].append(e - s)
-                    cols[4].append(digest(x))
-                    cols[5].append(second(x))
+                    cols[2].append(s << 20 | e - s)
+                    cols[3].append(digest(x))
+                    cols[4].append(second(x))
                     s = e
                 if len(cols[0]) > 100_000:
                     yield batch(cols)
-                    cols = ([], [], [], [], [], [])
+                    cols = ([], [], [], [], [])
             yield batch(cols)
         tidy()
 
@@ -141,11 +142,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     found = repeated_chunks(docs, text, id_col)
     found = found.where("first_doc < doc_id") if later else found
     # dealt by document first: rows that are equal and runs are found there, without another shuffle
-    rows = found.select("doc_id", "part", "start", "length", "first_doc").repartition("doc_id", "part").distinct()
-    order = Window.partitionBy("doc_id", "part").orderBy("start")
+    rows = found.select("doc_id", "part", "place", "first_doc").repartition("doc_id", "part").distinct()
+    rows = rows.withColumns({"start": F.expr(START), "length": F.expr(LENGTH)})
+    order = Window.partitionBy("doc_id", "part").orderBy("place")
     breaks = F.when(F.lag(F.col("start") + F.col("length")).over(order) == F.col("start"), 0).otherwise(1)
     runs = rows.withColumn("breaks", breaks).withColumn("run", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "part", "run").agg(F.min("start").cast("long").alias("start"), F.sum("length").alias("length"), F.count("*").alias("n_chunks"), F.max("first_doc").alias("first_doc"))
+    spans = runs.groupBy("doc_id", "part", "run").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.count("*").alias("n_chunks"), F.max("first_doc").alias("first_doc"))
     return spans.where(F.col("length") >= least).select("doc_id", "start", "length", "n_chunks", "first_doc").distinct()
 
 
