@@ -35,7 +35,7 @@ TRAIN_DOCS = 1500  #: labelled documents used for fitting, at most
 TRAIN_WORDS = 48_000  #: words of them used, at most
 HASH = 1 << 16  #: feature slots
 BLOCK = 32  #: words of a block
-MEMO_WORDS = 100_000  #: word forms whose scores a task keeps
+MEMO_WORDS = 250_000  #: word forms whose scores a task keeps
 LONGEST = 48  #: characters of a word
 CLIP = 12.0
 UND = "und"
@@ -251,7 +251,7 @@ def fit_from(docs: DataFrame, rows: int = TRAIN_DOCS) -> Field:
     return train([(r[0], r[1]) for r in sampled_rows(may, "doc_id", rows, ["text", "lang"]) if LETTER.search(r[0])])
 
 
-def batches_of(size: int = 400_000) -> Callable:
+def batches_of(size: int = 800_000) -> Callable:
     """Splits a list of texts into runs of about `size` characters."""
 
     def split(texts: list[str]):

@@ -35,7 +35,7 @@ LIMIT = 1024  #: tokens of a sequence
 SEGMENTS = 32  #: pieces of a sequence
 END_ID = 0  #: id that ends a document
 POOL_TOKENS = 1 << 21  #: ids that a task holds while it packs
-MEMO_WORDS = 200_000  #: word forms whose ids a Python worker keeps
+MEMO_WORDS = 400_000  #: word forms whose ids a Python worker keeps
 END_OF_TEXT = "<|endoftext|>"
 
 

@@ -28,7 +28,7 @@ from refloom.llm.common import WordTable, mapped_texts, sampled_rows, train_fold
 TRAIN_EACH = 500  #: labelled documents of either label used for fitting, at most
 WINDOW, HOP = 24, 12
 SLOTS, EMBED, HIDDEN = 16384, 6, 8
-MEMO_WORDS = 100_000  #: word forms whose inputs a task keeps
+MEMO_WORDS = 250_000  #: word forms whose inputs a task keeps
 TRAIN_WINDOWS = 1500  #: windows of either label in an epoch of the first kind, at most
 THRESHOLD = 0.7
 FEW = 3  #: documents that a hashed word or trigram must be in to have an embedding
