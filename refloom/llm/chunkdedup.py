@@ -8,8 +8,8 @@ over and over, is cut at its smallest hashes, so there too the bytes choose the
 whole corpus: of the 4e12 chunks of 100 TB fewer than one pair is expected to be equal by chance. A repeated
 span is a run of chunks that other documents have too, of SPAN bytes or more.
 
-Plan: chunks (one pass of numpy) are written once; digests are counted with map-side aggregation, written,
-and joined back by digest, both sides being plain shuffles so that a digest in a third of all documents
+Plan: texts are cut (one pass of numpy), digests are counted with map-side aggregation and written; texts are cut
+again, and the chunks are joined to the counted digests, both sides being plain shuffles so that a digest in a third of all documents
 is split by the skew join; a document's repeated chunks meet by document, where window functions find the
 runs. Nothing goes to the driver.
 
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refloom.llm.common import arrow_types, materialize, release, slices, small, tidy
+from refloom.llm.common import arrow_types, materialize, slices, small, tidy
 
 AVERAGE = 24  #: bytes between borders, on average
 LONG_CHUNK = 256  #: bytes of a stretch without a border that is cut at its smallest hashes
@@ -128,10 +128,9 @@ def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
 
 def repeated_chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Chunks whose digest occurs in two documents or more, with the smallest of their ids in `first_doc`."""
-    all_chunks = materialize(chunks(docs, text, id_col), "chunks")
+    all_chunks = chunks(docs, text, id_col)  # cut twice: that takes less than to write them and read them twice
     shared = all_chunks.groupBy("digest", "more").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last")).where("first_doc < _last").drop("_last")
     shared = materialize(shared, "digests")
-    release(docs.sparkSession)
     return all_chunks.join(shared.hint("merge"), ["digest", "more"])
 
 

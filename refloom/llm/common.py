@@ -44,15 +44,6 @@ def discard(*dfs: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of jobs whose tables are written: its cleaner follows the driver's garbage
-    collection, which on its own may come long after."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows and `most` bytes, else df as it is."""
     rows, size = df.limit(limit + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
