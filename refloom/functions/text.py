@@ -180,3 +180,13 @@ def diagnostic(message: Column) -> Column:
     code = F.when(message.rlike(unused_import), "unused-import").when(message.rlike(unused), "unused").when(message.rlike(undefined), "undefined").otherwise("other")
     name = F.concat(*[F.regexp_extract(message, p, 1) for p in (unused_import, unused, undefined)])
     return F.struct(code.alias("code"), name.alias("name"), F.when(code.startswith("unused"), "warning").otherwise("error").alias("severity"))
+
+
+def source_file(path: Column, suffix: str = ".go") -> Column:
+    """Whether a file of a folder belongs to its package's sources: by suffix, not hidden, not set aside by `_`."""
+    name = F.substring_index(path, "/", -1)
+    return name.endswith(suffix) & ~name.startswith(".") & ~name.startswith("_")
+
+
+def test_file(path: Column) -> Column:
+    return source_file(path) & path.endswith("_test.go")

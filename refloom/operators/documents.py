@@ -201,3 +201,14 @@ def organized(imports: DataFrame) -> DataFrame:
     d = d.where(~F.col("before").eqNullSafe(F.col("after")))
     put = F.slice("after", F.col("c.prefix") + 1, F.size("after") - F.col("c.prefix") - F.col("c.suffix"))
     return d.select("file", "before", F.col("c.prefix").alias("start"), (F.size("before") - F.col("c.suffix")).alias("stop"), put.alias("put"))
+
+
+def inlay_hints(variables: DataFrame, arguments: DataFrame, enabled: DataFrame) -> DataFrame:
+    """variables (file, line, end_col, name, type, how), how one of assign, range, const; arguments (file, line, col, place, param,
+    params), place from 0; enabled (file, kind) -> (file, line, col, kind, label). Variables get their type, but `_`
+    doesn't, constants their value; arguments get the name of their parameter, up to the last one that is declared."""
+    kind = F.when(F.col("how") == "assign", "assignVariableTypes").when(F.col("how") == "range", "rangeVariableTypes").when(F.col("how") == "const", "constantValues")
+    label = F.concat(F.when(F.col("how") == "const", F.lit("= ")).otherwise(F.lit(": ")), "type")
+    v = variables.where("name != '_'").select("file", "line", F.col("end_col").alias("col"), kind.alias("kind"), label.alias("label"))
+    a = arguments.where("place < params AND param != ''").select("file", "line", "col", F.lit("parameterNames").alias("kind"), F.concat("param", F.lit(":")).alias("label"))
+    return v.where("kind IS NOT NULL").unionByName(a).join(enabled.select("file", "kind").distinct(), ["file", "kind"], "left_semi").select("file", "line", "col", "kind", "label")

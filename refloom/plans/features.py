@@ -612,3 +612,27 @@ def overlay_sources(spark, sf):
     both = edited.select(F.col("path").alias("uri"), F.lit(1).alias("version"), F.lit("old").alias("text")).unionAll(edited.select("path", F.lit(2), F.concat("k", F.lit(" edited "), "r_name")))
     t = texts(spark, path, both, ".txt")
     return t.select(F.split("text", " ")[0].cast("int").alias("k"), F.regexp_replace(F.rtrim(F.translate("text", "\n", "")), r"^[0-9]+ ", "").alias("text"))
+
+
+@query("""WITH v AS (SELECT p_size AS file, p_partkey AS line, p_partkey % 40 AS col, CASE WHEN p_size % 10 = 0 THEN '_' ELSE p_name END AS name, p_brand AS type, CASE p_type WHEN 'STANDARD' THEN 'assignVariableTypes' WHEN 'ECONOMY' THEN 'rangeVariableTypes' WHEN 'MEDIUM' THEN 'constantValues' END AS kind FROM part),
+a AS (SELECT l_orderkey % 50 + 1 AS file, l_orderkey AS line, CAST(l_quantity AS BIGINT) AS col, l_linenumber - 1 AS place, p_name AS param FROM lineitem JOIN part ON p_partkey = l_partkey),
+e AS (SELECT DISTINCT p_size AS file, k.kind FROM part, (VALUES ('assignVariableTypes', 2), ('rangeVariableTypes', 3), ('constantValues', 4), ('parameterNames', 5)) AS k(kind, n) WHERE p_size % n <> 0)
+SELECT x.* FROM (SELECT file, line, col, kind, (CASE WHEN kind = 'constantValues' THEN '= ' ELSE ': ' END) || type AS label FROM v WHERE name <> '_' AND kind IS NOT NULL UNION ALL SELECT file, line, col, 'parameterNames', param || ':' FROM a WHERE place < 3) x JOIN e ON e.file = x.file AND e.kind = x.kind""")
+def inlay_hints(spark, sf):
+    """Types of variables, values of constants and names of parameters, of the kinds that are enabled for a file."""
+    p = table(spark, sf, "part")
+    how = F.when(F.col("p_type") == "STANDARD", "assign").when(F.col("p_type") == "ECONOMY", "range").when(F.col("p_type") == "MEDIUM", "const")
+    variables = p.select(F.col("p_size").cast("long").alias("file"), F.col("p_partkey").alias("line"), (F.col("p_partkey") % 40).alias("end_col"), F.when(F.col("p_size") % 10 == 0, "_").otherwise(F.col("p_name")).alias("name"), F.col("p_brand").alias("type"), how.alias("how"))
+    l = table(spark, sf, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey"))
+    arguments = l.select((F.col("l_orderkey") % 50 + 1).alias("file"), F.col("l_orderkey").alias("line"), F.col("l_quantity").cast("long").alias("col"), (F.col("l_linenumber") - 1).alias("place"), F.col("p_name").alias("param"), F.lit(3).alias("params"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n")) for k, n in (("assignVariableTypes", 2), ("rangeVariableTypes", 3), ("constantValues", 4), ("parameterNames", 5))])
+    enabled = p.select(F.col("p_size").cast("long").alias("file"), F.explode(kinds).alias("k")).where("file % k.n != 0").select("file", "k.kind")
+    return D.inlay_hints(variables, arguments, enabled)
+
+
+@query("SELECT p_partkey, p_size % 4 IN (0, 3) AS source, p_size % 4 = 3 AS test FROM part")
+def file_candidates(spark, sf):
+    """Which files of a folder are sources of its package, and which of those are tests."""
+    name = F.when(F.col("p_size") % 4 == 0, "a.go").when(F.col("p_size") % 4 == 1, "_a.go").when(F.col("p_size") % 4 == 2, ".a_test.go").otherwise("a_test.go")
+    path = F.concat(F.lit("/w/"), "p_brand", F.lit("/"), name)
+    return table(spark, sf, "part").select("p_partkey", X.source_file(path).alias("source"), X.test_file(path).alias("test"))
