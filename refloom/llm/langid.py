@@ -35,7 +35,7 @@ TRAIN_DOCS = 1500  #: labelled documents used for fitting, at most
 TRAIN_WORDS = 48_000  #: words of them used, at most
 HASH = 1 << 16  #: feature slots
 BLOCK = 32  #: words of a block
-MEMO_WORDS = 250_000  #: word forms whose scores a task keeps
+MEMO_WORDS = 400_000  #: word forms whose scores a task keeps
 LONGEST = 48  #: characters of a word
 CLIP = 12.0
 UND = "und"
