@@ -235,3 +235,37 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(RuntimeError):
         scratch.root(session("local-cluster[2,1,1024]"))
     assert scratch.root(session("local[2]")).startswith("file://") and scratch.root(session("yarn", **{"spark.checkpoint.dir": "hdfs://x"})) == "hdfs://x"
+
+
+def shuffled(df):
+    """Rows of the result, and rows that its plan writes to shuffles."""
+    run = df._jdf.queryExecution()
+    made = run.toRdd().count()
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        n, below = plan.metrics().get("shuffleRecordsWritten"), plan.children()
+        return (n.get().value() if n.isDefined() else 0) + sum(walk(below.apply(i)) for i in range(below.size()))
+
+    return made, walk(run.executedPlan())
+
+
+#: rows of each relation over 1,000 interfaces and 1,000 types that are all alike
+ALIKE = {
+    "confirmed": 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", ALIKE)
+def test_pairs_of_copies_are_not_shuffled(spark, name):
+    req = spark.range(1000).selectExpr("id + 5000 AS iface", "'A' AS name", "5L AS fp")
+    own = spark.range(1000).selectExpr("id AS type_id", "'A' AS name", "5L AS fp")
+    given = [req] if name == "embedding" else [req, own]
+    if name == "corresponding":
+        given = [req.selectExpr("iface AS query_id", "iface AS type_id", "name"), *given]
+    made, moved = shuffled(getattr(M, name)(*given))
+    assert made == ALIKE[name] and moved < 5000
