@@ -257,6 +257,7 @@ def shuffled(df):
 #: rows of each relation over 1,000 interfaces and 1,000 types that are all alike
 ALIKE = {
     "confirmed": 1_000_000,
+    "method_names": 1_000_000,
 }
 
 
