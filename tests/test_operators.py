@@ -259,6 +259,7 @@ ALIKE = {
     "confirmed": 1_000_000,
     "method_names": 1_000_000,
     "satisfied": 1000,
+    "subtypes": 1_999_000,
 }
 
 
