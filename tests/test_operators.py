@@ -260,6 +260,7 @@ ALIKE = {
     "method_names": 1_000_000,
     "satisfied": 1000,
     "subtypes": 1_999_000,
+    "with_status": 1_000_000,
 }
 
 
