@@ -261,6 +261,7 @@ ALIKE = {
     "satisfied": 1000,
     "subtypes": 1_999_000,
     "with_status": 1_000_000,
+    "method_pairs": 1_000_000,
 }
 
 
