@@ -262,6 +262,7 @@ ALIKE = {
     "subtypes": 1_999_000,
     "with_status": 1_000_000,
     "method_pairs": 1_000_000,
+    "embedding": 999_000,
 }
 
 
