@@ -263,6 +263,7 @@ ALIKE = {
     "with_status": 1_000_000,
     "method_pairs": 1_000_000,
     "embedding": 999_000,
+    "ordered_subtypes": 1_999_000,
 }
 
 
