@@ -264,6 +264,7 @@ ALIKE = {
     "method_pairs": 1_000_000,
     "embedding": 999_000,
     "ordered_subtypes": 1_999_000,
+    "candidates_all": 1_000_000,
 }
 
 
