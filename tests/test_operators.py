@@ -265,6 +265,7 @@ ALIKE = {
     "embedding": 999_000,
     "ordered_subtypes": 1_999_000,
     "candidates_all": 1_000_000,
+    "candidates_any": 1_000_000,
 }
 
 
