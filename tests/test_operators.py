@@ -266,6 +266,7 @@ ALIKE = {
     "ordered_subtypes": 1_999_000,
     "candidates_all": 1_000_000,
     "candidates_any": 1_000_000,
+    "corresponding": 1_000_000,
 }
 
 
