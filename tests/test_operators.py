@@ -279,3 +279,16 @@ def test_pairs_of_copies_are_not_shuffled(spark, name):
         given = [req.selectExpr("iface AS query_id", "iface AS type_id", "name"), *given]
     made, moved = shuffled(getattr(M, name)(*given))
     assert made == ALIKE[name] and moved < 5000
+
+
+@pytest.mark.parametrize("ids", [(1, 2), (-(1 << 63), (1 << 63) - 1), (-7, 1 << 62)])
+def test_calls_without_shuffled_tokens(spark, tmp_path, ids):
+    from refloom.plans.catalogue import QUERIES
+
+    a, b = ids
+    texts = [(a, "foo bar\nfoo\n\n\n\nbar foo", "s"), (b, " bar foo baz baz" + " foo" * 3000, "s"), (None, "foo", "s")]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    calls = QUERIES["incoming_calls"](spark, str(tmp_path))
+    want = [("bar", a, 1, 1, 6, 1), ("bar", b, 0, 1, 1, 2), ("baz", b, 0, 1, 1, 14), ("foo", a, 0, 1, 2, 1), ("foo", a, 1, 1, 6, 5), ("foo", b, 0, 3001, 1, 6)]
+    assert rows(calls, "token", "doc_id", "caller", "n_calls", "first_line", "first_col") == want
+    assert shuffled(calls)[1] < 100
