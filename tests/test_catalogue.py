@@ -163,3 +163,27 @@ def test_corresponding_and_either(spark):
     asked = spark.createDataFrame([(7, 2, "A"), (8, 101, "B"), (9, 3, "B")], "query_id long, type_id long, name string")
     assert sorted(tuple(r) for r in M.corresponding(asked, req, own).collect()) == [(7, 1, "A"), (7, 100, "A"), (7, 101, "A"), (8, 2, "B")]
     assert sorted(tuple(r) for r in M.candidates_either(req, own).collect()) == [(100, 1, False), (100, 2, False), (100, 101, True), (101, 2, False)]
+
+
+@pytest.mark.parametrize("sent", [None, 0])
+def test_embedding_of_odd_sets_equals_brute_force(spark, monkeypatch, sent):
+    import random
+
+    from refloom.operators import relations as M
+
+    if sent is not None:
+        monkeypatch.setattr(M, "SENT", sent)  # nothing but filters is sent
+    r = random.Random(7)
+    pool = [(f"N{k % 40}", k // 40 + 1) for k in range(120)]
+    sets = [set(r.sample(pool[: r.choice([4, 9, 120])], r.choice([1, 1, 2, 2, 3, 4]))) for _ in range(150)]
+    sets += [set(r.sample(pool, r.choice([20, 24, 25, 30, 64, 65, 90]))) for _ in range(20)]
+    sets += [set(r.sample(sorted(s), r.randint(1, min(len(s), 30)))) for s in sets[150:] for _ in range(6)]
+    sets += [s | {r.choice([("Z", 0), (None, 3), ("Z", None), (None, None)])} for s in sets[::9]] + [{("Z", 0)}, {(None, 3)}, *([sets[0]] * 130)]
+    rows = [(i - 200, n, fp) for i, s in enumerate(sets) for n, fp in s]
+    r.shuffle(rows)
+    req = spark.createDataFrame([*rows, *rows[:300], (None, "N1", 1)], "iface long, name string, fp long")
+    live = [{(n, fp) for n, fp in s if n is not None and fp} for s in sets]
+    want = sorted((a - 200, b - 200) for a, s in enumerate(live) if len(s) == len(sets[a]) for b, t in enumerate(live) if a != b and s <= t)
+    assert len(want) > 20000
+    assert sorted(tuple(x) for x in M.embedding(req).collect()) == want
+    assert sorted(tuple(x) for x in M.embedding(req, 10).collect()) == want

@@ -281,6 +281,13 @@ def test_pairs_of_copies_are_not_shuffled(spark, name):
     assert made == ALIKE[name] and moved < 5000
 
 
+def test_pairs_of_classes_are_not_shuffled(spark):
+    few = spark.range(300).selectExpr("id AS iface", "'A' AS name", "5L AS fp")
+    many = spark.range(1000, 4000).selectExpr("id AS iface", "explode(array('A', concat('N', id), concat('M', id % 7))) AS name", "5L AS fp")
+    made, moved = shuffled(M.embedding(few.unionAll(many)))
+    assert made == 300 * 299 + 300 * 3000 and moved < 10_000
+
+
 @pytest.mark.parametrize("ids", [(1, 2), (-(1 << 63), (1 << 63) - 1), (-7, 1 << 62)])
 def test_calls_without_shuffled_tokens(spark, tmp_path, ids):
     from refloom.plans.catalogue import QUERIES
